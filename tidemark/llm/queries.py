@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import quality_rules
+from tidemark.llm import mixing, quality_rules
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op8_mixing": mixing.op8_mixing,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.OP1_SQL,
+    "op8_mixing": mixing.OP8_SQL,
 }
