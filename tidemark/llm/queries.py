@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tidemark.llm import mixing, quality_rules
+from tidemark.llm import mixing, quality_rules, topk
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op8_mixing": mixing.op8_mixing,
+    "op10_topk": topk.op10_topk,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.OP1_SQL,
     "op8_mixing": mixing.OP8_SQL,
+    "op10_topk": topk.OP10_SQL,
 }
