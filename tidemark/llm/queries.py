@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from tidemark.llm import mixing, quality_rules, topk
+from tidemark.llm import mixing, quality_rules, topk, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op8_mixing": mixing.op8_mixing,
+    "op3_warc": warc.op3_warc,
     "op10_topk": topk.op10_topk,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.OP1_SQL,
     "op8_mixing": mixing.OP8_SQL,
+    "op3_warc": warc.OP3_SQL,
     "op10_topk": topk.OP10_SQL,
 }
