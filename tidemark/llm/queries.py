@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.llm import mixing, quality_rules, topk, warc
+from tidemark.llm import mixing, packing, quality_rules, token_scan, topk, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op8_mixing": mixing.op8_mixing,
     "op3_warc": warc.op3_warc,
+    "op5_packing": packing.op5_packing,
+    "op6_token_scan": token_scan.op6_token_scan,
     "op10_topk": topk.op10_topk,
 }
 ORACLES = {
