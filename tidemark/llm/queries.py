@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import mixing, packing, quality_rules, token_scan, topk, warc
+from tidemark.llm import langid, mixing, packing, quality_classifier, quality_rules, token_scan, topk, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_warc": warc.op3_warc,
     "op5_packing": packing.op5_packing,
     "op6_token_scan": token_scan.op6_token_scan,
+    "op7_langid": langid.op7_langid,
+    "op2_quality_classifier": quality_classifier.op2_quality_classifier,
     "op10_topk": topk.op10_topk,
 }
 ORACLES = {
