@@ -118,17 +118,26 @@ def powers(n: int, base: int = ODD) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+_powers: dict[int, np.ndarray] = {}
+
+
+def _known_powers(base: int, n: int) -> np.ndarray:
+    if len(_powers.get(base, ())) <= n:
+        _powers[base] = powers(max(n, 1 << 20), base)
+    return _powers[base]
+
+
 class SpanHash:
     """64-bit hashes of any spans of a byte string, from one prefix sum.
 
     The sum of byte * P**i over a span, times P**-start, depends on its content
     alone since P is odd and so has an inverse modulo 2**64."""
 
-    def __init__(self, raw: np.ndarray):
+    def __init__(self, raw: np.ndarray, base: int = ODD):
         n = len(raw)
-        self.back = powers(n, pow(ODD, -1, 1 << 64))
+        self.back = _known_powers(pow(base, -1, 1 << 64), n)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(n)[:n], out=self.sums[1:])
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _known_powers(base, n)[:n], out=self.sums[1:])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         h = (self.sums[end] - self.sums[start]) * self.back[start]
