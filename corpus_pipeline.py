@@ -1,17 +1,76 @@
-"""The corpus pipeline: documents in, packed training sequences out."""
+"""The corpus pipeline: documents in, packed training sequences out.
+
+Each stage takes (spark, docs, sf_dir) and works on every row its predecessor kept;
+all but the last return the columns of documents. run() writes each stage's result to
+the folder the cluster shares and reads it again, so a lost executor never costs more
+than the stage in hand.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import minhash, mixing, packing, quality_rules, suffix_dedup
+from tidemark.llm.common import n_words, stored, words
+
+
+def rule_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality_rules.ledger(docs).filter(~quality_rules.fails("v1")).select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five-word shingles, similarity 0.8) the document
+    of the smallest doc_id stays; of rows that repeat a doc_id, one."""
+    found = minhash.near_duplicates(spark, docs, width=5, percent=80)
+    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return left
+    return left.filter("doc_id IS NULL").unionByName(left.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+
 
-STAGES: list = []
+def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 100 bytes that occur earlier are cut out of the texts; every document
+    stays, with n_chars as its text is now."""
+    out = suffix_dedup.remove_repeats(spark, docs)
+    return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: whole copies, and where the mix stops
+    inside a document its first words. Rows that agree in doc_id, source and size share
+    what they are given evenly."""
+    taken = mixing.mix(spark, docs).groupBy("doc_id", "source", "size").agg(F.floor(F.avg("taken")).cast("long").alias("_taken"))
+    taken = taken.filter("_taken > 0").select(*(F.col(c).alias(f"_{c}") for c in ("doc_id", "source", "size")), "_taken")
+    sized = docs.withColumn("_n", n_words(F.col("text")))
+    both = sized.join(taken, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size")))
+    rest = F.col("_taken") % F.col("_size")
+    copies = F.ceil(F.col("_taken") / F.col("_size")).cast("int")
+    each = both.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
+    part = (F.col("_copy") == copies) & (rest > 0)
+    each = each.withColumn("text", F.when(part, F.array_join(F.slice(words(F.col("text")), F.lit(1), rest.cast("int")), " ")).otherwise(F.col("text")))
+    return each.withColumn("n_chars", F.when(part, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the training sequences."""
+    return packing.pack(spark, docs)
+
+
+STAGES = [
+    ("quality_rules", rule_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("repeated_strings", repeat_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
+#: Tokenizing and packing cannot be stated in SQL; tests/llm holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stage over the whole table, each written and read again."""
-    from tidemark.llm.common import stored
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)

@@ -57,9 +57,10 @@ def drop_stored(spark: SparkSession, df: DataFrame) -> None:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 16 MB, whatever the texts' length."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    """Arrow batches of a few MB, whatever the texts' length: each is held by the JVM,
+    outside its heap, and by the Python worker at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
 def words(text: Column) -> Column:

@@ -81,18 +81,20 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("_at", F.sort_array(F.transform(F.filter("_grams", twice), lambda x: x["i"])))
     # Windows cover three words; of one that overlaps the window before, only what is new counts.
     new = F.transform("_at", lambda x, k: F.least(F.lit(3), x - F.coalesce(F.get("_at", k - 1), F.lit(-3))))
-    df = df.withColumns(
-        {
-            "n_words": F.size("_w").cast("long"),
-            "word_chars": (F.length(t) - _chars_of(t, SEPARATORS)).cast("long"),
-            "n_symbols": _chars_of(t, SYMBOLS).cast("long"),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_upper": _chars_of(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("long"),
-            "n_repeat_words": F.aggregate(new, F.lit(0), lambda a, x: a + x).cast("long"),
-            "n_distinct_words": F.size(F.array_distinct("_w")).cast("long"),
-        }
-    ).drop(*own)
+    measures = {
+        "n_words": F.size("_w"),
+        "word_chars": F.length(t) - _chars_of(t, SEPARATORS),
+        "n_symbols": _chars_of(t, SYMBOLS),
+        "n_lines": F.size("_lines"),
+        "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
+        "n_upper": _chars_of(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+        "n_repeat_words": F.aggregate(new, F.lit(0), lambda a, x: a + x),
+        "n_distinct_words": F.size(F.array_distinct("_w")),
+    }
+    # Through a generator no filter on a measure is pushed, so each is computed once;
+    # a filter below would repeat the expressions, the sorting inside their lambdas too.
+    row = F.struct(*(x.cast("long").alias(c) for c, x in measures.items()))
+    df = df.select(*docs.columns, F.inline(F.array(row)))
     bits = F.lit(0).cast("long")
     for i, rule in enumerate(rules()):
         bits = bits.bitwiseOR(F.when(rule.fails, F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
