@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SpanHash, bounded_batches, mix64, pieces, stored, text_view
+from tidemark.llm.common import ODD, SpanHash, bounded_batches, mix64, pieces, stored, text_view
 
 LENGTH, GRAM = 100, 24
 #: Bytes hashed at once; longer texts are taken in stretches.
@@ -42,6 +42,7 @@ CHUNK = 1 << 18
 #: Runs that a map task compares among themselves before they are sent.
 COMBINE = 1 << 19
 HOT = 1000
+BLOCK = 9
 #: Windows sorted at once.
 WINDOWS = 1 << 20
 LAST = (1 << 63) - 1
@@ -67,9 +68,10 @@ def _gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
 
 def runs(raw: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """Of texts that lie at `at` in raw: for each run of windows its text, first window,
-    number of windows, anchor hash and content hash."""
+    number of windows, the anchor's place from the first window, its hash, and the hash
+    of the content."""
     if len(raw) < length:
-        return (*(np.zeros(0, np.int64) for _ in range(3)), *(np.zeros(0, np.uint64) for _ in range(2)))
+        return (*(np.zeros(0, np.int64) for _ in range(4)), *(np.zeros(0, np.uint64) for _ in range(2)))
     h = _gram_hashes(raw, gram)
     m = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
     width, size = length - gram + 1, 1
@@ -86,7 +88,7 @@ def runs(raw: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = GRAM
     lo, hi = np.maximum(lo, at[row]), np.minimum(hi, at[row + 1] - length)
     ok = lo <= hi
     lo, hi, row, p = lo[ok], hi[ok], row[ok], p[ok]
-    return row, lo - at[row], hi - lo + 1, h[p], SpanHash(raw)(lo, hi + length)
+    return row, lo - at[row], hi - lo + 1, p - lo, h[p], SpanHash(raw)(lo, hi + length)
 
 
 def _texts(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
@@ -103,12 +105,17 @@ def _texts(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
             yield np.arange(i, j), raw[a:z], offsets[i : j + 1] - a, 0
 
 
+def _pos(first, anchor, count):
+    return (first << 16) | (anchor << 8) | count
+
+
 RUNS = "akey long, ckey long, doc long, tie long, pos long, known boolean"
 
 
 def _map_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """pos holds the first window and the number of windows. Runs that repeat another
-    of this task are known to be removed and need no comparison any more."""
+    """pos holds the first window, the anchor's place from it and the number of windows
+    (_pos). Runs that repeat another of this task are known to be removed and need no
+    comparison any more."""
     held: list[tuple] = []
     n = 0
 
@@ -131,9 +138,9 @@ def _map_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         docs, ties = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "tie"))
         for rows, part, at, base in _texts(b):
-            row, lo, count, akey, ckey = runs(part, at)
+            row, lo, count, anchor, akey, ckey = runs(part, at)
             own = rows[row]
-            held.append((akey, ckey, docs[own], ties[own], ((lo + base) << 8) | count))
+            held.append((akey, ckey, docs[own], ties[own], _pos(lo + base, anchor, count)))
             n += len(row)
             if n >= COMBINE:
                 yield flush()
@@ -141,86 +148,117 @@ def _map_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-CHECKS = "kind string, akey long, doc long, tie long, pos long"
-
-
-def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by akey, ckey, doc, tie, pos. A row whose ckey was there is
-    removed; first rows of an akey with several ckeys are to be checked. Holds at most
-    HOT rows of the akey in hand."""
-    held = np.zeros((4, 0), np.int64)  # akey, doc, tie, pos of first rows of the last akey
-    last, hot = (None, None), False
+def _sift(limit: int):
+    """Rows come sorted by akey, ckey, doc, tie, pos; adds kind. A row whose ckey was
+    there is removed; first rows of an akey with several ckeys are to be checked, or hot
+    if they are more than limit. Holds at most limit rows of the akey in hand."""
 
-    def rows(kind: str, x: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([kind] * x.shape[1], pa.string()), *(pa.array(v) for v in x)], ["kind", "akey", "doc", "tie", "pos"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        last, hot = (None, None), False
 
-    for b in batches:
-        x = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in ("akey", "ckey", "doc", "tie", "pos")])
-        known = b.column("known").to_numpy(zero_copy_only=False).astype(bool)
-        if known.any():
-            yield rows("removed", x[[0, 2, 3, 4]][:, known])
-            x = x[:, ~known]
-        if not x.shape[1]:
-            continue
-        akey, ckey = x[0], x[1]
-        again = np.zeros(len(akey), bool)
-        again[1:] = (akey[1:] == akey[:-1]) & (ckey[1:] == ckey[:-1])
-        again[0] = last == (akey[0], ckey[0])
-        if again.any():
-            yield rows("removed", x[[0, 2, 3, 4]][:, again])
-        if hot and akey[0] != last[0]:
-            hot = False
-        f = np.concatenate([held, x[[0, 2, 3, 4]][:, ~again]], axis=1)
-        last = (akey[-1], ckey[-1])
-        start = np.flatnonzero(np.diff(f[0], prepend=f[0][0] - 1 if f.shape[1] else 0)) if f.shape[1] else np.zeros(0, int)
-        size = np.diff(np.append(start, f.shape[1]))
-        each = np.repeat(size, size)
-        much = each > HOT
-        if hot and f.shape[1]:
-            much |= f[0] == akey[0]
-        open_ = f[0] == last[0]
-        hot = (hot and akey[0] == last[0]) or bool((open_ & much).any())
-        done = ~open_ | much
-        if (pick := done & much).any():
-            yield rows("hot", f[:, pick])
-        if (pick := done & ~much & (each > 1)).any():
-            yield rows("check", f[:, pick])
-        held = f[:, ~done]
-    if held.shape[1] > 1:
-        yield rows("check", held)
-
-
-def _contexts(hot: bool):
-    """Bytes of runs to be checked, or content hashes of each of their windows."""
+        def out(kind: str, t: pa.Table) -> Iterator[pa.RecordBatch]:
+            for b in t.combine_chunks().to_batches():
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(b), pa.string()), *b.columns], ["kind", *b.schema.names])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw, offsets = text_view(b.column("text"))
-            lists = b.column("todo")
-            item, owner = lists.flatten(), np.repeat(np.arange(len(b)), np.diff(lists.offsets.to_numpy()))
-            akey, pos = (item.field(c).to_numpy(zero_copy_only=False) for c in ("akey", "pos"))
-            doc, tie = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "tie"))
-            for i in range(0, len(pos), 20_000):
-                o, p = owner[i : i + 20_000], pos[i : i + 20_000]
-                lo, size = offsets[o] + (p >> 8), (p & 255) + LENGTH - 1
-                if not hot:
-                    text = [raw[s : s + n].tobytes() for s, n in zip(lo, size, strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(akey[i : i + 20_000]), pa.array(doc[o]), pa.array(tie[o]), pa.array(p), pa.array(text, pa.binary())], ["akey", "doc", "tie", "pos", "context"])
-                    continue
-                for j in range(0, len(o), 2000):
-                    part = np.concatenate([raw[s : s + n] for s, n in zip(lo[j : j + 2000], size[j : j + 2000], strict=True)])
-                    n = p[j : j + 2000] & 255
-                    begin = np.concatenate([[0], np.cumsum(size[j : j + 2000])[:-1]])
-                    own = np.repeat(np.arange(len(n)), n)
-                    k = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
-                    at = begin[own] + k
-                    w1, w2 = SpanHash(part)(at, at + LENGTH), SpanHash(part, 0xC2B2AE3D27D4EB4F)(at, at + LENGTH)
-                    oo = o[j : j + 2000][own]
-                    yield pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(doc[oo]), pa.array(tie[oo]), pa.array((p[j : j + 2000] >> 8)[own] + k)], ["w1", "w2", "doc", "tie", "start"])
+            t = pa.Table.from_batches([b])
+            known = b.column("known").to_numpy(zero_copy_only=False).astype(bool)
+            if known.any():
+                yield from out("removed", t.filter(pa.array(known)))
+                t = t.filter(pa.array(~known))
+            if not len(t):
+                continue
+            akey, ckey = (t.column(c).to_numpy() for c in ("akey", "ckey"))
+            again = np.zeros(len(akey), bool)
+            again[1:] = (akey[1:] == akey[:-1]) & (ckey[1:] == ckey[:-1])
+            again[0] = last == (akey[0], ckey[0])
+            if again.any():
+                yield from out("removed", t.filter(pa.array(again)))
+            hot = hot and akey[0] == last[0]
+            f = t.filter(pa.array(~again))
+            f = f if held is None else pa.concat_tables([held, f])
+            last = (akey[-1], ckey[-1])
+            keys = f.column("akey").to_numpy()
+            new = np.ones(len(keys), bool)
+            new[1:] = keys[1:] != keys[:-1]
+            start = np.flatnonzero(new)
+            each = np.repeat(np.diff(np.append(start, len(keys))), np.diff(np.append(start, len(keys))))
+            much = (each > limit) | (hot & (keys == akey[0]))
+            open_ = keys == last[0]
+            hot = (hot and akey[0] == last[0]) or bool((open_ & much).any())
+            done = ~open_ | much
+            for kind, pick in (("hot", done & much), ("check", done & ~much & (each > 1))):
+                if pick.any():
+                    yield from out(kind, f.filter(pa.array(pick)))
+            held = f.filter(pa.array(~done)).combine_chunks()
+        if held is not None and len(held) > 1:
+            yield from out("check", held)
 
     return run
 
 
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of the runs in `todo` of each text."""
+    for b in batches:
+        raw, offsets = text_view(b.column("text"))
+        lists = b.column("todo")
+        item, owner = lists.flatten(), np.repeat(np.arange(len(b)), np.diff(lists.offsets.to_numpy()))
+        akey, pos = (item.field(c).to_numpy(zero_copy_only=False) for c in ("akey", "pos"))
+        kind = item.field("kind")
+        doc, tie = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "tie"))
+        for i in range(0, len(pos), 20_000):
+            o, p = owner[i : i + 20_000], pos[i : i + 20_000]
+            lo, size = offsets[o] + (p >> 16), (p & 255) + LENGTH - 1
+            text = [raw[s : s + n].tobytes() for s, n in zip(lo, size, strict=True)]
+            yield pa.RecordBatch.from_arrays([kind[i : i + 20_000], pa.array(akey[i : i + 20_000]), pa.array(doc[o]), pa.array(tie[o]), pa.array(p), pa.array(text, pa.binary())], ["kind", "akey", "doc", "tie", "pos", "context"])
+
+
+def _ranges(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each i, count[i] times i, and beside it 0 to count[i] - 1."""
+    own = np.repeat(np.arange(len(count)), count)
+    return own, np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hot runs cut where an anchor's place in the window, over BLOCK, changes: the bytes
+    that all windows with such places share are the block's new key."""
+    for b in batches:
+        raw, at = text_view(b.column("context"))
+        akey, doc, tie, pos = (b.column(c).to_numpy() for c in ("akey", "doc", "tie", "pos"))
+        first, anchor, n = pos >> 16, pos >> 8 & 255, pos & 255
+        # Window k of a run has its anchor at anchor - k; blocks hold places of one quotient.
+        low, high = (anchor - n + 1) // BLOCK, anchor // BLOCK
+        own, k = _ranges(high - low + 1)
+        q = high[own] - k
+        a = np.maximum(0, anchor[own] - (q * BLOCK + BLOCK - 1))
+        z = np.minimum(n[own] - 1, anchor[own] - q * BLOCK)
+        h = SpanHash(raw)
+        base = at[own]
+        # Shared by every place of the quotient, whether or not this run has all of them.
+        shared = base + anchor[own] - q * BLOCK
+        core = h(shared, shared - (BLOCK - 1) + LENGTH)
+        # What precedes the anchor in the core tells blocks of one run apart, so q is in the key.
+        key = mix64(core ^ mix64(akey[own].view(np.uint64) + q.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        ckey = h(base + a, base + z + LENGTH)
+        text = [raw[s:e].tobytes() for s, e in zip(base + a, base + z + LENGTH, strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(key.view(np.int64)), pa.array(ckey.view(np.int64)), pa.array(doc[own]), pa.array(tie[own]), pa.array(_pos(first[own] + a, anchor[own] - a, z - a + 1)), pa.array(np.zeros(len(own), bool)), pa.array(text, pa.binary())],
+            ["akey", "ckey", "doc", "tie", "pos", "known", "context"],
+        )
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every window of a context, as two hashes of its content."""
+    for b in batches:
+        raw, at = text_view(b.column("context"))
+        doc, tie, pos = (b.column(c).to_numpy() for c in ("doc", "tie", "pos"))
+        own, k = _ranges(pos & 255)
+        s = at[own] + k
+        w1, w2 = (SpanHash(raw, base)(s, s + LENGTH).view(np.int64) for base in (ODD, 0xC2B2AE3D27D4EB4F))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w1, w2, doc[own], tie[own], (pos >> 16)[own] + k)], ["w1", "w2", "doc", "tie", "start"])
+
+
 def radix_repeats(raw: np.ndarray, start: np.ndarray, group: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Which windows equal an earlier one (by index) of their group: passes over digits
     of eight bytes, most significant first, windows that are alone dropping out."""
@@ -257,9 +295,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def judge(t: pa.Table) -> pa.RecordBatch:
         raw, at = text_view(t.column("context"))
         akey, doc, tie, pos = (t.column(c).to_numpy() for c in ("akey", "doc", "tie", "pos"))
-        count = pos & 255
-        own = np.repeat(np.arange(len(pos)), count)
-        k = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+        own, k = _ranges(pos & 255)
         group = np.cumsum(np.diff(akey, prepend=akey[0]) != 0)
         gone = radix_repeats(raw, at[own] + k, group[own])
         # Neighbouring removed windows of one run become one row.
@@ -269,7 +305,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead = at_[first]
         size = np.diff(np.append(np.flatnonzero(first), len(at_)))
         o = own[lead]
-        return pa.RecordBatch.from_arrays([pa.array(doc[o]), pa.array(tie[o]), pa.array((((pos[o] >> 8) + k[lead]) << 8) | size)], ["doc", "tie", "pos"])
+        return pa.RecordBatch.from_arrays([pa.array(doc[o]), pa.array(tie[o]), pa.array(_pos((pos[o] >> 16) + k[lead], 0, size))], ["doc", "tie", "pos"])
 
     for b in batches:
         held.append(b)
@@ -298,25 +334,31 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("tie", tie)
 
 
-def removed_runs(spark: SparkSession, keyed: DataFrame) -> DataFrame:
-    """doc, tie, pos (first window << 8 | windows): windows that occur earlier."""
+def removed_runs(spark: SparkSession, keyed: DataFrame, hot_runs: int = HOT) -> DataFrame:
+    """doc, tie, pos (_pos): runs of windows that occur earlier."""
     bounded_batches(spark)
     slim = keyed.select("doc", "tie", "text")
-    found = slim.mapInArrow(_map_runs, RUNS).repartition("akey").sortWithinPartitions("akey", "ckey", "doc", "tie", "pos")
-    sifted = stored(found.mapInArrow(_sift, CHECKS), "suffix-runs")
+    order = ("akey", "ckey", "doc", "tie", "pos")
+    found = slim.mapInArrow(_map_runs, RUNS).repartition("akey").sortWithinPartitions(*order)
+    sifted = stored(found.mapInArrow(_sift(hot_runs), f"kind string, {RUNS}").drop("ckey", "known"), "suffix-runs")
     out = sifted.filter("kind = 'removed'").select("doc", "tie", "pos")
-    todo = lambda kind: sifted.filter(F.col("kind") == kind).groupBy("doc", "tie").agg(F.collect_list(F.struct("akey", "pos")).alias("todo"))
-    some = {r["kind"] for r in sifted.groupBy("kind").agg(F.lit(1)).collect()}
-    if "check" in some:
-        work = slim.join(todo("check"), ["doc", "tie"]).mapInArrow(_contexts(False), "akey long, doc long, tie long, pos long, context binary")
-        work = work.repartition("akey").sortWithinPartitions("akey", "doc", "tie", "pos")
-        out = out.unionByName(work.mapInArrow(_compare, "doc long, tie long, pos long"))
-    if "hot" in some:
-        windows = stored(slim.join(todo("hot"), ["doc", "tie"]).mapInArrow(_contexts(True), "w1 long, w2 long, doc long, tie long, start long").distinct(), "suffix-hot")
+    todo = sifted.filter("kind <> 'removed'").groupBy("doc", "tie").agg(F.collect_list(F.struct("kind", "akey", "pos")).alias("todo"))
+    work = slim.join(todo, ["doc", "tie"]).mapInArrow(_contexts, "kind string, akey long, doc long, tie long, pos long, context binary")
+    work = stored(work, "suffix-contexts")
+    check = work.filter("kind = 'check'")
+    hot = work.filter("kind = 'hot'")
+    if not hot.isEmpty():
+        cut = hot.mapInArrow(_blocks, f"{RUNS}, context binary").repartition("akey").sortWithinPartitions(*order)
+        again = stored(cut.mapInArrow(_sift(hot_runs), f"kind string, {RUNS}, context binary").drop("ckey", "known"), "suffix-blocks")
+        out = out.unionByName(again.filter("kind = 'removed'").select("doc", "tie", "pos"))
+        check = check.unionByName(again.filter("kind = 'check'"))
+        windows = again.filter("kind = 'hot'").mapInArrow(_windows, "w1 long, w2 long, doc long, tie long, start long").distinct()
+        windows = stored(windows, "suffix-windows")
         first = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc", "tie", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
         later = windows.join(first, ["w1", "w2"]).filter(F.struct("doc", "tie", "start") != F.col("first"))
-        out = out.unionByName(later.select("doc", "tie", F.shiftleft("start", 8).bitwiseOR(F.lit(1).cast("long")).alias("pos")))
-    return out
+        out = out.unionByName(later.select("doc", "tie", F.shiftleft("start", 16).bitwiseOR(F.lit(1).cast("long")).alias("pos")))
+    check = check.drop("kind").repartition("akey").sortWithinPartitions("akey", "doc", "tie", "pos")
+    return out.unionByName(check.mapInArrow(_compare, "doc long, tie long, pos long"))
 
 
 def spans_of(pos: np.ndarray, n_bytes: int) -> np.ndarray:
@@ -324,7 +366,7 @@ def spans_of(pos: np.ndarray, n_bytes: int) -> np.ndarray:
     if not len(pos):
         return np.zeros((0, 2), np.int64)
     pos = np.sort(pos)
-    start = pos >> 8
+    start = pos >> 16
     end = np.minimum(np.maximum.accumulate(start + (pos & 255) - 1 + LENGTH), n_bytes)
     new = np.ones(len(start), bool)
     new[1:] = start[1:] > end[:-1]
@@ -365,24 +407,24 @@ def _apply(kept_text: bool):
     return run
 
 
-def _with_runs(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def _with_runs(spark: SparkSession, docs: DataFrame, hot_runs: int) -> DataFrame:
     keyed = _keyed(docs)
-    gone = removed_runs(spark, keyed).groupBy("doc", "tie").agg(F.collect_list("pos").alias("runs"))
+    gone = removed_runs(spark, keyed, hot_runs).groupBy("doc", "tie").agg(F.collect_list("pos").alias("runs"))
     return keyed.join(gone, ["doc", "tie"], "left").drop("doc", "tie")
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def remove_repeats(spark: SparkSession, docs: DataFrame, hot_runs: int = HOT) -> DataFrame:
     """docs with the repeated bytes of `text` taken out; a character that loses some of
     its bytes goes as a whole. All rows and other columns stay."""
     clash = {c: f"_own_{c}" for c in docs.columns if c in ("doc", "tie", "runs")}
-    wide = _with_runs(spark, docs.withColumnsRenamed(clash))
+    wide = _with_runs(spark, docs.withColumnsRenamed(clash), hot_runs)
     schema = wide.drop("runs").schema
     return wide.mapInArrow(_apply(True), schema).withColumnsRenamed({v: k for k, v in clash.items()}).select(*docs.columns)
 
 
-def removal_report(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def removal_report(spark: SparkSession, docs: DataFrame, hot_runs: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row of docs."""
-    wide = _with_runs(spark, docs.select("doc_id", "text"))
+    wide = _with_runs(spark, docs.select("doc_id", "text"), hot_runs)
     return wide.select(F.col("doc_id").cast("long"), "text", "runs").mapInArrow(_apply(False), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
