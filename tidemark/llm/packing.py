@@ -44,16 +44,18 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 def _cut(path: str, window: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, tail = encoder(path, 4), np.array([end], "<u4").tobytes()
+        enc, tail = encoder(path), np.array([end], "<u4").tobytes()
         for b in batches:
-            ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            for i in range(0, len(ids), 256):
-                rows = []
-                for doc, data in zip(ids[i : i + 256], enc.encode([t or "" for t in texts[i : i + 256]]), strict=True):
-                    data += tail
-                    n = len(data) // 4
-                    rows += [(doc, s, min(window, n - s), zlib.crc32(data[4 * s : 4 * (s + window)]), n) for s in range(0, n, window)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            ids, at = enc.encode(b.column("text"))
+            data, rows = memoryview(ids.astype("<u4", copy=False)).cast("B"), []
+            for doc, first, last in zip(b.column("doc_id").to_pylist(), at.tolist(), at[1:].tolist(), strict=False):
+                n = last - first + 1
+                for s in range(0, n, window):
+                    stop = min(n, s + window)
+                    crc = zlib.crc32(data[4 * (first + s) : 4 * min(first + stop, last)])
+                    rows.append((doc, s, stop - s, zlib.crc32(tail, crc) if stop == n else crc, n))
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return run
 

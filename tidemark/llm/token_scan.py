@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -40,7 +41,8 @@ FILE_BYTES = 64 << 20
 def _writer(root: str, path: str, end: int, width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = pafs.FileSystem.from_uri(root)
-        enc, sep = encoder(path, width, True), np.array([end], f"<u{width}").tobytes()
+        enc, kind = encoder(path, True), f"<u{width}"
+        sep = np.array([end], kind).tobytes()
         name = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
         part, size, out, final, n, rows = 0, 0, None, "", 0, []
 
@@ -54,18 +56,18 @@ def _writer(root: str, path: str, end: int, width: int):
             out, part, size, n, rows = None, part + 1, 0, 0, []
 
         for b in batches:
-            for i in range(0, len(b), 256):
-                ids = b["doc_id"].iloc[i : i + 256]
-                for doc, data in zip(ids, enc.encode([t or "" for t in b["text"].iloc[i : i + 256]]), strict=True):
-                    if out is None:
-                        final = posixpath.join(base, f"{name}-{part:04d}.tok")
-                        out = fs.open_output_stream(final + ".tmp")
-                    out.write(data + sep)
-                    size += len(data) + width
-                    rows.append((posixpath.basename(final), n, doc, 0))
-                    n += 1
-                    if size >= FILE_BYTES:
-                        yield from close()
+            ids, at = enc.encode(pa.array(b["text"], pa.string(), from_pandas=True))
+            ids = ids.astype(kind)
+            for doc, first, last in zip(b["doc_id"], at, at[1:], strict=False):
+                if out is None:
+                    final = posixpath.join(base, f"{name}-{part:04d}.tok")
+                    out = fs.open_output_stream(final + ".tmp")
+                out.write(ids[first:last].tobytes() + sep)
+                size += int(last - first + 1) * width
+                rows.append((posixpath.basename(final), n, doc, 0))
+                n += 1
+                if size >= FILE_BYTES:
+                    yield from close()
         yield from close()
 
     return run
