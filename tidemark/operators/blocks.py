@@ -110,7 +110,7 @@ def breakers(blocks: DataFrame, failed: DataFrame, breaks: DataFrame, bars: Data
         trigger = F.col("failed_at")
     turned = F.when(F.col("direction") == BULL, BEAR).otherwise(BULL)
     rows = rows.withColumn("_c", F.greatest("confirmation_timestamp", trigger))
-    return rows.select(*KEY, F.concat(F.lit("breaker|"), "order_block_id").alias("breaker_id"), turned.alias("direction"), "top", "bottom", F.col("order_block_id").alias("source_order_block_id"), "break_id", F.col("failure_timestamp").alias("event_timestamp"), F.col("_c").alias("confirmation_timestamp"), "failed_at", "failure_close")
+    return rows.select(*KEY, zone_id("breaker", turned, stamp("failure_timestamp"), "order_block_id").alias("breaker_id"), turned.alias("direction"), "top", "bottom", F.col("order_block_id").alias("source_order_block_id"), "break_id", F.col("failure_timestamp").alias("event_timestamp"), F.col("_c").alias("confirmation_timestamp"), "failed_at", "failure_close")
 
 
 def failed_without_structure(failed: DataFrame, made: DataFrame) -> DataFrame:
@@ -127,9 +127,10 @@ def unicorns(made: DataFrame, zones: DataFrame, tf: Timeframe, max_bars: int = 5
     p = a.join(b, [*KEY, "direction", "_cell"]).withColumn("top", F.least("b_top", "z_top")).withColumn("bottom", F.greatest("b_bottom", "z_bottom"))
     gap = F.abs(F.unix_seconds("b_confirmation_timestamp") - F.unix_seconds("z_confirmation_timestamp"))
     p = p.withColumn("bars_between", F.floor(gap / (tf.minutes * 60)).cast("int")).filter((F.col("top") > F.col("bottom")) & (F.col("bars_between") <= max_bars))
+    p = p.withColumn("_c", F.greatest("b_confirmation_timestamp", "z_confirmation_timestamp"))
     inside = (F.col("z_top") <= F.col("b_top")) & (F.col("z_bottom") >= F.col("b_bottom"))
     return p.select(
-        *KEY, F.concat_ws("|", F.lit("unicorn"), "b_breaker_id", "z_zone_id").alias("unicorn_id"), "direction", "top", "bottom", F.col("b_breaker_id").alias("source_breaker_id"), F.col("z_zone_id").alias("source_fvg_id"), F.col("b_source_order_block_id").alias("source_order_block_id"),
+        *KEY, F.concat_ws("|", zone_id("unicorn", stamp("_c"), "b_breaker_id"), "z_zone_id").alias("unicorn_id"), "direction", "top", "bottom", F.col("b_breaker_id").alias("source_breaker_id"), F.col("z_zone_id").alias("source_fvg_id"), F.col("b_source_order_block_id").alias("source_order_block_id"),
         F.greatest("b_event_timestamp", "z_event_timestamp").alias("event_timestamp"), F.greatest("b_confirmation_timestamp", "z_confirmation_timestamp").alias("confirmation_timestamp"), inside.alias("fully_contained"), "bars_between",
     )
 

@@ -67,8 +67,8 @@ def ifvg(zones: DataFrame, bars: DataFrame, trigger: str = "close_through_far_ed
     hit = hit.withColumn("bars_to_invert", (F.col("hit_idx") - F.col("idx")).cast("int"))
     hit = bars_at(hit, bars, "hit_idx", {"timestamp": "trigger_timestamp", "close_time": "_confirm", "close": "trigger_close"})
     return hit.select(
-        *KEY, F.when(bull, BEAR).otherwise(BULL).alias("direction"), "top", "bottom", F.col("zone_id").alias("source_fvg_id"), "event_timestamp", "trigger_timestamp", F.col("_confirm").alias("confirmation_timestamp"), "trigger_close", "bars_to_invert",
-        F.col("hit_idx").alias("idx"), F.concat(F.lit("i"), "zone_id").alias("ifvg_id"),
+        *KEY, F.when(bull, BEAR).otherwise(BULL).alias("direction"), "top", "bottom", F.col("zone_id").alias("source_fvg_id"), F.col("trigger_timestamp").alias("event_timestamp"), F.col("_confirm").alias("confirmation_timestamp"), "trigger_close", "bars_to_invert",
+        F.col("hit_idx").alias("idx"), zone_id("ifvg", stamp("trigger_timestamp"), "zone_id").alias("ifvg_id"),
     )
 
 

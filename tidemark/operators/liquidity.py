@@ -50,21 +50,21 @@ def equal_levels(pivots: DataFrame, config: LiquidityConfig = LiquidityConfig())
     )
 
 
-def _both_sides(rows: DataFrame, prefix: str, label: Column, confirmed: str) -> DataFrame:
+def _both_sides(rows: DataFrame, scope: str, prefix: str, label: Column, confirmed: str) -> DataFrame:
     one = lambda side, kind, price, at: F.struct(F.lit(side).alias("side"), F.lit(f"{prefix}_{kind}").alias("liquidity_type"), F.col(price).alias("price_level"), F.col(at).alias("created_timestamp"))
     rows = rows.withColumn("_l", F.explode(F.array(one(BUY, "high", "high_price", "high_timestamp"), one(SELL, "low", "low_price", "low_timestamp")))).withColumn("_label", label).withColumn("_c", F.col(confirmed))
     rows = rows.select(*KEY, "_l.*", "_label", F.col("_c").alias("confirmation_timestamp"))
-    return rows.withColumn("level_id", _level(F.col("liquidity_type"), "_label")).select(*COLUMNS)
+    return rows.withColumn("level_id", _level(scope, "liquidity_type", "_label")).select(*COLUMNS)
 
 
 def session_levels(done: DataFrame) -> DataFrame:
-    return _both_sides(done, "session", F.concat_ws(":", "name", F.col("local_date").cast("string")), "end_utc")
+    return _both_sides(done, "session", "session", F.concat_ws(":", "name", F.col("local_date").cast("string")), "end_utc")
 
 
 def period_levels(days: DataFrame, weeks: DataFrame) -> DataFrame:
     """Previous day's and week's extremes, known when the day or week has ended."""
-    d = _both_sides(days.filter("completed"), "previous_day", F.col("local_date").cast("string"), "end_utc")
-    return d.unionByName(_both_sides(weeks.filter("completed"), "previous_week", F.col("week").cast("string"), "end_utc"))
+    d = _both_sides(days.filter("completed"), "day", "previous_day", F.col("local_date").cast("string"), "end_utc")
+    return d.unionByName(_both_sides(weeks.filter("completed"), "week", "previous_week", F.col("week").cast("string"), "end_utc"))
 
 
 def pending_periods(days: DataFrame, weeks: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from tidemark.operators import bars as B
 from tidemark.operators import blocks, gaps, liquidity, ranges, swings
 from tidemark.operators import calendar as cal
 from tidemark.schema import SESSIONS, Timeframe, prepared, utc
+from tidemark.sources.shared import kept
 
 
 def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,10 +25,10 @@ def event_bars(spark: SparkSession, sf_dir: str, tf: Timeframe) -> DataFrame:
 
 
 class Market:
-    """Lazily built, persisted views over bars of any number of series.
+    """Lazily built, shared views over bars of any number of series.
 
-    What several detectors read (bars, swings, gaps, blocks, breaks) is persisted: each is
-    a few columns per bar or fewer, and spills to disk where memory is short."""
+    What several detectors read (bars, swings, gaps, blocks, breaks) is written once to the
+    shared folder and read from there, which keeps the plans of what follows short."""
 
     def __init__(self, raw: DataFrame, tf: Timeframe, swing_config=swings.SwingConfig(), structure_config=swings.StructureConfig(), fvg_config=gaps.FvgConfig(), block_config=blocks.OrderBlockConfig(), liquidity_config=liquidity.LiquidityConfig(), sessions=SESSIONS, require_structure: bool = True, strict_propagation: bool = False):
         self.raw, self.tf, self.spark = raw, tf, raw.sparkSession
@@ -35,13 +36,16 @@ class Market:
         self.block_config, self.liquidity_config, self.session_defs = block_config, liquidity_config, sessions
         self.require_structure, self.strict_propagation = require_structure, strict_propagation
 
+    def _kept(self, df: DataFrame) -> DataFrame:
+        return kept(df, "market")
+
     @cached_property
     def bars(self) -> DataFrame:
-        return prepared(self.raw, self.tf).persist()
+        return self._kept(prepared(self.raw, self.tf))
 
     @cached_property
     def swings(self) -> DataFrame:
-        return swings.swings(self.bars, self.swing_config).persist()
+        return self._kept(swings.swings(self.bars, self.swing_config))
 
     @cached_property
     def labels(self) -> DataFrame:
@@ -49,7 +53,7 @@ class Market:
 
     @cached_property
     def breaks(self) -> DataFrame:
-        return swings.structure_breaks(self.bars, self.swings, self.structure_config).persist()
+        return self._kept(swings.structure_breaks(self.bars, self.swings, self.structure_config))
 
     @cached_property
     def default_breaks(self) -> DataFrame:
@@ -57,11 +61,11 @@ class Market:
         strict_propagation hands them the configured ones."""
         if self.strict_propagation or self.swing_config == swings.SwingConfig():
             return self.breaks
-        return swings.structure_breaks(self.bars, swings.swings(self.bars), self.structure_config).persist()
+        return self._kept(swings.structure_breaks(self.bars, swings.swings(self.bars), self.structure_config))
 
     @cached_property
     def fvg(self) -> DataFrame:
-        return gaps.fvg_zones(self.bars, self.fvg_config).persist()
+        return self._kept(gaps.fvg_zones(self.bars, self.fvg_config))
 
     @cached_property
     def fvg_fills(self) -> DataFrame:
@@ -69,39 +73,39 @@ class Market:
 
     @cached_property
     def ifvg(self) -> DataFrame:
-        return gaps.ifvg(self.fvg, self.bars).persist()
+        return self._kept(gaps.ifvg(self.fvg, self.bars))
 
     @cached_property
     def bpr(self) -> DataFrame:
-        return gaps.bpr(self.fvg, self.tf).persist()
+        return self._kept(gaps.bpr(self.fvg, self.tf))
 
     @cached_property
     def rdrb(self) -> DataFrame:
-        return gaps.rdrb(self.bars).persist()
+        return self._kept(gaps.rdrb(self.bars))
 
     @cached_property
     def blocks(self) -> DataFrame:
-        return blocks.order_blocks(self.bars, self.fvg, self.block_config).persist()
+        return self._kept(blocks.order_blocks(self.bars, self.fvg, self.block_config))
 
     @cached_property
     def failures(self) -> DataFrame:
-        return blocks.failures(self.blocks, self.bars).persist()
+        return self._kept(blocks.failures(self.blocks, self.bars))
 
     @cached_property
     def breakers(self) -> DataFrame:
-        return blocks.breakers(self.blocks, self.failures, self.default_breaks, self.bars, self.require_structure).persist()
+        return self._kept(blocks.breakers(self.blocks, self.failures, self.default_breaks, self.bars, self.require_structure))
 
     @cached_property
     def unicorns(self) -> DataFrame:
-        return blocks.unicorns(self.breakers, self.fvg, self.tf).persist()
+        return self._kept(blocks.unicorns(self.breakers, self.fvg, self.tf))
 
     @cached_property
     def cisd(self) -> DataFrame:
-        return blocks.cisd(self.bars).persist()
+        return self._kept(blocks.cisd(self.bars))
 
     @cached_property
     def ranges(self) -> DataFrame:
-        return ranges.dealing_ranges(self.default_breaks, self.swings).persist()
+        return self._kept(ranges.dealing_ranges(self.default_breaks, self.swings))
 
     @cached_property
     def observations(self) -> DataFrame:
@@ -109,11 +113,11 @@ class Market:
 
     @cached_property
     def windows(self) -> DataFrame:
-        return cal.windows(self.spark, cal.span_of(self.bars), self.session_defs).persist()
+        return self._kept(cal.windows(self.spark, cal.span_of(self.bars), self.session_defs))
 
     @cached_property
     def day_windows(self) -> DataFrame:
-        return cal.windows(self.spark, cal.span_of(self.bars), cal.TRADING_DAY).persist()
+        return self._kept(cal.windows(self.spark, cal.span_of(self.bars), cal.TRADING_DAY))
 
     @cached_property
     def sessions(self) -> DataFrame:
@@ -134,8 +138,8 @@ class Market:
     @cached_property
     def levels(self) -> DataFrame:
         lq = liquidity
-        return lq.all_levels(lq.swing_levels(self.swings), lq.equal_levels(self.swings, self.liquidity_config), lq.session_levels(self.sessions), lq.period_levels(self.days, self.weeks)).persist()
+        return self._kept(lq.all_levels(lq.swing_levels(self.swings), lq.equal_levels(self.swings, self.liquidity_config), lq.session_levels(self.sessions), lq.period_levels(self.days, self.weeks)))
 
     @cached_property
     def sweeps(self) -> DataFrame:
-        return liquidity.sweeps(self.levels, self.bars, self.liquidity_config).persist()
+        return self._kept(liquidity.sweeps(self.levels, self.bars, self.liquidity_config))

@@ -123,7 +123,7 @@ failed AS (
 
 _BREAKERS = """
 breakers AS (
-  SELECT f.symbol, 'breaker|' || f.order_block_id AS breaker_id, CASE WHEN f.direction = 'bullish' THEN 'bearish' ELSE 'bullish' END AS direction, f.top, f.bottom, f.order_block_id AS source_order_block_id, s.break_id,
+  SELECT f.symbol, 'breaker:' || f.symbol || ':1h:' || CASE WHEN f.direction = 'bullish' THEN 'bearish' ELSE 'bullish' END || ':' || strftime(f.failure_timestamp, '%Y-%m-%dT%H:%M:%S') || ':' || f.order_block_id AS breaker_id, CASE WHEN f.direction = 'bullish' THEN 'bearish' ELSE 'bullish' END AS direction, f.top, f.bottom, f.order_block_id AS source_order_block_id, s.break_id,
          f.failure_timestamp AS event_timestamp, greatest(f.confirmation_timestamp, s.confirmation_timestamp) AS confirmation_timestamp, f.failed_at, f.failure_close
   FROM failed f JOIN LATERAL (
     SELECT break_id, confirmation_timestamp FROM breaks k WHERE k.symbol = f.symbol AND k.direction <> f.direction AND k.idx BETWEEN f.failure_idx AND f.failure_idx + 20 ORDER BY k.idx LIMIT 1) s ON true)"""
@@ -185,7 +185,7 @@ ext AS (
   SELECT symbol, 'week', week, timezone('UTC', timezone('America/New_York', (week + 5)::DATE + TIME '17:00:00')), max(high), min(low), arg_min(timestamp, (-high, timestamp)), arg_min(timestamp, (low, timestamp)), any_value(z)
   FROM (SELECT *, local_date - (isodow(local_date) % 7)::INT AS week FROM dbars WHERE isodow(local_date) IN (7, 1, 2, 3, 4)) GROUP BY symbol, week),
 periods AS (
-  SELECT symbol, 'previous_' || period || '_' || kind || ':' || symbol || ':1h:' || label::VARCHAR AS level_id, 'previous_' || period || '_' || kind AS liquidity_type, CASE kind WHEN 'high' THEN 'buy_side' ELSE 'sell_side' END AS side,
+  SELECT symbol, period || ':' || symbol || ':1h:previous_' || period || '_' || kind || ':' || label::VARCHAR AS level_id, 'previous_' || period || '_' || kind AS liquidity_type, CASE kind WHEN 'high' THEN 'buy_side' ELSE 'sell_side' END AS side,
          CASE kind WHEN 'high' THEN high_price ELSE low_price END AS price_level, CASE kind WHEN 'high' THEN high_timestamp ELSE low_timestamp END AS created_timestamp, end_utc AS confirmation_timestamp
   FROM ext, (VALUES ('high'), ('low')) k(kind) WHERE z >= end_utc)"""
 )
@@ -213,7 +213,7 @@ levels AS (
   SELECT symbol, 'swing:' || symbol || ':1h:' || direction || ':' || {_TS('event_timestamp')} AS level_id, CASE WHEN direction = 'bullish' THEN 'swing_high' ELSE 'swing_low' END AS liquidity_type,
          CASE WHEN direction = 'bullish' THEN 'buy_side' ELSE 'sell_side' END AS side, price_level, event_timestamp AS created_timestamp, confirmation_timestamp FROM swings
   UNION ALL SELECT * FROM equals
-  UNION ALL SELECT symbol, 'session_' || kind || ':' || symbol || ':1h:' || name || ':' || local_date::VARCHAR, 'session_' || kind, CASE kind WHEN 'high' THEN 'buy_side' ELSE 'sell_side' END, CASE kind WHEN 'high' THEN high_price ELSE low_price END,
+  UNION ALL SELECT symbol, 'session:' || symbol || ':1h:session_' || kind || ':' || name || ':' || local_date::VARCHAR, 'session_' || kind, CASE kind WHEN 'high' THEN 'buy_side' ELSE 'sell_side' END, CASE kind WHEN 'high' THEN high_price ELSE low_price END,
          CASE kind WHEN 'high' THEN high_timestamp ELSE low_timestamp END, end_utc FROM done, (VALUES ('high'), ('low')) k(kind)
   UNION ALL SELECT * FROM periods)"""
 )
@@ -224,6 +224,149 @@ sweeps AS (
   FROM levels l JOIN LATERAL (SELECT * FROM bars b WHERE b.symbol = l.symbol AND b.close_time >= l.confirmation_timestamp AND CASE WHEN l.side = 'buy_side' THEN b.high > l.price_level ELSE b.low < l.price_level END ORDER BY idx LIMIT 1) h ON true)"""
 
 
+_IFVG_ID = f"'ifvg:' || symbol || ':1h:' || {_TS('event_timestamp')} || ':' || zone_id"
+#: Every zone of every kind, and the bar that fills it.
+_ZONES = f"""
+ifvg2 AS (
+  SELECT i.symbol, CASE i.direction WHEN 'bullish' THEN 'bearish' ELSE 'bullish' END AS direction, i.top, i.bottom, b.timestamp AS event_timestamp, i.hit_close AS confirmation_timestamp, i.zone_id FROM ifvg i JOIN bars b ON b.symbol = i.symbol AND b.idx = i.hit),
+bpr AS (
+  SELECT u.symbol, CASE WHEN u.confirmation_timestamp >= d.confirmation_timestamp THEN 'bullish' ELSE 'bearish' END AS direction, least(u.top, d.top) AS top, greatest(u.bottom, d.bottom) AS bottom, greatest(u.event_timestamp, d.event_timestamp) AS event_timestamp,
+         greatest(u.confirmation_timestamp, d.confirmation_timestamp) AS confirmation_timestamp, 'bpr|' || u.zone_id || '|' || d.zone_id AS id
+  FROM fvg u JOIN fvg d ON u.symbol = d.symbol AND u.direction = 'bullish' AND d.direction = 'bearish' AND least(u.top, d.top) > greatest(u.bottom, d.bottom) AND abs(date_diff('hour', u.confirmation_timestamp, d.confirmation_timestamp)) <= 100),
+rdrb AS (
+  SELECT a.symbol, k.direction, CASE k.direction WHEN 'bullish' THEN d.low ELSE b.high END AS top, CASE k.direction WHEN 'bullish' THEN b.low ELSE d.high END AS bottom, a.timestamp AS event_timestamp, d.close_time AS confirmation_timestamp
+  FROM bars a JOIN bars b ON b.symbol = a.symbol AND b.idx = a.idx + 1 AND b.timestamp = a.close_time JOIN bars c ON c.symbol = a.symbol AND c.idx = a.idx + 2 AND c.timestamp = b.close_time JOIN bars d ON d.symbol = a.symbol AND d.idx = a.idx + 3 AND d.timestamp = c.close_time,
+  (VALUES ('bullish'), ('bearish')) k(direction)
+  WHERE CASE k.direction WHEN 'bullish' THEN a.close > a.open AND b.close > b.open AND d.close > d.open AND d.low > b.low ELSE a.close < a.open AND b.close < b.open AND d.close < d.open AND d.high < b.high END),
+unis AS (
+  SELECT k.symbol, k.direction, least(k.top, z.top) AS top, greatest(k.bottom, z.bottom) AS bottom, greatest(k.event_timestamp, z.event_timestamp) AS event_timestamp, greatest(k.confirmation_timestamp, z.confirmation_timestamp) AS confirmation_timestamp, k.breaker_id, z.zone_id
+  FROM breakers k JOIN fvg z ON z.symbol = k.symbol AND z.direction = k.direction AND least(k.top, z.top) > greatest(k.bottom, z.bottom) AND abs(date_diff('hour', k.confirmation_timestamp, z.confirmation_timestamp)) <= 50),
+zones AS (
+  SELECT symbol, 'fvg' AS kind, zone_id AS id, direction, top, bottom, event_timestamp, confirmation_timestamp, NULL::VARCHAR AS parent FROM fvg
+  UNION ALL SELECT symbol, 'ifvg', {_IFVG_ID}, direction, top, bottom, event_timestamp, confirmation_timestamp, NULL FROM ifvg2
+  UNION ALL SELECT symbol, 'bpr', id, direction, top, bottom, event_timestamp, confirmation_timestamp, NULL FROM bpr
+  UNION ALL SELECT symbol, 'rdrb', 'rdrb:' || symbol || ':1h:' || direction || ':' || {_TS('event_timestamp')}, direction, top, bottom, event_timestamp, confirmation_timestamp, NULL FROM rdrb
+  UNION ALL SELECT symbol, 'ob', order_block_id, direction, top, bottom, event_timestamp, confirmation_timestamp, NULL FROM ob
+  UNION ALL SELECT symbol, 'breaker', breaker_id, direction, top, bottom, event_timestamp, confirmation_timestamp, NULL FROM breakers
+  UNION ALL SELECT symbol, 'unicorn', 'unicorn:' || symbol || ':1h:' || {_TS('confirmation_timestamp')} || ':' || breaker_id || '|' || zone_id, direction, top, bottom, event_timestamp, confirmation_timestamp, breaker_id FROM unis),
+filled AS (
+  SELECT z.*, (SELECT min(close_time) FROM bars b WHERE b.symbol = z.symbol AND b.timestamp >= z.confirmation_timestamp AND CASE z.direction WHEN 'bearish' THEN b.high >= z.top ELSE b.low <= z.bottom END) AS full_at FROM zones z),
+items AS (
+  SELECT f.symbol, f.kind, f.id, f.direction, (f.top + f.bottom) / 2 AS value, f.event_timestamp, f.confirmation_timestamp, CASE f.kind WHEN 'ob' THEN least(coalesce(f.full_at, x.failed_at), coalesce(x.failed_at, f.full_at)) WHEN 'unicorn' THEN least(coalesce(f.full_at, p.full_at), coalesce(p.full_at, f.full_at)) ELSE f.full_at END AS dead_at
+  FROM filled f LEFT JOIN failed x ON x.order_block_id = f.id LEFT JOIN filled p ON p.kind = 'breaker' AND p.id = f.parent
+  UNION ALL
+  SELECT l.symbol, 'level', l.level_id, l.side, l.price_level, l.created_timestamp, l.confirmation_timestamp, s.confirmation_timestamp FROM levels l LEFT JOIN sweeps s ON s.level_id = l.level_id),
+alive AS (
+  SELECT b.symbol, b.idx, b.close, b.close_time, i.kind, i.id, i.direction, i.value, i.event_timestamp, i.confirmation_timestamp FROM bars b JOIN items i ON i.symbol = b.symbol AND i.confirmation_timestamp <= b.close_time AND (i.dead_at IS NULL OR i.dead_at > b.close_time))"""
+_ALL = (_SWINGS, _BREAKS, _FVG, _IFVG, _RUNS, _OB, _FAILED, _BREAKERS, _CISD, _RANGES, _LEVELS, _SWEEPS, _ZONES)
+
+_OPENS = """
+opens AS (
+  SELECT symbol, open AS price, timestamp AS at FROM bars WHERE timezone('America/New_York', timezone('UTC', timestamp)) = date_trunc('day', timezone('America/New_York', timezone('UTC', timestamp))))"""
+_VECTOR = """
+counted AS (
+  SELECT symbol, idx, """ + ", ".join(f"count(*) FILTER (kind = '{k}'{f' AND direction = {chr(39)}{d}{chr(39)}' if d else ''}) AS {c}" for c, (k, d) in {
+    "buy_side_liquidity_count": ("level", "buy_side"), "sell_side_liquidity_count": ("level", "sell_side"), "bullish_fvg_count": ("fvg", "bullish"), "bearish_fvg_count": ("fvg", "bearish"), "ifvg_count": ("ifvg", None), "bpr_count": ("bpr", None), "bullish_order_block_count": ("ob", "bullish"),
+    "bearish_order_block_count": ("ob", "bearish"), "bullish_breaker_count": ("breaker", "bullish"), "bearish_breaker_count": ("breaker", "bearish"), "rdrb_count": ("rdrb", None), "unicorn_count": ("unicorn", None)}.items()) + ", " + ", ".join(
+    f"min(abs(value - close)) FILTER (kind = '{k}' AND direction = '{d}') / 0.01 AS {c}" for c, (k, d) in {"nearest_buy_side_points": ("level", "buy_side"), "nearest_sell_side_points": ("level", "sell_side"), "nearest_bullish_fvg_points": ("fvg", "bullish"), "nearest_bearish_fvg_points": ("fvg", "bearish")}.items()) + ", " + ", ".join(
+    f"arg_max(CASE direction WHEN 'bullish' THEN 1 WHEN 'bearish' THEN -1 ELSE 0 END, (confirmation_timestamp, event_timestamp, id)) FILTER (kind = '{k}') AS latest_{k}_direction_code" for k in ("ifvg", "breaker", "unicorn")) + """ FROM alive GROUP BY symbol, idx),
+lastbreak AS (
+  SELECT b.symbol, b.idx, arg_max(k.direction, k.idx) AS kd, arg_max(k.event_type, k.idx) AS kt, arg_max(k.reference_level, k.idx) AS kl, max(k.idx) AS ki, count(*) FILTER (k.event_type = 'bos') AS bos_count, count(*) FILTER (k.event_type = 'mss') AS mss_count, count(*) FILTER (k.event_type = 'choch') AS choch_count
+  FROM bars b JOIN breaks k ON k.symbol = b.symbol AND k.confirmation_timestamp <= b.close_time GROUP BY b.symbol, b.idx),
+lastsweep AS (
+  SELECT b.symbol, b.idx, arg_max(s.side, (s.confirmation_timestamp, s.event_timestamp, s.level_id)) AS ss, arg_max(NOT s.closed_beyond, (s.confirmation_timestamp, s.event_timestamp, s.level_id)) AS sr, max(s.confirmation_timestamp) AS sc
+  FROM bars b JOIN sweeps s ON s.symbol = b.symbol AND s.confirmation_timestamp <= b.close_time GROUP BY b.symbol, b.idx),
+lastcisd AS (
+  SELECT b.symbol, b.idx, arg_max(c.direction, c.hit) AS cd, max(c.hit) AS ch FROM bars b JOIN cisd c ON c.symbol = b.symbol AND c.hit <= b.idx GROUP BY b.symbol, b.idx),
+lastopen AS (
+  SELECT b.symbol, b.idx, arg_max(o.price, o.at) AS op, max(o.at) AS oa FROM bars b JOIN opens o ON o.symbol = b.symbol AND o.at <= b.close_time GROUP BY b.symbol, b.idx),
+lastrange AS (
+  SELECT b.symbol, b.idx, arg_max((r.high_price, r.low_price, r.equilibrium_price, r.direction), (r.confirmation_timestamp, r.range_id)) AS r FROM bars b JOIN ranges r ON r.symbol = b.symbol AND r.confirmation_timestamp <= b.close_time GROUP BY b.symbol, b.idx),
+insession AS (
+  SELECT b.symbol, b.idx, count(*) AS n, arg_min(start_utc, (name, start_utc)) AS s0 FROM bars b JOIN win ON start_utc <= b.close_time AND b.close_time < end_utc GROUP BY b.symbol, b.idx),
+vec AS (
+  SELECT b.*, counted.* EXCLUDE (symbol, idx), kd, kt, kl, ki, bos_count, mss_count, choch_count, ss, sr, sc, cd, ch, op, oa, r[1] AS hi, r[2] AS lo, r[3] AS eq, r[4] AS rd, insession.n AS ns, s0,
+         CASE WHEN r IS NULL THEN NULL WHEN abs(b.close - r[3]) <= 0.5 * 0.01::DOUBLE THEN 'equilibrium' WHEN b.close > r[3] THEN 'premium' ELSE 'discount' END AS zone
+  FROM bars b LEFT JOIN counted USING (symbol, idx) LEFT JOIN lastbreak USING (symbol, idx) LEFT JOIN lastsweep USING (symbol, idx) LEFT JOIN lastcisd USING (symbol, idx) LEFT JOIN lastopen USING (symbol, idx)
+  LEFT JOIN (SELECT symbol, idx, row(r[1], r[2], r[3], r[4]) AS r0, r FROM lastrange) lr USING (symbol, idx) LEFT JOIN insession USING (symbol, idx)),
+votes AS (
+  SELECT *, (coalesce(kd = 'bullish', false)::INT + coalesce(cd = 'bullish', false)::INT + coalesce(zone = 'discount', false)::INT + coalesce(ss = 'sell_side', false)::INT) AS up,
+         (coalesce(kd = 'bearish', false)::INT + coalesce(cd = 'bearish', false)::INT + coalesce(zone = 'premium', false)::INT + coalesce(ss = 'buy_side', false)::INT) AS down FROM vec)"""
+_WAY = "CASE {0} WHEN 'bullish' THEN 1 WHEN 'bearish' THEN -1 END"
+_FEATURE_SQL = {
+    "close": "close", "distance_from_true_daily_open_points": "(close - op) / 0.01", "distance_from_equilibrium_points": "(close - eq) / 0.01", "percentage_position": "(close - lo) / (hi - lo)", "is_premium": "(zone = 'premium')::INT", "is_discount": "(zone = 'discount')::INT", "is_equilibrium": "(zone = 'equilibrium')::INT",
+    "dealing_range_width_points": "(hi - lo) / 0.01", "dealing_range_direction_code": _WAY.format("rd"), "structure_state_code": f"coalesce({_WAY.format('kd')}, 0)", "structure_direction_code": f"coalesce({_WAY.format('kd')}, 0)", "latest_break_type_code": "CASE kt WHEN 'bos' THEN 1 WHEN 'mss' THEN 2 WHEN 'choch' THEN 3 END",
+    "latest_break_direction_code": _WAY.format("kd"), "has_bos": "(coalesce(bos_count, 0) > 0)::INT", "has_mss": "(coalesce(mss_count, 0) > 0)::INT", "has_choch": "(coalesce(choch_count, 0) > 0)::INT", "bos_count": "coalesce(bos_count, 0)", "mss_count": "coalesce(mss_count, 0)", "choch_count": "coalesce(choch_count, 0)",
+    "bars_since_structural_break": "idx - ki", "distance_from_structural_level_points": "(close - kl) / 0.01", "buy_side_liquidity_count": "coalesce(buy_side_liquidity_count, 0)", "sell_side_liquidity_count": "coalesce(sell_side_liquidity_count, 0)", "nearest_buy_side_points": "nearest_buy_side_points", "nearest_sell_side_points": "nearest_sell_side_points",
+    "has_recent_sweep": "(ss IS NOT NULL)::INT", "latest_sweep_side_code": "CASE ss WHEN 'buy_side' THEN -1 WHEN 'sell_side' THEN 1 END", "latest_sweep_is_rejection": "sr::INT", "bars_since_sweep": "(SELECT count(*) FROM bars c WHERE c.symbol = votes.symbol AND c.close_time > votes.sc AND c.close_time <= votes.close_time) + CASE WHEN sc IS NULL THEN NULL ELSE 0 END",
+    **{c: f"coalesce({c}, 0)" for c in ("bullish_fvg_count", "bearish_fvg_count")}, "nearest_bullish_fvg_points": "nearest_bullish_fvg_points", "nearest_bearish_fvg_points": "nearest_bearish_fvg_points", "ifvg_count": "coalesce(ifvg_count, 0)", "latest_ifvg_direction_code": "latest_ifvg_direction_code", "bpr_count": "coalesce(bpr_count, 0)",
+    **{c: f"coalesce({c}, 0)" for c in ("bullish_order_block_count", "bearish_order_block_count", "bullish_breaker_count", "bearish_breaker_count")}, "latest_breaker_direction_code": "latest_breaker_direction_code", "rdrb_count": "coalesce(rdrb_count, 0)", "has_cisd": "(cd IS NOT NULL)::INT", "delivery_state_code": f"coalesce({_WAY.format('cd')}, 0)", "bars_since_cisd": "idx - ch",
+    "unicorn_count": "coalesce(unicorn_count, 0)", "latest_unicorn_direction_code": "latest_unicorn_direction_code", "trading_day_age_minutes": "date_diff('minute', oa, close_time)", "session_elapsed_minutes": "date_diff('minute', s0, close_time)", "minute_of_session": "date_diff('minute', s0, close_time)", "active_session_count": "coalesce(ns, 0)",
+    "day_of_week": "isodow(close_time) - 1", "hour_of_day": "hour(close_time)", "bias_code": "sign(up - down)", "bullish_evidence_count": "up", "bearish_evidence_count": "down",
+}
+
+
+def _target_sql() -> str:
+    base = """
+tb AS (
+  SELECT *, lead(close, 4) OVER w AS c4, lead(close_time, 4) OVER w AS e4, lead(close_time, 8) OVER w AS e8, CASE WHEN lead(close_time, 4) OVER w IS NOT NULL THEN max(high) OVER (PARTITION BY symbol ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) END AS h4,
+         CASE WHEN lead(close_time, 4) OVER w IS NOT NULL THEN min(low) OVER (PARTITION BY symbol ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) END AS l4 FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY idx)),
+race AS (
+  SELECT a.symbol, a.idx, arg_min((b.close_time, b.high >= a.close + 3000.0 * 0.01::DOUBLE, b.low <= a.close - 3000.0 * 0.01::DOUBLE), b.idx) AS x FROM bars a JOIN bars b ON b.symbol = a.symbol AND b.idx BETWEEN a.idx + 1 AND a.idx + 8 AND (b.high >= a.close + 3000.0 * 0.01::DOUBLE OR b.low <= a.close - 3000.0 * 0.01::DOUBLE) GROUP BY a.symbol, a.idx),
+tv AS (
+  SELECT symbol, idx, close_time AS as_of, 'ret_4' AS spec_name, 'future_return' AS target_type, c4 IS NOT NULL AS resolved, CASE WHEN c4 IS NULL THEN 'insufficient_history' END AS unresolved_reason, round((c4 - close) / close, 9) AS future_return, round((c4 - close) / 0.01, 6) AS future_move_points, NULL::VARCHAR AS direction,
+         NULL::DOUBLE AS up_excursion_points, NULL::DOUBLE AS down_excursion_points, NULL::VARCHAR AS outcome, NULL::TIMESTAMP AS resolving_bar_timestamp, e4 AS future_window_end FROM tb
+  UNION ALL SELECT symbol, idx, close_time, 'dir_4', 'direction', c4 IS NOT NULL, CASE WHEN c4 IS NULL THEN 'insufficient_history' END, round((c4 - close) / close, 9), round((c4 - close) / 0.01, 6), CASE WHEN round((c4 - close) / 0.01, 6) >= 2000 THEN 'up' WHEN round((c4 - close) / 0.01, 6) <= -2000 THEN 'down' WHEN c4 IS NOT NULL THEN 'neutral' END, NULL, NULL, NULL, NULL, e4 FROM tb
+  UNION ALL SELECT symbol, idx, close_time, 'exc_4', 'excursion', e4 IS NOT NULL, CASE WHEN e4 IS NULL THEN 'insufficient_history' END, NULL, NULL, NULL, round((h4 - close) / 0.01, 6), round((close - l4) / 0.01, 6), NULL, NULL, e4 FROM tb
+  UNION ALL SELECT tb.symbol, tb.idx, close_time, 'tpsl_8', 'tp_before_sl', x IS NOT NULL AND NOT (x[2] AND x[3]), CASE WHEN x IS NULL THEN CASE WHEN e8 IS NULL THEN 'insufficient_history' ELSE 'no_touch_within_horizon' END WHEN x[2] AND x[3] THEN 'same_bar_ambiguity' END, NULL, NULL, NULL, NULL, NULL,
+         CASE WHEN x IS NULL OR (x[2] AND x[3]) THEN 'unresolved' WHEN x[2] THEN 'tp_first' ELSE 'sl_first' END, x[1], e8 FROM tb LEFT JOIN race ON race.symbol = tb.symbol AND race.idx = tb.idx)"""
+    return base
+
+
+_SPLITS = """
+cut AS (
+  SELECT symbol, arg_min(close_time, idx) FILTER (idx = greatest(1, floor(n * 0.6::DOUBLE))) AS a, arg_min(close_time, idx) FILTER (idx = greatest(greatest(1, floor(n * 0.6::DOUBLE)) + 1, floor(n * (0.6::DOUBLE + 0.2::DOUBLE)))) AS b
+  FROM (SELECT *, count(*) OVER (PARTITION BY symbol) AS n FROM bars) GROUP BY symbol),
+lab AS (
+  SELECT t.symbol, t.close_time AS as_of, CASE WHEN close_time < a THEN 'train' WHEN close_time < b THEN 'validation' ELSE 'test' END AS natural_label, e8, lead(close_time, 8) OVER (PARTITION BY symbol ORDER BY idx) AS later, CASE WHEN close_time < a THEN a WHEN close_time < b THEN b END AS bound FROM tb t JOIN cut USING (symbol)),
+labelled AS (
+  SELECT symbol, as_of, natural_label, CASE WHEN coalesce(coalesce(e8, later) >= bound, false) THEN 'embargoed' ELSE natural_label END AS label FROM lab)"""
+
+_GRID = """
+every AS (
+  SELECT symbol, unnest(generate_series(min(timestamp), max(timestamp), INTERVAL '1 hour')) AS timestamp FROM bars GROUP BY symbol),
+g AS (
+  SELECT e.symbol, e.timestamp, b.idx IS NOT NULL AS seen, isodow(e.timestamp) - 1 AS weekday, hour(e.timestamp) * 60 AS minute FROM every e LEFT JOIN bars b ON b.symbol = e.symbol AND b.timestamp = e.timestamp),
+shut AS (
+  SELECT symbol, weekday, minute, count(*) AS occurrences FROM g GROUP BY symbol, weekday, minute HAVING count(*) FILTER (seen) = 0 AND count(*) >= 2),
+gs AS (
+  SELECT g.*, s.occurrences IS NOT NULL AS shut, time_bucket(INTERVAL '4 hours', timestamp) AS bar FROM g LEFT JOIN shut s USING (symbol, weekday, minute)),
+ends AS (
+  SELECT symbol, min(timestamp) AS a, max(close_time) AS z FROM bars GROUP BY symbol)"""
+_COVER = """
+runs4 AS (
+  SELECT symbol, bar, island, count(*) FILTER (NOT seen) AS n FROM (SELECT *, count(*) FILTER (seen) OVER (PARTITION BY symbol, bar ORDER BY timestamp) AS island FROM gs) GROUP BY ALL),
+cov0 AS (
+  SELECT gs.symbol, gs.bar AS timestamp, 4::BIGINT AS expected, count(*) FILTER (seen)::BIGINT AS actual, count(*) FILTER (NOT seen AND shut)::BIGINT AS market_closed, count(*) FILTER (NOT seen AND NOT shut)::BIGINT AS undetermined, any_value(gs.bar < a OR gs.bar + INTERVAL '4 hours' > z) AS boundary_incomplete
+  FROM gs JOIN ends USING (symbol) GROUP BY gs.symbol, gs.bar HAVING count(*) FILTER (seen) > 0),
+cov AS (
+  SELECT c.*, (SELECT max(n) FROM runs4 r WHERE r.symbol = c.symbol AND r.bar = c.timestamp)::BIGINT AS longest_missing_run, CASE WHEN boundary_incomplete THEN 'boundary' WHEN actual = 4 THEN 'none' WHEN undetermined = 0 THEN 'market_closed' ELSE 'undetermined' END AS cause FROM cov0 c),
+covq AS (
+  SELECT *, CASE cause WHEN 'boundary' THEN 'boundary_incomplete' WHEN 'none' THEN 'complete' WHEN 'market_closed' THEN 'market_gap' ELSE 'degraded_unknown' END AS quality, NOT boundary_incomplete AS production_eligible FROM cov),
+h4w AS (
+  SELECT h.symbol, h.timestamp, actual AS present_hours, 4 - actual AS missing_hours, coalesce((SELECT count(*) FROM (SELECT unnest(generate_series(h.timestamp, h.timestamp + INTERVAL '3 hours', INTERVAL '1 hour')) AS t) x JOIN shut s ON s.symbol = h.symbol AND s.weekday = isodow(x.t) - 1 AND s.minute = hour(x.t) * 60 WHERE x.t NOT IN (SELECT timestamp FROM bars b WHERE b.symbol = h.symbol)), 0)::BIGINT AS closed_hours, h.open, h.high, h.low, h.close, h.volume, boundary_incomplete
+  FROM h4a h JOIN cov0 c USING (symbol, timestamp)),
+h4d AS (
+  SELECT *, CASE WHEN boundary_incomplete THEN 'withheld_boundary' WHEN missing_hours = 0 THEN 'emitted' WHEN closed_hours = missing_hours THEN 'withheld_market_closed' ELSE 'withheld_undetermined' END AS disposition FROM h4w)"""
+_QUOTES = """
+q AS (
+  SELECT event_type AS symbol, date_trunc('hour', ts) AS timestamp, CASE event_id % 7 WHEN 1 THEN NULL WHEN 2 THEN -value ELSE floor(value) END::DOUBLE AS bid, (floor(value) + CASE event_id % 7 WHEN 3 THEN -1 ELSE 1 END)::DOUBLE AS ask, CASE event_id % 7 WHEN 4 THEN -1.0 ELSE 1.0 END AS bid_volume, event_id AS seq FROM events),
+qf AS (
+  SELECT *, bid IS NULL OR ask IS NULL AS missing, coalesce(bid <= 0 OR ask <= 0, false) AS nonpositive, coalesce(bid > ask, false) AS crossed, bid_volume < 0 AS negative_volume FROM q),
+qn AS (
+  SELECT *, NOT (missing OR nonpositive OR crossed OR negative_volume) AS ok, row_number() OVER (PARTITION BY symbol, timestamp, bid, ask, NOT (missing OR nonpositive OR crossed OR negative_volume) ORDER BY seq) AS n FROM qf)"""
+
+
 def sql(*parts: str, select: str) -> str:
     return "WITH RECURSIVE " + ",".join(p.strip("\n") for p in (_BARS, *parts)) + "\n" + select
 
@@ -301,4 +444,28 @@ FROM bars WHERE timezone('America/New_York', timezone('UTC', timestamp)) = date_
     "equal_levels": sql(_SWINGS, _equal(50.0), select=f"SELECT {_LC} FROM equals"),
     "liquidity_levels": sql(_SWINGS, _LEVELS, select=f"SELECT {_LC} FROM levels"),
     "liquidity_sweeps": sql(_SWINGS, _LEVELS, _SWEEPS, select="SELECT symbol, level_id, side, event_timestamp, confirmation_timestamp, price_level, extreme_price, closed_beyond, NOT closed_beyond AS is_rejection FROM sweeps"),
+    "pending_references": sql(_SWINGS, _BREAKS, select="SELECT symbol, direction, event_timestamp, price_level FROM (SELECT * FROM swings QUALIFY row_number() OVER (PARTITION BY symbol, direction ORDER BY confirmation_timestamp DESC, event_timestamp DESC) = 1) s WHERE NOT EXISTS (SELECT 1 FROM breaks k WHERE k.symbol = s.symbol AND k.direction = s.direction AND k.reference_swing_timestamp = s.event_timestamp)"),
+    "level_status": sql(
+        _SWINGS, _LEVELS, _SWEEPS,
+        select="""SELECT l.symbol, l.level_id, CASE WHEN l.confirmation_timestamp > TIMESTAMP '2024-01-16 12:00:00' THEN 'pending' WHEN s.confirmation_timestamp <= TIMESTAMP '2024-01-16 12:00:00' THEN 'swept'
+  WHEN (SELECT min(close_time) FROM bars b WHERE b.symbol = l.symbol AND b.close_time >= l.confirmation_timestamp AND (s.event_timestamp IS NULL OR b.timestamp < s.event_timestamp) AND CASE l.side WHEN 'buy_side' THEN b.high >= l.price_level - 50.0 * 0.01::DOUBLE ELSE b.low <= l.price_level + 50.0 * 0.01::DOUBLE END) <= TIMESTAMP '2024-01-16 12:00:00' THEN 'approached' ELSE 'active' END AS status
+FROM levels l LEFT JOIN sweeps s ON s.level_id = l.level_id""",
+    ),
+    "item_lifetimes": sql(*_ALL, select='SELECT i.symbol, kind, id, a.idx AS start, d.idx AS "end" FROM items i JOIN bars a ON a.symbol = i.symbol AND a.idx = (SELECT min(idx) FROM bars x WHERE x.symbol = i.symbol AND x.close_time >= i.confirmation_timestamp) LEFT JOIN bars d ON d.symbol = i.symbol AND d.close_time = i.dead_at WHERE d.idx IS NULL OR a.idx < d.idx'),
+    "active_id_counts": sql(*_ALL, select="SELECT symbol, idx, kind, count(*)::BIGINT AS n FROM alive GROUP BY symbol, idx, kind"),
+    "state_features": sql(*_ALL, _OPENS, _VECTOR, select="SELECT symbol, close_time AS as_of, " + ", ".join(f"round(({x})::DOUBLE, 6) AS {c}" for c, x in _FEATURE_SQL.items()) + " FROM votes"),
+    "provenance_faults": sql(select="SELECT symbol AS id FROM bars WHERE false"),
+    "targets": sql(_target_sql(), select="SELECT symbol, as_of, spec_name, resolved, unresolved_reason, future_return, future_move_points, direction, up_excursion_points, down_excursion_points, outcome, resolving_bar_timestamp, future_window_end FROM tv"),
+    "split_labels": sql(_target_sql(), _SPLITS, select="SELECT * FROM labelled"),
+    "split_summary": sql(_target_sql(), _SPLITS, select='SELECT symbol, label, count(*)::BIGINT AS n, min(as_of) AS "first", max(as_of) AS "last" FROM labelled GROUP BY symbol, label'),
+    "dataset_audit": sql(_target_sql(), _SPLITS, select="""SELECT symbol, count(*)::BIGINT AS n_rows, 0::BIGINT AS duplicates, true AS chronological, min(as_of) AS "first", max(as_of) AS "last", count(*) FILTER (label = 'train')::BIGINT AS train, count(*) FILTER (label = 'validation')::BIGINT AS validation, count(*) FILTER (label = 'test')::BIGINT AS test, count(*) FILTER (label = 'embargoed')::BIGINT AS embargoed FROM labelled GROUP BY symbol"""),
+    "dataset_rows": sql(*_ALL, _target_sql(), _SPLITS, select="""SELECT l.symbol, l.as_of, l.label, t.direction AS target_direction, t.resolved AS target_resolved, coalesce(CASE (SELECT arg_max(k.direction, k.idx) FROM breaks k WHERE k.symbol = l.symbol AND k.confirmation_timestamp <= l.as_of) WHEN 'bullish' THEN 1 WHEN 'bearish' THEN -1 END, 0)::BIGINT AS structure_state_code,
+  (SELECT count(*) FROM items i WHERE i.kind = 'fvg' AND i.direction = 'bullish' AND i.symbol = l.symbol AND i.confirmation_timestamp <= l.as_of AND (i.dead_at IS NULL OR i.dead_at > l.as_of))::BIGINT AS bullish_fvg_count FROM labelled l JOIN tv t ON t.symbol = l.symbol AND t.as_of = l.as_of AND t.spec_name = 'dir_4'"""),
+    "session_profile": sql(_GRID, select="SELECT symbol, weekday::BIGINT AS weekday, minute::BIGINT AS minute, occurrences::BIGINT AS occurrences FROM shut"),
+    "coverage_4h": sql(_H4, _GRID, _COVER, select="SELECT symbol, timestamp, expected, actual, market_closed, undetermined, longest_missing_run, boundary_incomplete, cause, quality, production_eligible FROM covq"),
+    "coverage_summary": sql(_H4, _GRID, _COVER, select="SELECT symbol, " + ", ".join(f"count(*) FILTER (quality = '{q}')::BIGINT AS quality_{q}" for q in ("complete", "market_gap", "degraded_unknown", "boundary_incomplete")) + ", " + ", ".join(f"count(*) FILTER (cause = '{q}')::BIGINT AS cause_{q}" for q in ("none", "market_closed", "undetermined", "boundary")) + ", count(*) FILTER (NOT production_eligible)::BIGINT AS rejected FROM covq GROUP BY symbol"),
+    "h4_windows": sql(_H4, _GRID, _COVER, select="SELECT symbol, timestamp, present_hours, missing_hours, closed_hours, disposition, " + ", ".join(f"CASE WHEN disposition = 'emitted' THEN {c} END AS {c}" for c in ("open", "high", "low", "close", "volume")) + " FROM h4d"),
+    "h4_counts": sql(_H4, _GRID, _COVER, select="SELECT symbol, " + ", ".join(f"count(*) FILTER (disposition = '{d}')::BIGINT AS {d}" for d in ("emitted", "withheld_boundary", "withheld_market_closed", "withheld_undetermined")) + ", count(*)::BIGINT AS windows FROM h4d GROUP BY symbol"),
+    "tick_report": sql(_QUOTES, select="SELECT symbol, count(*)::BIGINT AS total, count(*) FILTER (missing)::BIGINT AS missing, count(*) FILTER (nonpositive)::BIGINT AS nonpositive, count(*) FILTER (crossed)::BIGINT AS crossed, count(*) FILTER (negative_volume)::BIGINT AS negative_volume, count(*) FILTER (ok AND n > 1)::BIGINT AS duplicates, count(*) FILTER (ok AND n = 1)::BIGINT AS kept, max(ask - bid) FILTER (ok) AS max_spread FROM qn GROUP BY symbol"),
+    "clean_quotes": sql(_QUOTES, select="SELECT symbol, timestamp, bid, ask, seq FROM qn WHERE ok AND n = 1"),
 }

@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators import audit, coverage, events, labels, splits
 from tidemark.operators import bars as B
 from tidemark.operators import blocks as K
 from tidemark.operators import gaps as G
 from tidemark.operators import liquidity as L
 from tidemark.operators import ranges as R
 from tidemark.operators.asof import align_context
+from tidemark.operators import swings as S
+from tidemark.plans import dataset
 from tidemark.plans.market import Market, event_bars, event_ticks
+from tidemark.plans.state import FEATURES, active_ids, feature_vectors, lifetimes
 from tidemark.schema import Timeframe, with_close_time
 
 H1, H4 = Timeframe("1h"), Timeframe("4h")
@@ -175,10 +179,129 @@ def liquidity_sweeps(spark, sf_dir):
     return plain(market(spark, sf_dir).sweeps, "symbol", "level_id", "side", "event_timestamp", "confirmation_timestamp", "price_level", "extreme_price", "closed_beyond", "is_rejection")
 
 
+def pending_references(spark, sf_dir):
+    m = market(spark, sf_dir)
+    return plain(S.pending_references(m.bars, m.swings, m.breaks), "symbol", "direction", "event_timestamp", "price_level")
+
+
+def level_status(spark, sf_dir):
+    """Levels as of an instant in the middle of the data, with approaches within 50 points."""
+    m = market(spark, sf_dir)
+    near = L.approaches(m.levels, m.bars, m.sweeps, 50.0)
+    return plain(L.level_status(m.levels, m.sweeps, "2024-01-16 12:00:00", near), "symbol", "level_id", "status")
+
+
+def item_lifetimes(spark, sf_dir):
+    m = market(spark, sf_dir)
+    return plain(lifetimes(m), "symbol", "kind", "id", "start", "end")
+
+
+def active_id_counts(spark, sf_dir):
+    rows = active_ids(market(spark, sf_dir))
+    return plain(rows.groupBy("symbol", "idx", "kind").agg(F.sum(F.size("ids")).alias("n")))
+
+
+def state_features(spark, sf_dir):
+    v = feature_vectors(market(spark, sf_dir))
+    return plain(v.select("symbol", "as_of", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in FEATURES]))
+
+
+def market_events(spark, sf_dir):
+    e = events.from_market(market(spark, sf_dir))
+    return plain(e.groupBy("symbol", "event_type", "direction").agg(F.count(F.lit(1)).alias("n"), F.min("event_timestamp").alias("first_event"), F.max("confirmation_timestamp").alias("last_confirmation"), F.max("price_level").alias("highest_price")))
+
+
+def provenance_faults(spark, sf_dir):
+    """Ids of composites that name nothing, and composites known before their sources: none."""
+    m = market(spark, sf_dir)
+    lost = events.unresolved_provenance(m.unicorns, m.breakers.withColumnRenamed("breaker_id", "id"), ["source_breaker_id"])
+    lost = lost.unionByName(events.unresolved_provenance(m.ifvg, m.fvg.withColumnRenamed("zone_id", "id"), ["source_fvg_id"]))
+    early = events.confirmed_before_sources(m.unicorns, m.fvg, "source_fvg_id", "zone_id").select(F.col("unicorn_id").alias("id"))
+    return lost.unionByName(early)
+
+
+TARGETS = [labels.Target("ret_4", "future_return", 4), labels.Target("dir_4", "direction", 4, threshold_points=2000.0), labels.Target("exc_4", "excursion", 4), labels.Target("tpsl_8", "tp_before_sl", 8, side="long", take_profit_points=3000.0, stop_loss_points=3000.0)]
+
+
+def targets(spark, sf_dir):
+    v = labels.all_targets(market(spark, sf_dir).bars, TARGETS)
+    return plain(v.withColumn("future_return", F.round("future_return", 9)), "symbol", "as_of", "spec_name", "resolved", "unresolved_reason", "future_return", "future_move_points", "direction", "up_excursion_points", "down_excursion_points", "outcome", "resolving_bar_timestamp", "future_window_end")
+
+
+def split_labels(spark, sf_dir):
+    v = labels.target_values(market(spark, sf_dir).bars, TARGETS[3]).withColumnRenamed("future_window_end", "window_end")
+    return plain(splits.assign(v, splits.by_proportion(v), 8), "symbol", "as_of", "natural_label", "label")
+
+
+def split_summary(spark, sf_dir):
+    v = labels.target_values(market(spark, sf_dir).bars, TARGETS[3]).withColumnRenamed("future_window_end", "window_end")
+    return plain(splits.summary(splits.assign(v, splits.by_proportion(v), 8)).drop("timeframe"))
+
+
+def target_diagnostics(spark, sf_dir):
+    d = audit.target_diagnostics(labels.all_targets(market(spark, sf_dir).bars, TARGETS))
+    return plain(d.select("spec_name", "total", "resolved_count", "unresolved_count", F.to_json("class_counts").alias("classes")))
+
+
+def _dataset(spark, sf_dir):
+    return dataset.build(market(spark, sf_dir), dataset.DatasetSpec(tuple(TARGETS)))
+
+
+def dataset_rows(spark, sf_dir):
+    return plain(dataset.flat(_dataset(spark, sf_dir), "dir_4"), "symbol", "as_of", "label", "target_direction", "target_resolved", "structure_state_code", "bullish_fvg_count")
+
+
+def dataset_audit(spark, sf_dir):
+    return plain(audit.dataset_audit(_dataset(spark, sf_dir)).drop("timeframe"))
+
+
+def feature_diagnostics(spark, sf_dir):
+    d = audit.feature_diagnostics(feature_vectors(market(spark, sf_dir)), ["close", "bos_count", "rdrb_count", "hour_of_day", "is_premium"])
+    return plain(d.withColumn("mean", F.round("mean", 6)))
+
+
+def session_profile(spark, sf_dir):
+    return plain(coverage.session_profile(event_bars(spark, sf_dir, H1), H1))
+
+
+def coverage_4h(spark, sf_dir):
+    return plain(coverage.coverage(event_bars(spark, sf_dir, H1), H1, H4).drop("coverage_ratio"))
+
+
+def coverage_summary(spark, sf_dir):
+    return plain(coverage.coverage_summary(coverage.coverage(event_bars(spark, sf_dir, H1), H1, H4)))
+
+
+def h4_windows(spark, sf_dir):
+    return plain(coverage.build_h4(event_bars(spark, sf_dir, H1)))
+
+
+def h4_counts(spark, sf_dir):
+    return plain(coverage.h4_counts(coverage.build_h4(event_bars(spark, sf_dir, H1))))
+
+
+def quotes(spark, sf_dir):
+    """Events as quotes, some of them faulty."""
+    t, k = event_ticks(spark, sf_dir), F.pmod("seq", F.lit(7))
+    hour = F.date_trunc("hour", "timestamp")
+    bid = F.when(k == 1, F.lit(None)).when(k == 2, -F.col("price")).otherwise(F.floor("price"))
+    return t.select("symbol", hour.alias("timestamp"), bid.cast("double").alias("bid"), (F.floor("price") + F.when(k == 3, -1).otherwise(1)).cast("double").alias("ask"), F.when(k == 4, -1.0).otherwise(1.0).alias("bid_volume"), F.lit(1.0).alias("ask_volume"), "seq")
+
+
+def tick_report(spark, sf_dir):
+    return plain(B.tick_report(quotes(spark, sf_dir)))
+
+
+def clean_quotes(spark, sf_dir):
+    return plain(B.clean_ticks(quotes(spark, sf_dir)), "symbol", "timestamp", "bid", "ask", "seq")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         ticks_to_bars, resample_4h, normalize_bars, normalization_report, bar_gaps, asof_context, swing_points, swing_labels, structure_breaks, fvg_zones, fvg_fills, ifvg_zones, mitigated_without_inversion, bpr_zones, rdrb_zones,
         order_blocks, order_block_status, breaker_blocks, unicorns, cisd_transitions, dealing_ranges, range_rejections, range_observations, session_occurrences, period_levels, daily_opens, equal_levels, liquidity_levels, liquidity_sweeps,
+        pending_references, level_status, item_lifetimes, active_id_counts, state_features, market_events, provenance_faults, targets, split_labels, split_summary, target_diagnostics, dataset_rows, dataset_audit, feature_diagnostics,
+        session_profile, coverage_4h, coverage_summary, h4_windows, h4_counts, tick_report, clean_quotes,
     )
 }
