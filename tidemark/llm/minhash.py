@@ -14,9 +14,9 @@ Groups: documents of equal sets are one class and stand in by its smallest doc_i
 copies never make pairs. Links inside a component that is already known add nothing,
 so a bucket is not expanded into all pairs: it proposes one pair for each member with
 a centre (first its smallest document, then others by a round's hash) while members
-differ in component. At last every pair of documents that share a bucket and are still
-in different components is tried, where the bucket's largest component is one side:
-no candidate is left out. Components are contracted after each round.
+differ in component. At last an exact join by prefixes finds every link between
+documents that share a bucket and are still in different components: no candidate is
+left out. Components are contracted after each round.
 
 Defined results: null texts, and texts without words, have an empty set, n_shingles 0,
 and stay by themselves; one word is one shingle. Rows without a doc_id have no
@@ -165,16 +165,21 @@ def estimate(a: Column | str, b: Column | str) -> Column:
     return ((1 - unequal / PERMS) - chance) / (1 - chance)
 
 
+def _shingles(spark: SparkSession, docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """doc_id and shingles (hashes of its full set) of the documents in ids (doc_id)."""
+    wanted = _filter_of(spark, ids)
+    sets = docs.filter(F.col("doc_id").isNotNull()).mapInArrow(_sets(width, wanted), "doc_id long, shingles array<long>")
+    return stored(sets.join(ids, "doc_id", "left_semi"), "shingle-sets")
+
+
 def _confirmed(spark: SparkSession, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) that are links. Sizes and the b-bit estimate decide first."""
     left, right = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}")) for c in "ab")
     near = pairs.join(left, "a").join(right, "b")
     near = near.filter((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (estimate("sa", "sb") >= percent / 100 - DOUBT)).select("a", "b", "na", "nb")
     near = stored(near, "candidates")
-    wanted = _filter_of(spark, near.select(F.explode(F.array("a", "b")).alias("id")))
-    sets = docs.filter(F.col("doc_id").isNotNull()).mapInArrow(_sets(width, wanted), "doc_id long, shingles array<long>")
-    sets = sets.join(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = stored(sets, "shingle-sets")
+    ids = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
+    sets = _shingles(spark, docs, ids, width)
     sa, sb = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
     found = near.join(sb, "b").join(sa, "a").withColumn("both", both)
@@ -206,7 +211,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
         if not final:
             pairs = open_.filter("root <> centre_root").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
         else:
-            pairs = _across(open_, nodes, percent)
+            pairs = _across(spark, docs, open_, width, percent)
         links = _confirmed(spark, docs, nodes, pairs, width, percent)
         if final and links.isEmpty():
             break
@@ -235,21 +240,28 @@ def _edges_of_roots(links: DataFrame, roots: DataFrame | None) -> DataFrame:
     return links.select("a", "b")
 
 
-def _across(open_: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Every pair that shares a bucket and lies in two components. One side is never of
-    the bucket's largest component, so a large group costs its size for each outsider,
-    not its square."""
-    sizes = open_.select("root", "node").distinct().groupBy("root").agg(F.count("*").alias("size"))
-    sig = nodes.select("node", "n", "sig")
-    rows = open_.select("bucket", "node", "root").join(sizes, "root").join(sig, "node")
-    main = rows.groupBy("bucket").agg(F.max(F.struct("size", "root"))["root"].alias("main"))
-    rows = stored(rows.join(main, "bucket"), "open-rows")
-    x = rows.filter("root <> main").select("bucket", *(F.col(c).alias(f"x_{c}") for c in ("node", "root", "n", "sig")))
-    y = rows.select("bucket", "main", *(F.col(c).alias(f"y_{c}") for c in ("node", "root", "n", "sig")))
-    once = (F.col("y_root") == F.col("main")) | (F.col("x_node") < F.col("y_node"))
-    near = (100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")) & (estimate("x_sig", "y_sig") >= percent / 100 - DOUBT)
-    on = (x["bucket"] == y["bucket"]) & (F.col("x_root") != F.col("y_root")) & once & near
-    return x.join(y, on).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+def _across(spark: SparkSession, docs: DataFrame, open_: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs of documents of open buckets, in different components, that may be links: none
+    that is one is left out.
+
+    The shingles of each document are put in one order, the rarest among these documents
+    first. Of two linked documents the first shingle they share, in that order, comes early
+    in both: from its place on, each must have room for the whole intersection. So only the
+    first fifth of each is joined, on equal shingles, under that bound. Members of a group
+    of copies whose own edits are too many meet only those with whom they share edits, not
+    the whole group."""
+    own = open_.groupBy("node").agg(F.min("root").alias("root")).withColumnRenamed("node", "doc_id")
+    tokens = _shingles(spark, docs, own.select("doc_id"), width).select("doc_id", F.explode("shingles").alias("t"))
+    often = tokens.groupBy("t").agg(F.count("*").alias("df"))
+    ordered = tokens.join(often, "t").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("all"))
+    n = F.size("all")
+    ordered = ordered.join(own, "doc_id").select("doc_id", "root", n.alias("n"), F.slice("all", F.lit(1), (n - F.ceil(n * F.lit(percent) / 100) + 1).cast("int")).alias("head"))
+    rows = stored(ordered.select("doc_id", "root", "n", F.posexplode("head").alias("p", "s")).select("doc_id", "root", "n", "p", "s.t", "s.df").filter("df > 1").drop("df"), "open-prefixes")
+    x, y = (rows.select("t", *(F.col(c).alias(f"{k}_{c}") for c in ("doc_id", "root", "n", "p"))) for k in "xy")
+    room = F.least(F.col("x_n") - F.col("x_p"), F.col("y_n") - F.col("y_p"))
+    fits = (100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")) & ((100 + percent) * room >= percent * (F.col("x_n") + F.col("y_n")))
+    on = (x["t"] == y["t"]) & (F.col("x_doc_id") < F.col("y_doc_id")) & (F.col("x_root") != F.col("y_root")) & fits
+    return x.join(y, on).select(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b")).distinct()
 
 
 def _result(rows: DataFrame, classes: DataFrame, roots: DataFrame | None) -> DataFrame:
