@@ -95,13 +95,13 @@ def block_status(blocks: DataFrame, fills: DataFrame, failed: DataFrame, as_of=N
     return rows.withColumn("status", F.when(F.col("failed_at").isNotNull(), "invalidated").otherwise(F.coalesce("_fill", F.lit("active")))).drop("_fill")
 
 
-def breakers(blocks: DataFrame, failed: DataFrame, breaks: DataFrame, bars: DataFrame, require_structure: bool = True, max_bars: int = 20) -> DataFrame:
+def breakers(blocks: DataFrame, failed: DataFrame, breaks: DataFrame | None, bars: DataFrame, require_structure: bool = True, max_bars: int = 20) -> DataFrame:
     """Failed order blocks turned around; by default only with a structure break of the new
     direction that confirms from the failing close to max_bars bars later."""
-    b = blocks.join(failed.drop(*KEY), "order_block_id").withColumn("_new", F.when(F.col("direction") == BULL, BEAR).otherwise(BULL))
-    b = b.withColumn("_at", F.explode(F.sequence(F.col("failure_idx"), F.col("failure_idx") + max_bars)))
-    s = breaks.select(*KEY, F.col("direction").alias("_new"), F.col("idx").alias("_at"), "break_id", F.col("confirmation_timestamp").alias("_bc"))
     if require_structure:
+        b = blocks.join(failed.drop(*KEY), "order_block_id").withColumn("_new", F.when(F.col("direction") == BULL, BEAR).otherwise(BULL))
+        b = b.withColumn("_at", F.explode(F.sequence(F.col("failure_idx"), F.col("failure_idx") + max_bars)))
+        s = breaks.select(*KEY, F.col("direction").alias("_new"), F.col("idx").alias("_at"), "break_id", F.col("confirmation_timestamp").alias("_bc"))
         hit = b.join(s, [*KEY, "_new", "_at"]).groupBy("order_block_id").agg(F.min_by(F.struct("break_id", "_bc"), "_at").alias("_s")).select("order_block_id", "_s.*")
         rows = blocks.join(failed.drop(*KEY), "order_block_id").join(hit, "order_block_id")
         trigger = F.col("_bc")
