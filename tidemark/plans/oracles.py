@@ -468,4 +468,17 @@ FROM levels l LEFT JOIN sweeps s ON s.level_id = l.level_id""",
     "h4_counts": sql(_H4, _GRID, _COVER, select="SELECT symbol, " + ", ".join(f"count(*) FILTER (disposition = '{d}')::BIGINT AS {d}" for d in ("emitted", "withheld_boundary", "withheld_market_closed", "withheld_undetermined")) + ", count(*)::BIGINT AS windows FROM h4d GROUP BY symbol"),
     "tick_report": sql(_QUOTES, select="SELECT symbol, count(*)::BIGINT AS total, count(*) FILTER (missing)::BIGINT AS missing, count(*) FILTER (nonpositive)::BIGINT AS nonpositive, count(*) FILTER (crossed)::BIGINT AS crossed, count(*) FILTER (negative_volume)::BIGINT AS negative_volume, count(*) FILTER (ok AND n > 1)::BIGINT AS duplicates, count(*) FILTER (ok AND n = 1)::BIGINT AS kept, max(ask - bid) FILTER (ok) AS max_spread FROM qn GROUP BY symbol"),
     "clean_quotes": sql(_QUOTES, select="SELECT symbol, timestamp, bid, ask, seq FROM qn WHERE ok AND n = 1"),
+    "latest_closed_bars": sql(select="SELECT symbol, max(timestamp) AS timestamp, max(close_time) AS close_time, arg_max(close, timestamp) AS close FROM bars WHERE close_time <= TIMESTAMP '2024-01-16 12:30:00' GROUP BY symbol"),
+    "observable_swings": sql(_SWINGS, select="SELECT symbol, direction, event_timestamp, confirmation_timestamp FROM swings WHERE confirmation_timestamp <= TIMESTAMP '2024-01-16 12:30:00'"),
+    "session_states": sql(
+        _windows(_DEFS, "win"),
+        select="""SELECT s.symbol, name, start_utc, high_price, low_price, bar_count, start_utc <= t AND t < end_utc AS is_active, t >= end_utc AS is_complete, round(CASE WHEN high_price <> low_price THEN (c.price - low_price) / (high_price - low_price) END, 9) AS position_in_range
+FROM (SELECT symbol, name, start_utc, end_utc, max(high) AS high_price, min(low) AS low_price, count(*)::BIGINT AS bar_count, TIMESTAMP '2024-01-16 12:30:00' AS t FROM bars JOIN win ON timestamp >= start_utc AND close_time <= end_utc AND close_time <= TIMESTAMP '2024-01-16 12:30:00' AND start_utc <= TIMESTAMP '2024-01-16 12:30:00' GROUP BY symbol, name, start_utc, end_utc
+  QUALIFY row_number() OVER (PARTITION BY symbol, name ORDER BY start_utc DESC) = 1) s
+JOIN (SELECT symbol, arg_max(close, timestamp) AS price FROM bars WHERE close_time <= TIMESTAMP '2024-01-16 12:30:00' GROUP BY symbol) c ON c.symbol = s.symbol""",
+    ),
+    "pending_periods": sql(_PERIODS, select="SELECT symbol, period, label::DATE AS label, high_price, low_price FROM ext WHERE z < end_utc"),
+    "failed_without_structure": sql(_SWINGS, _BREAKS, _FVG, _RUNS, _OB, _FAILED, _BREAKERS, select="SELECT symbol, order_block_id, failed_at FROM failed WHERE order_block_id NOT IN (SELECT source_order_block_id FROM breakers)"),
+    "weekday_occurrences": sql(_GRID, select="SELECT symbol, weekday::BIGINT AS weekday, count(DISTINCT timestamp::DATE)::BIGINT AS days FROM g GROUP BY symbol, weekday"),
+    "merged_tick_reports": sql(_QUOTES, select="SELECT symbol, count(*)::BIGINT AS total, count(*) FILTER (missing)::BIGINT AS missing, count(*) FILTER (nonpositive)::BIGINT AS nonpositive, count(*) FILTER (crossed)::BIGINT AS crossed, count(*) FILTER (negative_volume)::BIGINT AS negative_volume, max(ask - bid) FILTER (ok) AS max_spread FROM qn GROUP BY symbol"),
 }

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators import audit, coverage, events, labels, splits
+from tidemark.operators import asof, audit, coverage, events, labels, splits
 from tidemark.operators import bars as B
 from tidemark.operators import blocks as K
+from tidemark.operators import calendar as C
 from tidemark.operators import gaps as G
 from tidemark.operators import liquidity as L
 from tidemark.operators import ranges as R
@@ -296,6 +297,43 @@ def clean_quotes(spark, sf_dir):
     return plain(B.clean_ticks(quotes(spark, sf_dir)), "symbol", "timestamp", "bid", "ask", "seq")
 
 
+NOON = "2024-01-16 12:30:00"
+
+
+def latest_closed_bars(spark, sf_dir):
+    return plain(asof.latest_closed_bar(market(spark, sf_dir).bars, NOON), "symbol", "timestamp", "close_time", "close")
+
+
+def observable_swings(spark, sf_dir):
+    return plain(asof.observable(market(spark, sf_dir).swings, NOON), "symbol", "direction", "event_timestamp", "confirmation_timestamp")
+
+
+def session_states(spark, sf_dir):
+    m = market(spark, sf_dir)
+    rows = C.session_state(m.bars, m.windows, NOON).withColumn("position_in_range", F.round("position_in_range", 9))
+    return plain(rows, "symbol", "name", "start_utc", "high_price", "low_price", "bar_count", "is_active", "is_complete", "position_in_range")
+
+
+def pending_periods(spark, sf_dir):
+    m = market(spark, sf_dir)
+    return plain(L.pending_periods(m.days, m.weeks), "symbol", "period", "label", "high_price", "low_price")
+
+
+def failed_without_structure(spark, sf_dir):
+    m = market(spark, sf_dir)
+    return plain(K.failed_without_structure(m.failures, m.breakers), "symbol", "order_block_id", "failed_at")
+
+
+def weekday_occurrences(spark, sf_dir):
+    return plain(coverage.weekday_occurrences(event_bars(spark, sf_dir, H1), H1))
+
+
+def merged_tick_reports(spark, sf_dir):
+    q = quotes(spark, sf_dir)
+    parts = [B.tick_report(q.filter(F.pmod("seq", F.lit(2)) == i)) for i in (0, 1)]
+    return plain(B.merge_tick_reports(parts[0].unionByName(parts[1])), "symbol", "total", "missing", "nonpositive", "crossed", "negative_volume", "max_spread")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -303,5 +341,6 @@ QUERIES = {
         order_blocks, order_block_status, breaker_blocks, unicorns, cisd_transitions, dealing_ranges, range_rejections, range_observations, session_occurrences, period_levels, daily_opens, equal_levels, liquidity_levels, liquidity_sweeps,
         pending_references, level_status, item_lifetimes, active_id_counts, state_features, market_events, provenance_faults, targets, split_labels, split_summary, target_diagnostics, dataset_rows, dataset_audit, feature_diagnostics,
         session_profile, coverage_4h, coverage_summary, h4_windows, h4_counts, tick_report, clean_quotes,
+        latest_closed_bars, observable_swings, session_states, pending_periods, failed_without_structure, weekday_occurrences, merged_tick_reports,
     )
 }
