@@ -481,4 +481,14 @@ JOIN (SELECT symbol, arg_max(close, timestamp) AS price FROM bars WHERE close_ti
     "failed_without_structure": sql(_SWINGS, _BREAKS, _FVG, _RUNS, _OB, _FAILED, _BREAKERS, select="SELECT symbol, order_block_id, failed_at FROM failed WHERE order_block_id NOT IN (SELECT source_order_block_id FROM breakers)"),
     "weekday_occurrences": sql(_GRID, select="SELECT symbol, weekday::BIGINT AS weekday, count(DISTINCT timestamp::DATE)::BIGINT AS days FROM g GROUP BY symbol, weekday"),
     "merged_tick_reports": sql(_QUOTES, select="SELECT symbol, count(*)::BIGINT AS total, count(*) FILTER (missing)::BIGINT AS missing, count(*) FILTER (nonpositive)::BIGINT AS nonpositive, count(*) FILTER (crossed)::BIGINT AS crossed, count(*) FILTER (negative_volume)::BIGINT AS negative_volume, max(ask - bid) FILTER (ok) AS max_spread FROM qn GROUP BY symbol"),
+    "feature_diagnostics": sql(
+        *_ALL, _OPENS, _VECTOR,
+        select="SELECT name, count(*) FILTER (v IS NULL)::BIGINT AS missing_count, count(*) FILTER (v IS NULL)::BIGINT AS nan_count, count(v)::BIGINT AS present_count, count(DISTINCT v)::BIGINT AS unique_count, min(v) AS minimum, max(v) AS maximum, round(avg(v), 6) AS mean, count(DISTINCT v) = 1 AS constant FROM ("
+        + " UNION ALL ".join(f"SELECT '{c}' AS name, ({_FEATURE_SQL[c]})::DOUBLE AS v FROM votes" for c in ("close", "bos_count", "rdrb_count", "hour_of_day", "is_premium")) + ") GROUP BY name",
+    ),
+    "target_diagnostics": sql(
+        _target_sql(),
+        select="""SELECT t.spec_name, total, resolved_count, unresolved_count, classes FROM (SELECT spec_name, count(*)::BIGINT AS total, count(*) FILTER (resolved)::BIGINT AS resolved_count, count(*) FILTER (NOT resolved)::BIGINT AS unresolved_count FROM tv GROUP BY spec_name) t
+LEFT JOIN (SELECT spec_name, '{' || string_agg('"' || k || '":' || n, ',' ORDER BY k) || '}' AS classes FROM (SELECT spec_name, coalesce(direction, outcome) AS k, count(*) AS n FROM tv WHERE coalesce(direction, outcome) IS NOT NULL GROUP BY ALL) GROUP BY spec_name) c ON c.spec_name = t.spec_name""",
+    ),
 }
