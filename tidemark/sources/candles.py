@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.schema import CANDLE, INSTRUMENTS, Timeframe, instrument, timeframe
+from tidemark.sources.shared import importable
 
 # The layouts of the binary files. Ticks: milliseconds, ask and bid in
 # points, ask and bid volume. Candles: seconds, open, close, low, high in points, volume.
@@ -141,6 +142,7 @@ def _path_time(path: str, hourly: bool) -> tuple[str, datetime]:
 
 def read_ticks(spark: SparkSession, root: str) -> DataFrame:
     """All hour files under root, each decoded by one task; a corrupt file raises."""
+    importable(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*h_ticks.bi5").load(root).select("path", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,6 +158,7 @@ def read_candles(spark: SparkSession, root: str, tf: str | Timeframe) -> DataFra
     """All native month files of a timeframe under root, without padding."""
     tf = timeframe(tf)
     name = "BID_candles_hour_1.bi5" if tf.name == "1h" else "BID_candles_day_1.bi5"
+    importable(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(root).select("path", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
