@@ -37,10 +37,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, slim: bool = False) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts the lineage,
-    so a lost executor costs a re-read instead of the whole history."""
+    so a lost executor costs a re-read instead of the whole history.
+
+    slim: the rows are a few numbers each, and are written by as many tasks as the
+    cluster has cores, whatever number of partitions made them: fewer files."""
     spark = df.sparkSession
+    if slim:
+        df = df.repartition(spark.sparkContext.defaultParallelism)
     path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

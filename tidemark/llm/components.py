@@ -21,25 +21,25 @@ def _both(edges: DataFrame) -> DataFrame:
 def contract(edges: DataFrame) -> DataFrame | None:
     """vertex and root (the smallest vertex of its component) for every vertex that has
     an edge to another; None if no vertex has. edges: a, b."""
-    edges = stored(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    edges = stored(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges", slim=True)
     if edges.isEmpty():
         return None
     roots = None
     while True:
         up = _both(edges).groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("vertex"), F.least("a", "b").alias("root"))
-        up = stored(up, "hooks")
+        up = stored(up, "hooks", slim=True)
         far = up.select(F.col("vertex").alias("root"), F.col("root").alias("far"))
         up = up.join(far, "root").select("vertex", F.col("far").alias("root"))
         farther = far.join(far.select(F.col("root").alias("far"), F.col("far").alias("end")), "far").select("root", F.col("end").alias("far"))
-        up = stored(up.join(farther, "root").select("vertex", F.col("far").alias("root")), "jumps")
+        up = stored(up.join(farther, "root").select("vertex", F.col("far").alias("root")), "jumps", slim=True)
         if roots is None:
             roots = up
         else:
             step = up.select(F.col("vertex").alias("root"), F.col("root").alias("next"))
-            roots = stored(roots.join(step, "root", "left").select("vertex", F.coalesce("next", "root").alias("root")), "roots")
+            roots = stored(roots.join(step, "root", "left").select("vertex", F.coalesce("next", "root").alias("root")), "roots", slim=True)
         a, b = (up.select(F.col("vertex").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
         left = edges.join(a, "a").join(b, "b").filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-        edges = stored(left, "edges")
+        edges = stored(left, "edges", slim=True)
         if edges.isEmpty():
             return roots
 
@@ -51,4 +51,4 @@ def merge(roots: DataFrame | None, more: DataFrame | None) -> DataFrame | None:
     step = more.select(F.col("vertex").alias("root"), F.col("root").alias("next"))
     old = roots.join(step, "root", "left").select("vertex", F.coalesce("next", "root").alias("root"))
     new = more.join(roots.select("vertex"), "vertex", "left_anti")
-    return stored(old.unionByName(new), "roots")
+    return stored(old.unionByName(new), "roots", slim=True)

@@ -177,13 +177,13 @@ def _confirmed(spark: SparkSession, docs: DataFrame, nodes: DataFrame, pairs: Da
     left, right = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}")) for c in "ab")
     near = pairs.join(left, "a").join(right, "b")
     near = near.filter((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (estimate("sa", "sb") >= percent / 100 - DOUBT)).select("a", "b", "na", "nb")
-    near = stored(near, "candidates")
+    near = stored(near, "candidates", slim=True)
     ids = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
     sets = _shingles(spark, docs, ids, width)
     sa, sb = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
     found = near.join(sb, "b").join(sa, "a").withColumn("both", both)
-    return stored(found.filter(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"), "links")
+    return stored(found.filter(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"), "links", slim=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -192,7 +192,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     rows = stored(docs.mapInArrow(_describe(width), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sig array<long>"), "minhash-rows")
     known = rows.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = stored(known.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "set-classes")
+    classes = stored(known.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "set-classes", slim=True)
     nodes = known.join(classes.drop("copies"), (known["doc_id"] == classes["node"]) & (known["k1"] == classes["k1"]) & (known["k2"] == classes["k2"]), "left_semi")
     nodes = stored(nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "k1", "k2", "bands", "sig").dropDuplicates(["node"]), "minhash-nodes")
     entries = nodes.select("node", F.explode("bands").alias("bucket"))
@@ -205,7 +205,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     while True:
         labelled = _labelled(members.drop("centre"), roots)
         span = labelled.groupBy("bucket").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.min_by("node", F.xxhash64(F.lit(round_), "node")).alias("centre"), F.min_by("root", F.xxhash64(F.lit(round_), "node")).alias("centre_root")).filter("_lo < _hi").drop("_lo", "_hi")
-        open_ = stored(labelled.join(span, "bucket"), "open-buckets")
+        open_ = stored(labelled.join(span, "bucket"), "open-buckets", slim=True)
         if open_.isEmpty():
             break
         if not final:
