@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import importable
+
 #: The characters that separate words: space and U+0009 to U+000D.
 SEPARATORS = " \t\n\x0b\x0c\r"
 _LOCAL = None
@@ -63,7 +65,8 @@ def drop_stored(spark: SparkSession, df: DataFrame) -> None:
 
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches of a few MB, whatever the texts' length: each is held by the JVM,
-    outside its heap, and by the Python worker at once."""
+    outside its heap, and by the Python worker at once. Also lets workers import us."""
+    importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
