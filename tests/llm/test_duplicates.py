@@ -156,3 +156,17 @@ def test_repeats_of_awkward_rows(spark):
     by = {(r["doc_id"], r["text"] is None): r for r in out.collect()}
     assert by[2, False]["text"] == "" and by[1, False]["text"] and by[4, True]["runs"] == "x"
     assert suffix_dedup.removal_report(spark, awkward(spark).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 1])
+@pytest.mark.parametrize("parts", [1, 4])
+def test_repeated_rows_are_no_repeats_of_themselves(spark, hot, parts):
+    rng = random.Random(11)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    rows = [(1, a), (1, a), (None, b), (None, b), (2, c), (2, d), (3, c + " end"), (3, c + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    want = {(i, len(t)): 0 if t in (a, b, c, d) else len(c) for i, t in rows}
+    got = suffix_dedup.removal_report(spark, docs, hot).collect()
+    assert len(got) == len(rows) and all(r["n_removed"] == want[r["doc_id"], r["n_bytes"]] for r in got)
+    kept = [r["text"] for r in suffix_dedup.remove_repeats(spark, docs, hot).collect()]
+    assert sorted(kept) == sorted([a, a, b, b, c, d, " end", " end"])

@@ -325,19 +325,23 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield judge(t)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """doc (doc_id, null last), tie (0 unless a doc_id has several texts) and text."""
+def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """doc (doc_id, null last), tie (0 unless a doc_id has several rows) and text; and
+    whether rows may agree in doc and tie."""
     repeated = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
     nulls = docs.filter(F.col("doc_id").isNull())
     plain = repeated.isEmpty() and nulls.isEmpty()
     tie = F.lit(0).cast("long") if plain else F.xxhash64(F.coalesce("text", F.lit("")))
-    return docs.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("tie", tie)
+    return docs.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("tie", tie), not plain
 
 
-def removed_runs(spark: SparkSession, keyed: DataFrame, hot_runs: int = HOT) -> DataFrame:
-    """doc, tie, pos (_pos): runs of windows that occur earlier."""
+def removed_runs(spark: SparkSession, keyed: DataFrame, hot_runs: int = HOT, repeated: bool = True) -> DataFrame:
+    """doc, tie, pos (_pos): runs of windows that occur earlier. Rows that agree in doc
+    and tie (repeated: there may be some) are read once, so none is its own repeat."""
     bounded_batches(spark)
     slim = keyed.select("doc", "tie", "text")
+    if repeated:
+        slim = slim.dropDuplicates(["doc", "tie"])
     order = ("akey", "ckey", "doc", "tie", "pos")
     found = slim.mapInArrow(_map_runs, RUNS).repartition("akey").sortWithinPartitions(*order)
     sifted = stored(found.mapInArrow(_sift(hot_runs), f"kind string, {RUNS}").drop("ckey", "known"), "suffix-runs")
@@ -408,8 +412,8 @@ def _apply(kept_text: bool):
 
 
 def _with_runs(spark: SparkSession, docs: DataFrame, hot_runs: int) -> DataFrame:
-    keyed = _keyed(docs)
-    gone = removed_runs(spark, keyed, hot_runs).groupBy("doc", "tie").agg(F.collect_list("pos").alias("runs"))
+    keyed, repeated = _keyed(docs)
+    gone = removed_runs(spark, keyed, hot_runs, repeated).groupBy("doc", "tie").agg(F.collect_list("pos").alias("runs"))
     return keyed.join(gone, ["doc", "tie"], "left").drop("doc", "tie")
 
 
