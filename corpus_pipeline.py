@@ -22,13 +22,17 @@ def rule_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8) the document
-    of the smallest doc_id stays; of rows that repeat a doc_id, one."""
-    found = minhash.near_duplicates(spark, docs, width=5, percent=80)
-    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return left
-    return left.filter("doc_id IS NULL").unionByName(left.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    of the smallest doc_id stays; of rows that repeat doc_id and text, one. Rows that
+    repeat a doc_id with other text are judged by their own text."""
+    if not minhash.repeats_ids(docs):
+        found = minhash.near_duplicates(spark, docs, width=5, percent=80)
+        gone = found.filter(~F.col("kept")).select("doc_id").distinct()
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    found = minhash.row_verdicts(spark, docs, width=5, percent=80)
+    gone = found.filter(~F.col("kept")).select("doc_id", F.col("tie").alias("_tie"))
+    left = docs.withColumn("_tie", minhash.text_tie(F.col("text"))).join(gone, ["doc_id", "_tie"], "left_anti")
+    named = left.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "_tie"])
+    return left.filter("doc_id IS NULL").unionByName(named).select(*docs.columns)
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

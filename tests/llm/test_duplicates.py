@@ -170,3 +170,20 @@ def test_repeated_rows_are_no_repeats_of_themselves(spark, hot, parts):
     assert len(got) == len(rows) and all(r["n_removed"] == want[r["doc_id"], r["n_bytes"]] for r in got)
     kept = [r["text"] for r in suffix_dedup.remove_repeats(spark, docs, hot).collect()]
     assert sorted(kept) == sorted([a, a, b, b, c, d, " end", " end"])
+
+
+def test_texts_that_share_a_doc_id_are_judged_by_themselves(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    a, b, c, d, e, f = (prose(rng, 120) for _ in range(6))
+    # 7 and 9 have two texts each: of 7 one is a copy of 1's; those of 9 both have near copies.
+    rows = [(1, a), (7, b), (7, a + " end"), (8, c), (8, c), (9, d), (9, e), (20, d + " end"), (30, e + " end"), (40, f), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()]
+    want = [(1, a), (7, b), (8, c), (9, d), (9, e), (40, f), (None, a)]
+    assert sorted(kept, key=str) == sorted(want, key=str)
+    found = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(spark, docs).collect()), key=str)
+    root = {1: 1, 8: 8, 9: 9, 20: 9, 30: 9, 40: 40, None: None}
+    # Sets of one smallest doc_id are one component, so 7 is with 1 as a whole.
+    assert found == sorted([(i, root.get(i, 1), root.get(i, 1) == i) for i, _ in rows], key=str)

@@ -21,7 +21,9 @@ left out. Components are contracted after each round.
 Defined results: null texts, and texts without words, have an empty set, n_shingles 0,
 and stay by themselves; one word is one shingle. Rows without a doc_id have no
 component (null) and are kept. Rows that repeat a doc_id are one document as far as
-components go. Other columns are not read.
+components go: each of their texts is compared, and sets whose smallest doc_id is the
+same are in one component. row_verdicts decides for each text alone. Other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -186,15 +188,70 @@ def _confirmed(spark: SparkSession, docs: DataFrame, nodes: DataFrame, pairs: Da
     return stored(found.filter(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"), "links", slim=True)
 
 
+def text_tie(text: Column) -> Column:
+    """Tells the texts of one doc_id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def repeats_ids(docs: DataFrame) -> bool:
+    return not docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").isEmpty()
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
-    bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
+    if not repeats_ids(docs):
+        found = _components(spark, docs, width, percent).drop("k1", "k2")
+    else:
+        found = _by_doc_id(spark, docs, width, percent)
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def row_verdicts(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, tie (text_tie) and kept of every text that has a doc_id, each judged by
+    itself: of a component the text of the smallest doc_id, then tie, is kept."""
+    docs = docs.select(F.col("doc_id").cast("long"), "text").filter(F.col("doc_id").isNotNull())
+    texts = _texts(spark, docs, width, percent)
+    first = texts.groupBy("component").agg(F.min(F.struct("doc_id", "tie")).alias("first"))
+    return texts.join(first, "component").select("doc_id", "tie", (F.struct("doc_id", "tie") == F.col("first")).alias("kept"))
+
+
+def _texts(spark: SparkSession, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, tie, n_shingles, k1, k2, component of every different text of every doc_id;
+    texts are numbered, and a component is the smallest number of its texts."""
+    one = docs.withColumn("tie", text_tie(F.col("text"))).dropDuplicates(["doc_id", "tie"])
+    one = stored(one.withColumn("id", F.monotonically_increasing_id()), "minhash-texts")
+    found = _components(spark, one.select(F.col("id").alias("doc_id"), "text"), width, percent)
+    found = found.select(F.col("doc_id").alias("id"), "n_shingles", "k1", "k2", F.col("component_id").alias("component"))
+    return stored(one.select("id", "doc_id", "tie").join(found, "id").drop("id"), "minhash-verdicts")
+
+
+def _by_doc_id(spark: SparkSession, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """near_duplicates, without kept, where several rows have one doc_id."""
+    named = docs.filter(F.col("doc_id").isNotNull())
+    texts = _texts(spark, named, width, percent)
+    # A set stands for its smallest doc_id; components that share one become one.
+    sets = texts.filter("n_shingles > 0").groupBy("k1", "k2", "component").agg(F.min("doc_id").alias("stands"))
+    low = sets.groupBy("stands").agg(F.min("component").alias("a"), F.max("component").alias("_b")).filter("a < _b").drop("_b")
+    joined = contract(sets.join(low, "stands").select("a", F.col("component").alias("b")))
+    if joined is not None:
+        texts = texts.join(joined.withColumnRenamed("vertex", "component"), "component", "left").withColumn("component", F.coalesce("root", "component")).drop("root")
+    ids = texts.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    texts = texts.join(ids, "component").select("doc_id", "tie", "n_shingles", "component_id")
+    out = named.withColumn("tie", text_tie(F.col("text"))).select("doc_id", "tie").join(texts, ["doc_id", "tie"]).drop("tie")
+    nulls = docs.filter(F.col("doc_id").isNull())
+    return out.unionByName(_components(spark, nulls, width, percent).drop("k1", "k2"))
+
+
+def _components(spark: SparkSession, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, k1, k2, component_id for every row of docs, whose ids differ or
+    are null."""
+    bounded_batches(spark)
     rows = stored(docs.mapInArrow(_describe(width), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sig array<long>"), "minhash-rows")
     known = rows.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = stored(known.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "set-classes", slim=True)
     nodes = known.join(classes.drop("copies"), (known["doc_id"] == classes["node"]) & (known["k1"] == classes["k1"]) & (known["k2"] == classes["k2"]), "left_semi")
-    nodes = stored(nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "k1", "k2", "bands", "sig").dropDuplicates(["node"]), "minhash-nodes")
+    nodes = stored(nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "k1", "k2", "bands", "sig"), "minhash-nodes")
     entries = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("_last")).filter("centre < _last").drop("_last")
     members = stored(entries.join(shared, "bucket"), "bucket-members")
@@ -272,8 +329,7 @@ def _result(rows: DataFrame, classes: DataFrame, roots: DataFrame | None) -> Dat
         classes = classes.withColumn("root", F.lit(None).cast("long"))
     moved = classes.filter(F.col("root").isNotNull() | (F.col("copies") > 1)).select("k1", "k2", F.coalesce("root", "node").alias("root"))
     out = rows.select("doc_id", "n_shingles", "k1", "k2").join(moved, ["k1", "k2"], "left")
-    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", "k1", "k2", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
 
 
 def op4_minhash(spark, sf_dir: str) -> DataFrame:
