@@ -103,6 +103,15 @@ def test_first_hit_climbs_and_descends(spark, monkeypatch):
             assert got[r["k"]] == next((i for i in range(r["start"], 700) if ok(v[i])), None)
 
 
+@pytest.mark.parametrize(("levels", "n"), [(1, 300), (2, 40_000)])
+def test_first_hit_beyond_the_first_top_node(spark, monkeypatch, levels, n):
+    monkeypatch.setattr(search, "LEVELS", levels)
+    bars = spark.range(n).select(F.lit("X").alias("symbol"), F.lit("5m").alias("timeframe"), F.col("id").cast("int").alias("idx"), F.col("id").cast("double").alias("close"))
+    items = spark.createDataFrame([("X", "5m", 3, n - 2.5), ("X", "5m", 3, 5.5), ("X", "5m", n - 1, 1.0), ("X", "5m", 3, n + 1.0)], "symbol string, timeframe string, start int, level double")
+    got = {(r["start"], r["level"]): r["hit_idx"] for r in search.first_hit(items, bars, F.col("close"), True, "start", "level").collect()}
+    assert got == {(3, n - 2.5): n - 2, (3, 5.5): 6, (n - 1, 1.0): n - 1, (3, n + 1.0): None}
+
+
 @pytest.mark.parametrize("partial,full", [(0.0, 1.0), (0.25, 0.75)])
 def test_fill_stream_against_a_loop(spark, partial, full):
     b = prepared(walk(spark, 400, 8), M5)

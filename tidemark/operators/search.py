@@ -1,7 +1,7 @@
 """First-hit search and lifecycle helpers over a series, as equi-joins.
 
 The bars of a series are stored as a tree of arrays: a leaf holds FAN bars, an inner
-node the extremes of FAN nodes below it. "The first bar from `start` on whose value is
+node the extremes of FAN nodes below it, the top node those of all below it. "The first bar from `start` on whose value is
 beyond `level`" climbs to the first node that has one and comes down to the bar; each
 step joins a search to one row and looks inside its array. Cost is the number of
 levels, whatever the distance, and no join is an inequality."""
@@ -13,15 +13,21 @@ from pyspark.sql import functions as F
 
 from tidemark.schema import KEY
 
-FAN, LEVELS = 128, 3  # 2 million bars to a series
+FAN, LEVELS = 128, 3  # the top has one entry for each FAN ** (LEVELS - 1) bars of its series
+
+
+def _parent(child: str, lv: int) -> Column:
+    """The node of level lv that holds the entry."""
+    return F.shiftright(child, 7) if lv < LEVELS - 1 else F.lit(0)
 
 
 def tree(bars: DataFrame, value: Column, high: bool) -> list[DataFrame]:
-    """Per level: KEY, node, xs (FAN values in order, null where none)."""
+    """Per level: KEY, node, xs (FAN values in order, null where none). The last level is
+    one node, 0, of as many values as the series needs."""
     rows = bars.select(*KEY, F.col("idx").alias("child"), value.alias("x"))
     out = []
-    for _ in range(LEVELS):
-        rows = rows.withColumn("node", F.shiftright("child", 7)).groupBy(*KEY, "node").agg(F.array_sort(F.collect_list(F.struct("child", "x"))).alias("xs"))
+    for lv in range(LEVELS):
+        rows = rows.withColumn("node", _parent("child", lv)).groupBy(*KEY, "node").agg(F.array_sort(F.collect_list(F.struct("child", "x"))).alias("xs"))
         out.append(rows)
         best = F.array_max(F.transform("xs", lambda s: s["x"])) if high else F.array_min(F.transform("xs", lambda s: s["x"]))
         rows = rows.select(*KEY, F.col("node").alias("child"), best.alias("x"))
@@ -40,7 +46,7 @@ def first_hit(items: DataFrame, bars: DataFrame, value: Column, above: bool, sta
     df = items.withColumn("_p", F.col(start).cast("long")).withColumn("_found", F.lit(None).cast("int")).withColumn("_hit", F.lit(None).cast("long"))
     for lv, node in enumerate(nodes):
         here = node.select(*KEY, F.col("node").alias("_node"), "xs")
-        df = df.withColumn("_node", F.shiftright("_p", 7)).join(here, [*KEY, "_node"], "left")
+        df = df.withColumn("_node", _parent("_p", lv)).join(here, [*KEY, "_node"], "left")
         hit = F.when(F.col("_found").isNull(), inside(F.col("_p")))
         df = df.withColumn("_h", hit).withColumn("_hit", F.coalesce("_hit", "_h")).withColumn("_found", F.coalesce("_found", F.when(F.col("_h").isNotNull(), F.lit(lv))))
         df = df.withColumn("_p", F.shiftright("_p", 7) + 1).drop("xs", "_h", "_node")
