@@ -46,7 +46,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Each document as often as the mix takes it: whole copies, and where the mix stops
     inside a document its first words. Rows that agree in doc_id, source and size share
     what they are given evenly."""
-    taken = mixing.mix(spark, docs).groupBy("doc_id", "source", "size").agg(F.floor(F.avg("taken")).cast("long").alias("_taken"))
+    taken = mixing.exact_mix(spark, docs).groupBy("doc_id", "source", "size").agg(F.floor(F.avg("taken")).cast("long").alias("_taken"))
     taken = taken.filter("_taken > 0").select(*(F.col(c).alias(f"_{c}") for c in ("doc_id", "source", "size")), "_taken")
     sized = docs.withColumn("_n", n_words(F.col("text")))
     both = sized.join(taken, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size")))

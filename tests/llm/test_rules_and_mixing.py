@@ -72,6 +72,19 @@ def test_mix_of_empty_tables(spark):
     assert {r["taken"] for r in mixing.mix(spark, empty).collect()} == {0}
 
 
+def test_pipeline_mix_does_not_depend_on_the_slots(spark, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(mixing, "MAX_SLOTS_LOG2", 3)
+    rows = [(i, "w " * (40 + i), s) for i, s in enumerate("aabbccc")] + [(100, "one two three", "tiny"), (101, "", "void"), (102, None, None)]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, source string, n_chars long")
+    target = {r["source"]: r["target"] for r in mixing.source_targets(mixing.sized(docs)).collect()}
+    got = dict.fromkeys(target, 0)
+    for r in corpus_pipeline.mixing_stage(spark, docs, "").collect():
+        got[r["source"]] += len(words(r["text"]))
+    assert got == {s: int(t) for s, t in target.items()} and got["tiny"] == 9
+
+
 def test_schedule_is_spread_and_ranked(spark):
     src = spark.createDataFrame([(0, 0, 100), (1, 100, 256)], "source_id long, slot_lo long, slot_hi long")
     slots = sorted(mixing.schedule(spark, src, 8).collect(), key=lambda r: r["slot"])

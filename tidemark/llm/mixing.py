@@ -6,7 +6,8 @@ cumulative targets, so every stretch of the schedule has every source near its
 weight. The slots of a source are ranked, and its r-th slot takes the r-th
 equal-token block of the source's documents in shuffled order, laid end to end
 and read up to `MAX_REPEATS` times. K is at most 2**20 whatever the corpus; the
-blocks grow instead.
+blocks grow instead, so mix() meets a target to within a block. exact_mix() takes the
+whole words of every target, whatever the blocks.
 
 Nothing gathers a source in one task: places in a source's shuffled stream come
 from prefix sums in two levels (hash buckets, then rows of one bucket), and
@@ -121,14 +122,31 @@ def block_pieces(docs: DataFrame, k: int) -> DataFrame:
     return docs.withColumn("words", F.greatest(words, F.lit(0))).filter((F.col("words") > 0) | (F.col("pass") == 0))
 
 
-def mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken: what the mix takes of each document."""
-    sizes = stored(sized(docs), "mix-sizes")
+def _streams(sizes: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """The documents in their sources' streams, the targets, and the log2 of the slots."""
     rows, total = sizes.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     k = slots_log2(int(total))
     targets = stored(shares(source_targets(sizes), k), "mix-targets")
-    buckets = max(1, min(MAX_BUCKETS, rows // BUCKET_ROWS))
-    pieces = block_pieces(streams(sizes, targets, buckets), k)
+    return streams(sizes, targets, max(1, min(MAX_BUCKETS, rows // BUCKET_ROWS))), targets, k
+
+
+def exact_mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The columns of mix, with exactly floor(target) words of each source, from the
+    start of its shuffled stream: what is taken does not depend on the size of a slot."""
+    placed, _, _ = _streams(stored(sized(docs), "mix-sizes"))
+    own = F.greatest("source_size", F.lit(1))
+    words = F.floor("target").cast("long")
+    rest = words % own
+    passes = ((words - rest) / own).cast("long")
+    taken = passes * F.col("size") + F.greatest(F.least(rest - F.col("at"), F.col("size")), F.lit(0))
+    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken: what the mix takes of each document."""
+    sizes = stored(sized(docs), "mix-sizes")
+    placed, targets, k = _streams(sizes)
+    pieces = block_pieces(placed, k)
     slots = schedule(spark, targets, k)
     found = pieces.join(slots.withColumn("hit", F.lit(1)).drop("slot"), ["source_id", "rank"], "left")
     taken = F.sum(F.when(F.col("hit") == 1, F.col("words")).otherwise(0)).cast("long")
