@@ -135,6 +135,20 @@ def test_probabilities_sum_to_one():
         assert (p < 1.0001).all() and (p > 0.5).all()
 
 
+def test_letters_beyond_the_first_plane_are_scored_as_learned():
+    adlam, gothic = ("".join(chr(base + j) for j in (3, 1, 2, 1, 3, 2)) for base in (0x1E922, 0x10330))
+    model = langid.fit({"aa": [f"{adlam} {adlam}"], "bb": [f"{gothic} {gothic}"]})
+    scorer, order = langid.Scorer(model), len(model.grams)
+    for text in (adlam, gothic, f"ab {adlam}", "ab ba"):
+        sym = langid.symbols([text])[0]
+        pad = np.concatenate([np.full(order - 1, 32, np.uint64), sym])
+        places = [i for i in range(1, len(sym)) if sym[i] != 32 or sym[i - 1] != 32]
+        want = -langid.log_probs(model, np.array([pad[i : i + order] for i in places])).mean(0)
+        for _ in range(2):  # the second time from the cache
+            assert np.allclose(scorer.entropies([text])[0][0], want, atol=1e-5)
+    assert scorer.entropies([adlam, gothic])[0].argmin(1).tolist() == [0, 1]
+
+
 def test_classifier_learns_and_folds(spark):
     rng = random.Random(4)
     good = [(i, prose(rng, 60, "abcdefg"), 1) for i in range(120)]

@@ -170,11 +170,15 @@ class Scorer:
         pad = np.concatenate([np.full(order - 1, 32, np.uint64), sym])
         used = np.flatnonzero(counts)
         packed = np.zeros(len(used), np.uint64)
-        for i in range(order):  # 16 bits a symbol; those beyond the first plane are folded
+        far = np.zeros(len(used), bool)
+        for i in range(order):  # 16 bits a symbol; with symbols beyond the first plane, a hash
             c = pad[used + i]
-            packed = (packed << np.uint64(16)) | ((c ^ (c >> np.uint64(16))) & np.uint64(0xFFFF))
-        uniq, inv = np.unique(packed, return_inverse=True)
-        values = self._lookup(uniq, order)
+            packed = (packed << np.uint64(16)) | (c & np.uint64(0xFFFF))
+            far |= c > 0xFFFF
+        places = np.arange(order)
+        packed[far] = _hash_rows(pad[used[far][:, None] + places])
+        uniq, first, inv = np.unique(packed, return_index=True, return_inverse=True)
+        values = self._lookup(uniq, pad[used[first][:, None] + places])
         total = np.zeros((len(texts), values.shape[1]))
         row = np.searchsorted(at, used - 1, "right") - 1  # the space behind a text is its own
         n = np.maximum(np.bincount(row, minlength=len(texts)), 1)
@@ -182,15 +186,15 @@ class Scorer:
             total[:, j] = np.bincount(row, values[:, j][inv], len(texts))
         return -total / n[:, None], any_letter
 
-    def _lookup(self, uniq: np.ndarray, order: int) -> np.ndarray:
+    def _lookup(self, uniq: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Values of keys, each with its row of symbols."""
         at = np.minimum(np.searchsorted(self.keys, uniq), max(len(self.keys) - 1, 0))
         known = self.keys[at] == uniq if len(self.keys) else np.zeros(len(uniq), bool)
         out = np.empty((len(uniq), len(self.model.languages)), np.float32)
         out[known] = self.values[at[known]]
         new = uniq[~known]
         if len(new):
-            rows = np.stack([(new >> np.uint64(16 * (order - 1 - i))) & np.uint64(0xFFFF) for i in range(order)], 1)
-            got = log_probs(self.model, rows).astype(np.float32)
+            got = log_probs(self.model, rows[~known]).astype(np.float32)
             out[~known] = got
             if len(self.keys) > self.KEEP:
                 self.keys, self.values = self.keys[:0], self.values[:0]
