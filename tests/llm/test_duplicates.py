@@ -59,8 +59,8 @@ def test_exact_join_alone_finds_every_link(spark):
 
     rows = near_rows(6)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    open_ = docs.select(F.lit(1).alias("bucket"), F.col("doc_id").alias("node"), F.col("doc_id").alias("root"))
-    pairs = {(r["a"], r["b"]) for r in minhash._across(spark, docs, open_, 2, 80).collect()}
+    open_ = docs.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("root"))
+    pairs = {(r["a"], r["b"]) for r in minhash._across(spark, docs, open_, 2, 80)[0].collect()}
     sets = {i: set(zip(t.lower().split(), t.lower().split()[1:], strict=False)) for i, t in rows}
     links = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
     assert links and links <= pairs

@@ -18,16 +18,15 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
 
 
-def contract(edges: DataFrame) -> DataFrame | None:
+def contract(edges: DataFrame, ready: bool = False) -> DataFrame | None:
     """vertex and root (the smallest vertex of its component) for every vertex that has
-    an edge to another; None if no vertex has. edges: a, b."""
-    edges = stored(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges", slim=True)
-    if edges.isEmpty():
-        return None
+    an edge to another; None if no vertex has. edges: a, b; ready: they are a stored
+    table of distinct rows with a < b."""
+    if not ready:
+        edges = stored(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges", slim=True)
     roots = None
-    while True:
+    while not edges.isEmpty():
         up = _both(edges).groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("vertex"), F.least("a", "b").alias("root"))
-        up = stored(up, "hooks", slim=True)
         far = up.select(F.col("vertex").alias("root"), F.col("root").alias("far"))
         up = up.join(far, "root").select("vertex", F.col("far").alias("root"))
         farther = far.join(far.select(F.col("root").alias("far"), F.col("far").alias("end")), "far").select("root", F.col("end").alias("far"))
@@ -36,12 +35,11 @@ def contract(edges: DataFrame) -> DataFrame | None:
             roots = up
         else:
             step = up.select(F.col("vertex").alias("root"), F.col("root").alias("next"))
-            roots = stored(roots.join(step, "root", "left").select("vertex", F.coalesce("next", "root").alias("root")), "roots", slim=True)
+            roots = roots.join(step, "root", "left").select("vertex", F.coalesce("next", "root").alias("root"))
         a, b = (up.select(F.col("vertex").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
         left = edges.join(a, "a").join(b, "b").filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
         edges = stored(left, "edges", slim=True)
-        if edges.isEmpty():
-            return roots
+    return None if roots is None else stored(roots, "roots", slim=True)
 
 
 def merge(roots: DataFrame | None, more: DataFrame | None) -> DataFrame | None:

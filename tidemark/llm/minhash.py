@@ -13,10 +13,9 @@ A pair of similarity 0.8 shares no bucket with probability (1 - 0.8**4)**32 < 5e
 Groups: documents of equal sets are one class and stand in by its smallest doc_id, so
 copies never make pairs. Links inside a component that is already known add nothing,
 so a bucket is not expanded into all pairs: it proposes one pair for each member with
-a centre (first its smallest document, then others by a round's hash) while members
-differ in component. At last an exact join by prefixes finds every link between
-documents that share a bucket and are still in different components: no candidate is
-left out. Components are contracted after each round.
+its smallest document, which settles buckets of two. Components are contracted, and for
+larger buckets whose members still differ in component an exact join by prefixes finds
+every link between documents of different components: no candidate is left out.
 
 Defined results: null texts, and texts without words, have an empty set, n_shingles 0,
 and stay by themselves; one word is one shingle. Rows without a doc_id have no
@@ -42,7 +41,6 @@ PERMS, BANDS, BITS = 128, 32, 4
 ROWS = PERMS // BANDS
 #: Candidates whose estimated similarity is under threshold - DOUBT are dropped.
 DOUBT = 0.18
-STAR_ROUNDS = 4
 CHUNK = 1 << 19
 _rng = np.random.default_rng(20240501)
 _MUL = _rng.integers(0, 1 << 32, PERMS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -135,16 +133,12 @@ def _filter_of(spark: SparkSession, ids: DataFrame):
     """A Bloom filter of fixed size over a column of ids, made from its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[int, int] = {}
+        table = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
         for b in batches:
             for slots in _slots(b.column(0).to_numpy(zero_copy_only=False)):
-                w, mask = slots >> 5, np.int64(1) << (slots & 31)
-                order = np.argsort(w, kind="stable")
-                w, mask = w[order], mask[order]
-                first = np.flatnonzero(np.diff(w, prepend=-1))
-                for k, v in zip(w[first].tolist(), np.bitwise_or.reduceat(mask, first).tolist() if len(w) else [], strict=True):
-                    words[k] = words.get(k, 0) | v
-        yield pa.RecordBatch.from_arrays([pa.array(list(words.keys()), pa.int64()), pa.array(list(words.values()), pa.int64())], ["word", "mask"])
+                np.bitwise_or.at(table, slots >> 5, np.uint32(1) << (slots & 31).astype(np.uint32))
+        words = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.int64()), pa.array(table[words].astype(np.int64))], ["word", "mask"])
 
     table = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
     for part in ids.mapInArrow(run, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow().to_batches():
@@ -171,17 +165,21 @@ def _shingles(spark: SparkSession, docs: DataFrame, ids: DataFrame, width: int)
     """doc_id and shingles (hashes of its full set) of the documents in ids (doc_id)."""
     wanted = _filter_of(spark, ids)
     sets = docs.filter(F.col("doc_id").isNotNull()).mapInArrow(_sets(width, wanted), "doc_id long, shingles array<long>")
-    return stored(sets.join(ids, "doc_id", "left_semi"), "shingle-sets")
+    sets = stored(sets.join(ids, "doc_id", "left_semi"), "shingle-sets")
+    wanted.destroy()
+    return sets
 
 
-def _confirmed(spark: SparkSession, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links. Sizes and the b-bit estimate decide first."""
+def _confirmed(spark: SparkSession, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int, sets: DataFrame | None = None) -> DataFrame:
+    """The pairs (a, b) that are links. Sizes and the b-bit estimate decide first. sets:
+    the documents' shingles, if they are at hand."""
     left, right = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}")) for c in "ab")
     near = pairs.join(left, "a").join(right, "b")
     near = near.filter((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (estimate("sa", "sb") >= percent / 100 - DOUBT)).select("a", "b", "na", "nb")
     near = stored(near, "candidates", slim=True)
-    ids = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
-    sets = _shingles(spark, docs, ids, width)
+    if sets is None:
+        ids = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
+        sets = _shingles(spark, docs, ids, width)
     sa, sb = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
     found = near.join(sb, "b").join(sa, "a").withColumn("both", both)
@@ -249,43 +247,31 @@ def _components(spark: SparkSession, docs: DataFrame, width: int, percent: int)
     bounded_batches(spark)
     rows = stored(docs.mapInArrow(_describe(width), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sig array<long>"), "minhash-rows")
     known = rows.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = stored(known.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "set-classes", slim=True)
-    nodes = known.join(classes.drop("copies"), (known["doc_id"] == classes["node"]) & (known["k1"] == classes["k1"]) & (known["k2"] == classes["k2"]), "left_semi")
-    nodes = stored(nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "k1", "k2", "bands", "sig"), "minhash-nodes")
+    classes = known.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")).select("node", "copies")
+    nodes = known.join(classes, known["doc_id"] == classes["node"]).select("node", "copies", F.col("n_shingles").alias("n"), "k1", "k2", "bands", "sig")
+    nodes = stored(nodes, "minhash-nodes")
     entries = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("_last")).filter("centre < _last").drop("_last")
+    shared = entries.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("many")).filter("many > 1")
     members = stored(entries.join(shared, "bucket"), "bucket-members")
     pairs = members.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    roots = contract(_confirmed(spark, docs, nodes, pairs, width, percent))
-    final = False
-    round_ = 1
-    while True:
-        labelled = _labelled(members.drop("centre"), roots)
-        span = labelled.groupBy("bucket").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.min_by("node", F.xxhash64(F.lit(round_), "node")).alias("centre"), F.min_by("root", F.xxhash64(F.lit(round_), "node")).alias("centre_root")).filter("_lo < _hi").drop("_lo", "_hi")
-        open_ = stored(labelled.join(span, "bucket"), "open-buckets", slim=True)
-        if open_.isEmpty():
-            break
-        if not final:
-            pairs = open_.filter("root <> centre_root").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        else:
-            pairs = _across(spark, docs, open_, width, percent)
-        links = _confirmed(spark, docs, nodes, pairs, width, percent)
-        if final and links.isEmpty():
-            break
-        step = contract(_edges_of_roots(links, roots))
-        roots = merge(roots, step)
-        if final:
-            break
-        round_ += 1
-        final = step is None or round_ > STAR_ROUNDS
-    return _result(rows, classes, roots)
-
-
-def _labelled(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    roots = contract(_confirmed(spark, docs, nodes, pairs, width, percent), ready=True)
+    open_ = _open(members.filter("many > 2").select("bucket", "node"), roots)
+    pairs, sets = _across(spark, docs, open_, width, percent)
+    links = _confirmed(spark, docs, nodes, pairs, width, percent, sets)
+    roots = merge(roots, contract(_edges_of_roots(links, roots)))
+    return _result(rows, nodes.select("k1", "k2", "node", "copies"), roots)
+
+
+def _open(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """node and root of the documents in buckets whose members differ in component."""
     if roots is None:
-        return members.withColumn("root", F.col("node"))
-    own = roots.select(F.col("vertex").alias("node"), "root")
-    return members.join(own, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+        labelled = members.withColumn("root", F.col("node"))
+    else:
+        own = roots.select(F.col("vertex").alias("node"), "root")
+        labelled = members.join(own, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    labelled = stored(labelled, "labelled-members", slim=True)
+    span = labelled.groupBy("bucket").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo < _hi").select("bucket")
+    return stored(labelled.join(span, "bucket").groupBy("node").agg(F.min("root").alias("root")), "open-documents", slim=True)
 
 
 def _edges_of_roots(links: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -297,9 +283,9 @@ def _edges_of_roots(links: DataFrame, roots: DataFrame | None) -> DataFrame:
     return links.select("a", "b")
 
 
-def _across(spark: SparkSession, docs: DataFrame, open_: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs of documents of open buckets, in different components, that may be links: none
-    that is one is left out.
+def _across(spark: SparkSession, docs: DataFrame, open_: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of open documents (node, root) in different components that may be links:
+    none that is one is left out. Also the documents' shingles.
 
     The shingles of each document are put in one order, the rarest among these documents
     first. Of two linked documents the first shingle they share, in that order, comes early
@@ -307,8 +293,9 @@ def _across(spark: SparkSession, docs: DataFrame, open_: DataFrame, width: int,
     first fifth of each is joined, on equal shingles, under that bound. Members of a group
     of copies whose own edits are too many meet only those with whom they share edits, not
     the whole group."""
-    own = open_.groupBy("node").agg(F.min("root").alias("root")).withColumnRenamed("node", "doc_id")
-    tokens = _shingles(spark, docs, own.select("doc_id"), width).select("doc_id", F.explode("shingles").alias("t"))
+    own = open_.withColumnRenamed("node", "doc_id")
+    sets = _shingles(spark, docs, own.select("doc_id"), width)
+    tokens = sets.select("doc_id", F.explode("shingles").alias("t"))
     often = tokens.groupBy("t").agg(F.count("*").alias("df"))
     ordered = tokens.join(often, "t").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("all"))
     n = F.size("all")
@@ -318,7 +305,7 @@ def _across(spark: SparkSession, docs: DataFrame, open_: DataFrame, width: int,
     room = F.least(F.col("x_n") - F.col("x_p"), F.col("y_n") - F.col("y_p"))
     fits = (100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")) & ((100 + percent) * room >= percent * (F.col("x_n") + F.col("y_n")))
     on = (x["t"] == y["t"]) & (F.col("x_doc_id") < F.col("y_doc_id")) & (F.col("x_root") != F.col("y_root")) & fits
-    return x.join(y, on).select(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b")).distinct()
+    return x.join(y, on).select(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b")).distinct(), sets
 
 
 def _result(rows: DataFrame, classes: DataFrame, roots: DataFrame | None) -> DataFrame:
