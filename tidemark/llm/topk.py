@@ -18,9 +18,12 @@ Queries come in blocks of QUERY_BLOCK rows, so what is broadcast has a fixed siz
 sends is cut to k rows a query and list in each partition. With fewer than k
 candidates seen there is no bound and every candidate is sent.
 
-Defined results: scores are integers (components become floor(1024 * x)). Ties go
-to the smaller vec_id. Vectors that are null, empty, or hold null or non-finite
-components take no part, nor do rows without a vec_id. Vectors of another length
+Defined results: scores are integers (components become floor(1024 * x)), exact for
+components of any size: where products could leave the integers that a float holds,
+scores are computed in whole numbers without a bound. A score beyond 64 bits is returned
+as the nearest long, and such scores tie. Ties go to the smaller vec_id. Vectors that are
+null, empty, or hold null or non-finite components (1024 * x included) take no part, nor
+do rows without a vec_id. Vectors of another length
 than the query's are not its candidates. A row is "the query's own" by vec_id, so
 repeated rows of one vec_id are not each other's candidates; a repeated query is
 answered once (its smallest vector), and repeated candidate rows each count.
@@ -42,26 +45,49 @@ QUERY_BLOCK = 1024
 SCALE = 1024
 #: Candidate rows scored at once: bounds a task's score matrix.
 ROWS = 256
+#: Below it floats hold all whole numbers, and sums in any order are exact.
+EXACT = float(1 << 53)
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 def usable(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """vec_id and v (array of long) of the vectors that take part."""
-    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    """vec_id and v (whole numbers, as doubles) of the vectors that take part."""
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * scale) < float("inf")))
     rows = vectors.select("vec_id", "embedding").filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & finite)
-    return rows.select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
 
+    def whole(x):  # floats from 2**53 on are whole already, and may not fit a long
+        y = x.cast("double") * scale
+        return F.when(F.abs(y) < EXACT, F.floor(y).cast("double")).otherwise(y)
 
-def _lists(ids: np.ndarray, m: np.ndarray, block: tuple[np.ndarray, np.ndarray], cuts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    return rows.select("vec_id", F.transform("embedding", whole).alias("v"))
+
+
+def _lists(ids: np.ndarray, m: np.ndarray, block: tuple[np.ndarray, np.ndarray], cuts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Per chunk of rows: its start, the scores by list (list, row, query) and whether
-    a candidate is not the query's own."""
+    a candidate is not the query's own. Scores are floats, or Python's integers for rows
+    whose products floats would round."""
     qid, q = block
-    for i in range(0, len(ids), ROWS):
-        part = np.stack([m[i : i + ROWS, a:b] @ q[:, a:b].T for a, b in zip(cuts, cuts[1:], strict=False)])
-        yield i, part, ids[i : i + ROWS, None] != qid[None, :]
+    most = np.abs(q).max() * q.shape[1]
+    large = np.abs(m).max(1) * most >= EXACT
+    for rows in (np.flatnonzero(~large), np.flatnonzero(large)):
+        for i in range(0, len(rows), ROWS):
+            at = rows[i : i + ROWS]
+            x, y = m[at], q
+            if large[at[0]]:
+                x, y = (np.array([[int(c) for c in r] for r in z.tolist()], object) for z in (x, y))
+            part = np.stack([x[:, a:b] @ y[:, a:b].T for a, b in zip(cuts, cuts[1:], strict=False)])
+            yield at, part, ids[at, None] != qid[None, :]
+
+
+def _longs(whole: np.ndarray) -> np.ndarray:
+    """Whole scores as longs; beyond 64 bits the nearest."""
+    if whole.dtype == object:
+        return np.array([min(max(int(x), LEAST), MOST) for x in whole.ravel()], np.int64).reshape(whole.shape)
+    return whole.astype(np.int64)
 
 
 def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """vec_ids and a float matrix (exact: products stay far below 2**53) per length of vector."""
+    """vec_ids and a float matrix of whole numbers per length of vector."""
     for b in batches:
         v = b.column("v")
         flat, lengths = v.flatten().to_numpy(zero_copy_only=False), np.diff(v.offsets.to_numpy())
@@ -82,11 +108,11 @@ def _first(queries, k: int):
             d = m.shape[1]
             if d not in queries.value:
                 continue
-            for i, part, other in _lists(ids, m, queries.value[d], _cuts(d)):
-                whole = part.sum(0)
+            for at, part, other in _lists(ids, m, queries.value[d], _cuts(d)):
+                whole = _longs(part.sum(0))
                 for j in range(BLOCKS):
                     own = np.where(other, part[j], -np.inf)
-                    rows = [own, np.broadcast_to(ids[i : i + ROWS, None], own.shape), whole]
+                    rows = [own, np.broadcast_to(ids[at, None], own.shape), whole]
                     if (d, j) in best:
                         rows = [np.concatenate([a, b]) for a, b in zip(best[d, j], rows, strict=True)]
                     if len(rows[0]) > k:
@@ -94,8 +120,8 @@ def _first(queries, k: int):
                         rows = [np.take_along_axis(x, top, 0) for x in rows]
                     best[d, j] = rows
         for (d, j), (part, ids, whole) in best.items():
-            r, c = np.nonzero(np.isfinite(part))
-            yield pa.RecordBatch.from_arrays([pa.array(queries.value[d][0][c]), pa.array(ids[r, c]), pa.array(whole[r, c].astype(np.int64))], ["query_id", "vec_id", "score"])
+            r, c = np.nonzero(part != -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(queries.value[d][0][c]), pa.array(ids[r, c]), pa.array(whole[r, c])], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -107,13 +133,16 @@ def _second(queries, bounds):
             if d not in queries.value:
                 continue
             qid = queries.value[d][0]
-            bound = np.array([bounds.value.get(int(x), -np.inf) for x in qid])
-            for i, part, other in _lists(ids, m, queries.value[d], _cuts(d)):
-                sent = (part >= bound / BLOCKS).any(0) & other
+            # A bound at the least long says nothing, as lower scores tie with it.
+            known = [bounds.value.get(int(x), LEAST) for x in qid]
+            bound = np.array([x if x > LEAST else -np.inf for x in known], object)
+            for at, part, other in _lists(ids, m, queries.value[d], _cuts(d)):
+                low = bound if part.dtype == object else np.array([float(x) if abs(x) < EXACT else x * np.inf for x in bound])
+                sent = (part * BLOCKS >= low).any(0).astype(bool) & other
                 r, c = np.nonzero(sent)
-                whole = part[:, r, c].sum(0)
-                keep = whole >= bound[c]
-                yield pa.RecordBatch.from_arrays([pa.array(qid[c[keep]]), pa.array(ids[i + r[keep]]), pa.array(whole[keep].astype(np.int64))], ["query_id", "vec_id", "score"])
+                whole = _longs(part[:, r, c].sum(0))
+                keep = (whole >= low[c]).astype(bool)
+                yield pa.RecordBatch.from_arrays([pa.array(qid[c[keep]]), pa.array(ids[at[r[keep]]]), pa.array(whole[keep])], ["query_id", "vec_id", "score"])
 
     return run
 
