@@ -7,8 +7,8 @@ known by a histogram of at most WINDOW lengths, so planning never sees rows:
 1. lengths are rounded up to multiples of QUANTUM, and combinations of at most four
    that fill a window exactly are enumerated;
 2. non-negative least squares finds repeat counts whose lengths match the histogram;
-   the active-set solution has no more combinations than bins, so counts are large
-   and rounding them down loses little;
+   the active-set solution has no more combinations than bins. Counts are rounded, and
+   a combination is used as often as there are lengths for it;
 3. what is left is packed greedily, the longest first with the best fits, again as
    counted patterns.
 
@@ -81,7 +81,8 @@ def combinations(bins: int) -> np.ndarray:
 
 def nnls(cols: np.ndarray, h: np.ndarray, rounds: int = 1500) -> tuple[np.ndarray, np.ndarray]:
     """Minimise |A x - h| over x >= 0 by the active-set method, where column j of A
-    counts the bins cols[j] (bin 0 counts nothing). Returns the columns used and x."""
+    counts the bins cols[j] (bin 0 counts nothing). Returns the columns used and x. What
+    `rounds` steps leave unmatched is left to the greedy step."""
     n = len(h)
     weight = (cols > 0).sum(1) ** 0.5
     used: list[int] = []
@@ -133,31 +134,30 @@ def plan(hist: dict[int, int], window: int = WINDOW, quantum: int = QUANTUM) ->
         b = -(-length // quantum)
         stock.setdefault(b, []).append(length)
         h[b] += n
-    if h.sum() >= 4 * bins:  # fewer leave no counts to round
-        cols = combinations(bins)
-        cols = cols[((h[cols] > 0) | (cols == 0)).all(1)]
-        used, x = nnls(cols, h) if len(cols) else (np.zeros(0, int), np.zeros(0))
-        for j in used[np.argsort(-x)].tolist() if len(used) else []:
-            parts = [int(b) for b in cols[j] if b]
-            often = int(x[np.flatnonzero(used == j)[0]])
-            while often > 0:
-                # The longest length in stock of each bin; as often as all of them last.
-                take: dict[int, int] = {}
-                for b in parts:
-                    some = [length for length in reversed(stock[b]) if left.get(length, 0) > take.get(length, 0)]
-                    if not some:
-                        take = {}
-                        break
-                    take[some[0]] = take.get(some[0], 0) + 1
-                if not take:
+    cols = combinations(bins)
+    cols = cols[((h[cols] > 0) | (cols == 0)).all(1)]
+    used, x = nnls(cols, h) if len(cols) else (np.zeros(0, int), np.zeros(0))
+    for j in used[np.argsort(-x)].tolist() if len(used) else []:
+        parts = [int(b) for b in cols[j] if b]
+        often = int(x[np.flatnonzero(used == j)[0]] + 0.5)
+        while often > 0:
+            # The longest length in stock of each bin; as often as all of them last.
+            take: dict[int, int] = {}
+            for b in parts:
+                some = [length for length in reversed(stock[b]) if left.get(length, 0) > take.get(length, 0)]
+                if not some:
+                    take = {}
                     break
-                c = min(often, *(left[k] // m for k, m in take.items()))
-                patterns.append((c, sorted(take.items(), reverse=True)))
-                often -= c
-                for k, m in take.items():
-                    left[k] -= c * m
-                for b in parts:
-                    stock[b] = [k for k in stock[b] if left[k] > 0]
+                take[some[0]] = take.get(some[0], 0) + 1
+            if not take:
+                break
+            c = min(often, *(left[k] // m for k, m in take.items()))
+            patterns.append((c, sorted(take.items(), reverse=True)))
+            often -= c
+            for k, m in take.items():
+                left[k] -= c * m
+            for b in parts:
+                stock[b] = [k for k in stock[b] if left[k] > 0]
     lengths = sorted(k for k, v in left.items() if v)
     while lengths:
         room, take = window, {}
