@@ -66,6 +66,20 @@ def test_mix_meets_targets_and_limits(spark):
     assert again == {(r["doc_id"], r["size"]): r["taken"] for r in out}
 
 
+def test_mix_gives_the_place_in_the_schedule(spark):
+    docs = spark.createDataFrame([(i, "w " * (20 + i % 7), "ab"[i % 3 == 0]) for i in range(120)], "doc_id long, text string, source string")
+    rows = sorted((r for r in mixing.mix(spark, docs).collect() if r["taken"]), key=lambda r: r["first_slot"])
+    assert len({r["first_slot"] for r in rows}) == len(rows) and all(r["slots"] >= 1 for r in rows)
+    # Both sources are spread over the whole schedule, near their weights (1 and 2).
+    third = len(rows) // 3
+    for i in range(3):
+        words = {s: sum(min(r["taken"], r["size"]) for r in rows[i * third : (i + 1) * third] if r["source"] == s) for s in "ab"}
+        assert min(words.values()) > 0.15 * sum(words.values())
+    passes = mixing.passes(spark, docs).collect()
+    per = {r["source"]: int(r["target"]) for r in rows}
+    assert {s: sum(r["taken"] for r in passes if r["source"] == s) for s in per} == per
+
+
 def test_mix_of_empty_tables(spark):
     assert mixing.mix(spark, awkward(spark).limit(0)).count() == 0
     empty = awkward(spark).withColumn("text", F.lit(None).cast("string"))

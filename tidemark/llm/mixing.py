@@ -6,8 +6,9 @@ cumulative targets, so every stretch of the schedule has every source near its
 weight. The slots of a source are ranked, and its r-th slot takes the r-th
 equal-token block of the source's documents in shuffled order, laid end to end
 and read up to `MAX_REPEATS` times. K is at most 2**20 whatever the corpus; the
-blocks grow instead, so mix() meets a target to within a block. exact_mix() takes the
-whole words of every target, whatever the blocks.
+blocks grow instead. So that targets are met to the word, a block is cut where its
+target ends, and what a source's blocks leave goes to one more slot of its own after
+the K; with whole_slots, the mix meets a target to within a block only.
 
 Nothing gathers a source in one task: places in a source's shuffled stream come
 from prefix sums in two levels (hash buckets, then rows of one bucket), and
@@ -107,18 +108,22 @@ def streams(sizes: DataFrame, targets: DataFrame, buckets: int) -> DataFrame:
     return out.select("doc_id", rows["source"], "size", rows["bucket"], "_rn", "source_id", "source_size", "target", "total", (F.col("base") + F.col("_in")).alias("at"), "slot_lo", "slot_hi")
 
 
-def block_pieces(docs: DataFrame, k: int) -> DataFrame:
+def block_pieces(docs: DataFrame, k: int, exact: bool = False) -> DataFrame:
     """Each document's words in each equal-token block of its source's stream, by
-    pass; documents without any keep one row without a block."""
+    pass; documents without any keep one row without a block. exact: up to the whole
+    words of the target, with a last block (rank: the source's slots) for what is over."""
     length = F.col("total").cast("double") / float(1 << k)
     edge = lambda r: F.floor(r.cast("double") * length).cast("long")
     n = F.col("slot_hi") - F.col("slot_lo")
+    stop = F.floor("target").cast("long") if exact else edge(n)
+    last_rank = n if exact else n - 1
     docs = docs.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(MAX_REPEATS - 1)))).withColumn("start", F.col("pass") * F.col("source_size") + F.col("at"))
-    docs = docs.filter((F.col("pass") == 0) | (F.col("start") < edge(n)))
-    first, last = F.greatest(F.floor(F.col("start") / length) - 1, F.lit(0)), F.least(F.floor((F.col("start") + F.col("size")) / length) + 1, n - 1)
-    some = F.when((F.col("size") > 0) & (n > 0) & (first <= last), F.sequence(first.cast("long"), last.cast("long")))
+    docs = docs.filter((F.col("pass") == 0) | (F.col("start") < stop))
+    first, last = F.greatest(F.least(F.floor(F.col("start") / length) - 1, n), F.lit(0)), F.least(F.floor((F.col("start") + F.col("size")) / length) + 1, last_rank)
+    some = F.when((F.col("size") > 0) & (last_rank >= 0) & (first <= last), F.sequence(first.cast("long"), last.cast("long")))
     docs = docs.withColumn("rank", F.explode_outer(some))
-    words = F.least(F.col("start") + F.col("size"), edge(F.col("rank") + 1)) - F.greatest("start", edge(F.col("rank")))
+    end = F.when(F.col("rank") >= n, stop).otherwise(F.least(edge(F.col("rank") + 1), stop))
+    words = F.least(F.col("start") + F.col("size"), end) - F.greatest("start", edge(F.col("rank")))
     return docs.withColumn("words", F.greatest(words, F.lit(0))).filter((F.col("words") > 0) | (F.col("pass") == 0))
 
 
@@ -130,32 +135,43 @@ def _streams(sizes: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     return streams(sizes, targets, max(1, min(MAX_BUCKETS, rows // BUCKET_ROWS))), targets, k
 
 
-def exact_mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The columns of mix, with exactly floor(target) words of each source, from the
-    start of its shuffled stream: what is taken does not depend on the size of a slot."""
-    placed, _, _ = _streams(stored(sized(docs), "mix-sizes"))
-    own = F.greatest("source_size", F.lit(1))
-    words = F.floor("target").cast("long")
-    rest = words % own
-    passes = ((words - rest) / own).cast("long")
-    taken = passes * F.col("size") + F.greatest(F.least(rest - F.col("at"), F.col("size")), F.lit(0))
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+def _mixed(spark: SparkSession, docs: DataFrame, exact: bool) -> tuple[DataFrame, list[str]]:
+    """Every document's words by pass and block, with the block's slot; and the columns
+    that tell documents apart."""
+    placed, targets, k = _streams(stored(sized(docs), "mix-sizes"))
+    slots = schedule(spark, targets, k)
+    if exact:
+        slots = slots.unionByName(targets.select((F.lit(1 << k) + F.col("source_id")).cast("long").alias("slot"), "source_id", (F.col("slot_hi") - F.col("slot_lo")).alias("rank")))
+    # As large as the schedule, which no statistics tell Spark: not to be broadcast.
+    found = block_pieces(placed, k, exact).join(slots.hint("merge"), ["source_id", "rank"], "left")
+    taken = F.when(F.col("slot").isNotNull(), F.col("words")).otherwise(0)
+    found = found.withColumn("words", taken).withColumn("slot", F.when(F.col("words") > 0, F.col("slot")))
+    return found, ["doc_id", "source", "size", "source_id", "bucket", "_rn", "source_size", "target"]
 
 
-def mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken: what the mix takes of each document."""
-    sizes = stored(sized(docs), "mix-sizes")
-    placed, targets, k = _streams(sizes)
-    pieces = block_pieces(placed, k)
-    slots = schedule(spark, targets, k)
-    found = pieces.join(slots.withColumn("hit", F.lit(1)).drop("slot"), ["source_id", "rank"], "left")
-    taken = F.sum(F.when(F.col("hit") == 1, F.col("words")).otherwise(0)).cast("long")
-    return found.groupBy("doc_id", "source", "size", "source_id", "bucket", "_rn", "source_size", "target").agg(taken.alias("taken")).drop("source_id", "bucket", "_rn")
+def _taken(found: DataFrame, by: list[str]) -> DataFrame:
+    out = found.groupBy(*by).agg(F.sum("words").cast("long").alias("taken"), F.coalesce(F.min("slot"), F.lit(-1)).cast("long").alias("first_slot"), F.count("slot").alias("slots"))
+    return out.drop("source_id", "bucket", "_rn")
+
+
+def passes(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """doc_id, source, size, pass, taken, first_slot: mix, pass by pass over the stream;
+    passes that take nothing are left out. Sorted by first_slot this is the mix."""
+    found, by = _mixed(spark, docs, True)
+    return _taken(found.filter("words > 0"), [*by, "pass"]).select("doc_id", "source", "size", "pass", "taken", "first_slot")
+
+
+def mix(spark: SparkSession, docs: DataFrame, whole_slots: bool = False) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken (words the mix takes of the
+    document), first_slot (its first place in the schedule, -1 if none) and slots (how
+    many places it has a part of). Of each source exactly floor(target) words are taken;
+    whole_slots: as many as its slots hold, which may miss the target by a slot."""
+    return _taken(*_mixed(spark, docs, not whole_slots))
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return mix(spark, docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(spark, docs, whole_slots=True).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 #: States the same mix in closed form: a source's slots take as many words from the
@@ -185,8 +201,18 @@ slots AS (
 most AS (
   SELECT *, least(floor(slots::DOUBLE * (total::DOUBLE / (1 << k)))::BIGINT, {MAX_REPEATS} * source_size) AS words FROM slots),
 placed AS (
-  SELECT doc_id, source, size, (sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS ahead FROM sizes)
-SELECT doc_id, size, source_size, target,
-       (CASE WHEN source_size = 0 THEN 0 ELSE words // source_size * size + greatest(0, least(size, words % source_size - ahead)) END)::BIGINT AS taken
-FROM placed JOIN most ON placed.source IS NOT DISTINCT FROM most.source
+  SELECT doc_id, source, size, (sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS ahead FROM sizes),
+points AS (
+  SELECT i AS point, CASE WHEN k = 0 THEN 0 ELSE reverse(lpad(bin(i), k, '0'))::BIT::BIGINT END AS slot FROM k, unnest(range(0, 1 << k)) AS u(i)),
+edges AS (
+  SELECT source_id, slot, row_number() OVER (PARTITION BY source_id ORDER BY slot) - 1 AS rank, total, n.k FROM points
+  JOIN n ON point >= floor((hi - own)::DOUBLE / whole * (1 << n.k)) AND point < floor(hi::DOUBLE / whole * (1 << n.k))),
+starts AS (
+  SELECT source_id, slot, floor(rank::DOUBLE * (total::DOUBLE / (1 << k)))::BIGINT AS lo FROM edges),
+result AS (
+  SELECT doc_id, size, source_size, target, source_id, ahead,
+         (CASE WHEN source_size = 0 THEN 0 ELSE words // source_size * size + greatest(0, least(size, words % source_size - ahead)) END)::BIGINT AS taken
+  FROM placed JOIN most ON placed.source IS NOT DISTINCT FROM most.source)
+SELECT doc_id, size, source_size, target, taken, (CASE WHEN taken > 0 THEN slot ELSE -1 END)::BIGINT AS first_slot
+FROM result ASOF LEFT JOIN starts ON result.source_id = starts.source_id AND result.ahead >= starts.lo
 """
