@@ -65,6 +65,20 @@ def test_plans_use_every_length_once_and_waste_little():
             assert sum(o for o, _ in plan) * 4096 < 1.01 * total
 
 
+def test_packing_of_many_pieces_goes_by_the_plan(spark, monkeypatch):
+    rng = random.Random(17)
+    docs = spark.createDataFrame([(i, "a b " * rng.randint(1, 900)) for i in range(2600)], "doc_id long, text string")
+    solved = []
+    real = packing.nnls
+    monkeypatch.setattr(packing, "nnls", lambda *a: solved.append(real(*a)) or solved[-1])
+    rows = pd.DataFrame([r.asDict() for r in packing.pack(spark, docs).collect()])
+    assert len(solved) == 1 and len(solved[0][0]) and len(rows) == 2600
+    for _, g in rows.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert g["offset"].tolist() == [0, *g["length"].cumsum().tolist()[:-1]] and g["length"].sum() <= 4096
+    assert rows["sequence_id"].nunique() * 4096 < 1.02 * rows["length"].sum()
+
+
 def test_least_squares_matches_a_known_histogram():
     cols = packing.combinations(16)
     assert (cols.sum(1) == 16).all()
@@ -149,6 +163,80 @@ def test_letters_beyond_the_first_plane_are_scored_as_learned():
     assert scorer.entropies([adlam, gothic])[0].argmin(1).tolist() == [0, 1]
 
 
+def learned_tables(spark, path, lang=lambda i, x: x, quality=lambda i, y: y):
+    """documents and labels in three languages, good and bad, with awkward rows."""
+    rng = random.Random(21)
+    sets, docs, labels = {"aa": "abcdefgh", "bb": "ghijklmn", "cc": "mnopqrst"}, [], []
+    for i in range(240):
+        code = rng.choice(list(sets))
+        t, y = prose(rng, rng.randint(20, 60), sets[code]), int(i % 3 > 0)
+        docs.append((i, t if y else t.replace(" ", " ### "), lang(i, code), f"s{i % 2}", len(t)))
+        labels.append((i, quality(i, y), 0))
+    docs += [(500, None, "aa", None, 0), (501, "", None, "a", 0), (None, "abc abd", "aa", "a", 7), (3, "abc cab", "aa", "a", 7), (502, "9 ##", "bb", "b", 4), (503, "abc " * 30_000, None, "b", 120_000)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.mode("overwrite").parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(f"{path}/labels.parquet")
+    return docs, labels
+
+
+def remainder(i, m):
+    return zlib.crc32(str(i).encode()) % m
+
+
+def by_text(rows, key):
+    return sorted((str(r["doc_id"]), *(r[k] for k in key)) for r in rows)
+
+
+def test_registered_classifier_learns_nothing_from_what_it_keeps_apart(spark, tmp_path):
+    run = lambda: quality_classifier.op2_quality_classifier(spark, str(tmp_path)).collect()
+    docs, labels = learned_tables(spark, tmp_path)
+    one = run()
+    assert len(one) == len(docs)
+    truth = {i: y for i, y, _ in labels}
+    for r in one:
+        held = r["doc_id"] is not None and remainder(r["doc_id"], 5) == 0
+        assert r["held_out"] == held and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3)
+        if held and r["doc_id"] in truth:
+            assert r["predicted"] == truth[r["doc_id"]]
+    learned_tables(spark, tmp_path, lang=lambda i, x: "zz", quality=lambda i, y: y if remainder(i, 5) else 1 - y)
+    assert by_text(run(), ["score"]) == by_text(one, ["score"])
+
+
+def test_registered_language_id_learns_nothing_from_what_it_keeps_apart(spark, tmp_path):
+    run = lambda: langid.op7_langid(spark, str(tmp_path)).collect()
+    docs, _ = learned_tables(spark, tmp_path)
+    one = run()
+    assert len(one) == len(docs)
+    truth = {i: lang for i, _, lang, _, _ in docs if i is not None and i < 240}
+    for r in one:
+        assert r["held_out"] == (r["doc_id"] is not None and remainder(r["doc_id"], 3) == 1) and 0 <= r["score"] <= 1
+        assert r["lang_pred"] == ("und" if r["doc_id"] in (500, 501, 502) else r["lang_pred"]) and r["lang_pred"] in ("aa", "bb", "cc", "und")
+    held = [r["lang_pred"] == truth[r["doc_id"]] for r in one if r["held_out"] and r["doc_id"] in truth and r["doc_id"] != 3]
+    assert sum(held) >= 0.95 * len(held)
+    learned_tables(spark, tmp_path, lang=lambda i, x: x if remainder(i, 3) != 1 else "zz")
+    assert by_text(run(), ["lang_pred", "score"]) == by_text(one, ["lang_pred", "score"])
+
+
+def test_learned_operators_on_awkward_rows(spark, tmp_path):
+    rows = awkward(spark)
+    model = langid.learn(spark, rows, F.lit(True))
+    assert langid.predict(spark, rows, model).count() == 18
+    labels = spark.createDataFrame([(1, 1), (12, 0), (13, 1), (None, 1), (99, 0)], "doc_id long, quality int")
+    sure = quality_classifier.learn(spark, rows, labels, "quality")
+    got = quality_classifier.score(spark, rows, sure).collect()
+    assert len(got) == 18 and all(0 <= r["score"] <= 1 for r in got)
+    assert quality_classifier.score(spark, rows.limit(0), sure).count() == 0 and langid.predict(spark, rows.limit(0), model).count() == 0
+
+
+def test_texts_of_no_known_language_are_rejected(spark):
+    rng = random.Random(8)
+    sets = {"aa": "abcdefgh", "bb": "ghijklmn"}
+    rows = [(i, prose(rng, 30, sets[lang]), lang) for i, lang in enumerate(["aa", "bb"] * 60)]
+    docs = spark.createDataFrame([*rows, *((1000 + i, prose(rng, 30, "uvwxyz"), None) for i in range(20))], "doc_id long, text string, lang string")
+    model = langid.learn(spark, docs, F.lit(True))
+    got = {r["doc_id"]: r["rejected"] for r in langid.predict(spark, docs, model).collect()}
+    assert all(got[1000 + i] for i in range(20)) and sum(got[i] for i in range(120)) <= 3
+
+
 def test_classifier_learns_and_folds(spark):
     rng = random.Random(4)
     good = [(i, prose(rng, 60, "abcdefg"), 1) for i in range(120)]
@@ -219,6 +307,22 @@ def test_top_k_equals_brute_force(spark):
     assert [r["rank"] for r in sorted(few, key=lambda r: r["rank"])] == [1, 2, 3]
 
 
+def test_top_k_of_large_components_is_exact(spark):
+    rng = random.Random(6)
+    rows = [(i, [rng.choice([-1, 1]) * 2.0 ** rng.randint(0, 38) * (1 + rng.randrange(1 << 20) / (1 << 20)) for _ in range(6)]) for i in range(80)]
+    rows += [(80 + i, [float(rng.randint(-5, 5)) for _ in range(6)]) for i in range(40)] + [(120, [1e30] * 6), (121, [-1e30] * 6), (122, [1e306] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.top_k(spark, df, F.col("vec_id") % 10 == 0, 7).collect())
+    whole = {i: [int(np.floor(x * 1024)) if abs(x * 1024) < 2**53 else int(x * 1024) for x in v] for i, v in rows if i != 122}
+    want = []
+    for q in whole:
+        if q % 10 == 0:
+            scored = [(min(max(sum(a * b for a, b in zip(whole[q], v, strict=True)), -(2**63)), 2**63 - 1), i) for i, v in whole.items() if i != q]
+            best = sorted(scored, key=lambda x: (-x[0], x[1]))[:7]
+            want += [(q, n + 1, i, s) for n, (s, i) in enumerate(best)]
+    assert got == sorted(want)
+
+
 def test_top_k_in_several_query_blocks(spark, monkeypatch):
     monkeypatch.setattr(topk, "QUERY_BLOCK", 7)
     df = spark.createDataFrame([(i, [float(i % 5), 1.0, float(i % 3)]) for i in range(60)], "vec_id long, embedding array<float>")

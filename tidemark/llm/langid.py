@@ -4,12 +4,14 @@ Each language has a model of order ORDER over letters (lower-cased, everything e
 one space). The models share sorted arrays of context and n-gram hashes, one column
 per language, and a probability is found by binary search. A text's language is the
 one of the lowest cross-entropy per character; the margin to the others, scaled by a
-temperature fitted on texts kept apart, gives a confidence, and texts under the
-fitted threshold are rejected (`rejected`), which leaves their prediction as it is.
+temperature fitted on texts kept apart, gives a confidence. A text is rejected
+(`rejected`, which leaves its prediction as it is) if the confidence is under the fitted
+threshold, or if its cross-entropy is over the limit of its language: the quantile QUANTILE
+of texts kept apart, and MARGIN times as much, as a text of no known language is.
 
 The sample: about SAMPLE texts of each language, all of them where there are fewer,
 drawn by a hash of doc_id at a rate that the languages' counts over all documents
-give. It is the only part that is bounded; its size depends on the number of
+give; of rows that share doc_id and language, one. It is the only part that is bounded; its size depends on the number of
 languages, not of documents. Scoring reads every whole text.
 
 Defined results: a null text, or one without a letter, is `und` with score 0. Rows
@@ -36,6 +38,7 @@ DISCOUNT = 0.75
 SAMPLE = 400
 #: Characters scored at once.
 CHARS = 1 << 18
+QUANTILE, MARGIN = 0.99, 1.25
 UNKNOWN = "und"
 _tables: dict[str, np.ndarray] = {}
 
@@ -78,6 +81,7 @@ class Model:
     uniform: float
     temperature: float = 1.0
     reject: float = 0.0
+    limits: np.ndarray | None = None
 
 
 def _counts(keys: np.ndarray, langs: np.ndarray, weight: np.ndarray, n_langs: int) -> tuple[np.ndarray, np.ndarray]:
@@ -212,8 +216,9 @@ def confidence(model: Model, entropy: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def calibrate(model: Model, kept: dict[str, list[str]]) -> Model:
-    """Temperature of the least log loss, and the threshold under which the share of
-    wrong predictions among the texts kept apart would exceed one half."""
+    """Temperature of the least log loss, the threshold under which the share of wrong
+    predictions among the texts kept apart would exceed one half, and each language's
+    limit of the cross-entropy."""
     scorer, all_e, truth = Scorer(model), [], []
     for j, lang in enumerate(model.languages):
         if kept.get(lang):
@@ -223,6 +228,8 @@ def calibrate(model: Model, kept: dict[str, list[str]]) -> Model:
     if not truth:
         return model
     e, y = np.concatenate(all_e), np.array(truth)
+    own = e[np.arange(len(y)), y]
+    model.limits = np.array([MARGIN * np.quantile(own[y == j], QUANTILE) if (y == j).any() else np.inf for j in range(len(model.languages))])
     best = None
     for t in np.geomspace(0.01, 2, 25):
         z = -e / t
@@ -245,7 +252,7 @@ def learn(spark: SparkSession, docs: DataFrame, teaches: Column, sample: int = S
         return None
     rate = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(int(min(1.0, sample / n) * 2**20) + 1))])
     draw = F.pmod(F.xxhash64(F.lit("language"), F.col("doc_id")), F.lit(2**20)) < F.element_at(rate, F.col("lang"))
-    drawn = may.filter(draw).select("lang", "text", F.xxhash64("doc_id").alias("h"))
+    drawn = may.filter(draw).groupBy("lang", "doc_id").agg(F.min("text").alias("text")).select("lang", "text", F.xxhash64("doc_id").alias("h"))
     texts: dict[str, list[tuple[int, str]]] = {}
     for r in drawn.collect():
         texts.setdefault(r["lang"], []).append((r["h"], r["text"]))
@@ -280,6 +287,8 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model | None) -> DataFr
                     lang[i + n] = m.languages[best[n]]
                 score[i:j] = np.where(ok, conf, 0.0)
                 rejected[i:j] = ~ok | (conf < m.reject)
+                if m.limits is not None:
+                    rejected[i:j] |= e.min(1) > m.limits[best]
                 i = j
             yield pa.RecordBatch.from_arrays([ids, pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], ["doc_id", "lang_pred", "score", "rejected"])
 

@@ -10,7 +10,8 @@ is one table lookup for each of its features.
 The sample is about SAMPLE labelled documents of each class (all of a class that has
 fewer), drawn by a hash of doc_id at a rate that counts over all labels give; the
 class shares over all labels then correct the bias. Documents with contradicting
-labels teach nothing. Every whole text is scored.
+labels teach nothing; of rows that share a doc_id one text does. Every whole text is
+scored.
 
 Defined results: null and empty texts have no features and score the class share; no
 label at all gives 0.5 to every document, one class only scores that class. Repeated
@@ -126,7 +127,8 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, target: str,
     rate = F.when(F.col("y") == 1, F.lit(int(min(1.0, sample / counts[1]) * 2**20) + 1)).otherwise(F.lit(int(min(1.0, sample / counts[0]) * 2**20) + 1))
     drawn = sure.filter(F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(2**20)) < rate)
     rows = spark.createDataFrame([(r["doc_id"], r["y"]) for r in drawn.collect()], "doc_id long, y int")  # about 2 * sample rows
-    got = docs.filter(F.col("text").isNotNull()).join(F.broadcast(rows), "doc_id").select("doc_id", "text", "y").collect()
+    drawn = docs.filter(F.col("text").isNotNull()).join(F.broadcast(rows), "doc_id")
+    got = drawn.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).collect()
     got.sort(key=lambda r: (r["doc_id"], r["text"]))
     return train([r["text"] for r in got], np.array([r["y"] for r in got], np.int64), share) if got else Model(np.zeros(BUCKETS, np.float32), _logit(share))
 
