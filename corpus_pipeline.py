@@ -43,19 +43,17 @@ def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: whole copies, and where the mix stops
-    inside a document its first words. Rows that agree in doc_id, source and size share
-    what they are given evenly."""
-    taken = mixing.exact_mix(spark, docs).groupBy("doc_id", "source", "size").agg(F.floor(F.avg("taken")).cast("long").alias("_taken"))
-    taken = taken.filter("_taken > 0").select(*(F.col(c).alias(f"_{c}") for c in ("doc_id", "source", "size")), "_taken")
+    """Each document as often as the mix takes it, in the order of the mix: by the first
+    slot of each copy, whole, and where the mix stops inside a document its first words.
+    Rows that agree in doc_id, source and size share what they are given evenly."""
+    taken = mixing.passes(spark, docs).groupBy("doc_id", "source", "size", "pass").agg(F.floor(F.avg("taken")).cast("long").alias("_taken"), F.min("first_slot").alias("_slot"))
+    taken = taken.filter("_taken > 0").select(*(F.col(c).alias(f"_{c}") for c in ("doc_id", "source", "size", "pass")), "_taken", "_slot")
     sized = docs.withColumn("_n", n_words(F.col("text")))
-    both = sized.join(taken, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size")))
-    rest = F.col("_taken") % F.col("_size")
-    copies = F.ceil(F.col("_taken") / F.col("_size")).cast("int")
-    each = both.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
-    part = (F.col("_copy") == copies) & (rest > 0)
-    each = each.withColumn("text", F.when(part, F.array_join(F.slice(words(F.col("text")), F.lit(1), rest.cast("int")), " ")).otherwise(F.col("text")))
-    return each.withColumn("n_chars", F.when(part, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    each = sized.join(taken, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size")))
+    part = F.col("_taken") < F.col("_size")
+    each = each.withColumn("text", F.when(part, F.array_join(F.slice(words(F.col("text")), F.lit(1), F.col("_taken").cast("int")), " ")).otherwise(F.col("text")))
+    each = each.withColumn("n_chars", F.when(part, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return each.repartitionByRange("_slot", "_doc_id", "_pass").sortWithinPartitions("_slot", "_doc_id", "_pass").select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
