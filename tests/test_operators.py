@@ -248,6 +248,47 @@ def test_no_nested_loop_joins(spark):
         assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_no_view_of_a_market_has_a_nested_loop(spark):
+    from functools import cached_property
+
+    from tidemark.operators import events
+    from tidemark.plans import state
+
+    m = Market(walk(spark, 60, 2), M5)
+    names = [n for n, v in vars(Market).items() if isinstance(v, cached_property)]
+    assert len(names) > 20
+    frames = {n: getattr(m, n) for n in names} | {"state": state.states(m), "events": events.from_market(m, state.zone_ends(m)), "unicorns": state.unicorn_lifecycle(m)}
+    frames |= {"windows": calendar.windows(spark, calendar.span_of(m.bars)), "members": calendar.members(m.bars, m.windows), "now": calendar.session_state(m.bars, m.windows, START + timedelta(hours=2))}
+    for name, df in frames.items():
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        # One row of extent meets a handful of definitions: no other join is without keys.
+        assert "NestedLoop" not in plan and "Cartesian" not in plan, name
+
+
+def test_unreadable_timestamps_are_dropped_and_counted(spark):
+    from tidemark.operators import bars as B
+
+    rows = [("junk", 1.0, 0), (None, 2.0, 1), ("2024-03-08 09:01:00", 3.0, 2), ("2024-03-08 09:02:00", 4.0, 3), ("2024-03-08 09:07:00", 5.0, 4), ("??", 6.0, 5)]
+    raw = spark.createDataFrame([(t, p, p, p, p, 1.0, s, "EURUSD") for t, p, s in rows], "timestamp string, open double, high double, low double, close double, volume double, seq int, symbol string")
+    got = B.normalize(raw, M5).orderBy("timestamp").collect()
+    assert [(r["timestamp"].minute, r["close"]) for r in got] == [(0, 4.0), (5, 5.0)]
+    r = B.normalization_report(raw, M5).first()
+    assert (r["rows_in"], r["rows_out"], r["duplicates"], r["invalid"]) == (6, 2, 1, 3)
+
+
+def test_search_with_small_nodes(spark, monkeypatch):
+    monkeypatch.setattr(search, "FAN_LOG2", 2)
+    test_first_hit_climbs_and_descends(spark, monkeypatch)
+    test_fill_stream_against_a_loop(spark, 0.0, 1.0)
+
+
+def test_dataset_audit_sees_rows_out_of_order(spark):
+    from tidemark.operators import audit
+
+    rows = spark.createDataFrame([("A", "5m", START + timedelta(minutes=i), s, "train") for s, i in enumerate((0, 5, 3))], "symbol string, timeframe string, as_of timestamp, seq int, label string")
+    assert not audit.dataset_audit(rows, seq="seq").first()["chronological"] and audit.dataset_audit(rows).first()["chronological"]
+
+
 def test_streamed_bars_equal_the_batch(spark, tmp_path):
     from tidemark.streaming.bars import stream_bars
 

@@ -28,8 +28,9 @@ def target_diagnostics(values: DataFrame) -> DataFrame:
     return base.join(parts[0], "spec_name", "left").join(parts[1], "spec_name", "left")
 
 
-def dataset_audit(rows: DataFrame, label: str | None = "label") -> DataFrame:
-    """Per series: rows, duplicates, order, extent, rows per split."""
-    before = F.lag("as_of").over(Window.partitionBy(*KEY).orderBy("as_of"))
+def dataset_audit(rows: DataFrame, label: str | None = "label", seq: str = "as_of") -> DataFrame:
+    """Per series: rows, duplicates, order, extent, rows per split. seq tells the order in
+    which rows were supplied; without one, rows are in order of as_of by definition."""
+    before = F.lag("as_of").over(Window.partitionBy(*KEY).orderBy(seq))
     splits = [F.count_if(F.col(label) == s).alias(s) for s in ("train", "validation", "test", "embargoed")] if label else []
     return rows.withColumn("_b", before).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_rows"), (F.count(F.lit(1)) - F.countDistinct("as_of")).alias("duplicates"), (F.count_if(F.col("_b") > F.col("as_of")) == 0).alias("chronological"), F.min("as_of").alias("first"), F.max("as_of").alias("last"), *splits)

@@ -28,11 +28,10 @@ def resample(bars: DataFrame, source: Timeframe, target: Timeframe, drop_boundar
         raise ValueError(f"{target.name} cannot be built from {source.name}")
     step = F.expr(f"_t + INTERVAL '{target.minutes}' MINUTE")
     rows = bars.withColumn("_t", floor_to(F.col("timestamp"), target.minutes))
-    out = rows.groupBy("symbol", "_t").agg(F.min_by("open", "timestamp").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "timestamp").alias("close"), F.sum("volume").alias("volume"), F.min("timestamp").alias("_a"), F.max("timestamp").alias("_z"))
+    out = rows.groupBy("symbol", "_t").agg(F.min_by("open", "timestamp").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "timestamp").alias("close"), F.sum("volume").alias("volume"))
     if drop_boundary:
-        whole = Window.partitionBy("symbol")
-        out = out.withColumn("_first", F.min("_a").over(whole)).withColumn("_last", F.expr(f"max(_z) OVER (PARTITION BY symbol) + INTERVAL '{source.minutes}' MINUTE"))
-        out = out.filter((F.col("_t") >= F.col("_first")) & (step <= F.col("_last")))
+        ends = bars.groupBy("symbol").agg(F.min("timestamp").alias("_first"), F.expr(f"max(timestamp) + INTERVAL '{source.minutes}' MINUTE").alias("_last"))
+        out = out.join(ends, out["symbol"].eqNullSafe(ends["symbol"])).drop(ends["symbol"]).filter((F.col("_t") >= F.col("_first")) & (step <= F.col("_last")))
     return out.select(F.col("_t").alias("timestamp"), "symbol", F.lit(target.name).alias("timeframe"), *PRICES, "volume", step.alias("close_time"))
 
 
@@ -42,8 +41,8 @@ def timeframe_stack(bars: DataFrame, source: Timeframe, targets: list[Timeframe]
 
 
 def valid_ohlc() -> Column:
-    """No missing number, high and low at the extremes, volume not negative."""
-    some = F.lit(True)
+    """A timestamp, no missing number, high and low at the extremes, volume not negative."""
+    some = F.col("timestamp").isNotNull()
     for c in (*PRICES, "volume"):
         some = some & F.col(c).isNotNull() & ~F.isnan(F.col(c))
     return some & (F.col("high") >= F.greatest("open", "close")) & (F.col("low") <= F.least("open", "close")) & (F.col("high") >= F.col("low")) & (F.col("volume") >= 0)
@@ -59,7 +58,8 @@ def coerce(raw: DataFrame, symbol: str | None, tf: Timeframe) -> DataFrame:
 
 def normalize(raw: DataFrame, tf: Timeframe, seq: str = "seq", symbol: str | None = None) -> DataFrame:
     """Canonical bars from raw ones: floor to the grid, keep the last supplied of each
-    timestamp (by seq), and only then drop invalid rows."""
+    timestamp (by seq), and only then drop invalid rows, those whose timestamp can't be read too
+    (normalization_report counts each of them)."""
     if seq not in raw.columns:
         raise ValueError(f"rows have no order of their own: column {seq!r} is needed")
     rows = coerce(raw, symbol, tf).withColumn("timestamp", floor_to(F.col("timestamp"), tf.minutes))
@@ -76,7 +76,7 @@ def normalization_report(raw: DataFrame, tf: Timeframe, seq: str = "seq", symbol
     rows = rows.withColumn("_back", F.coalesce(F.col("_floor") < F.lag("_floor").over(by_seq), F.lit(False))).withColumn("_n", F.row_number().over(last))
     return rows.groupBy(*KEY).agg(
         F.count("*").alias("rows_in"), F.count_if((F.col("_n") == 1) & valid_ohlc()).alias("rows_out"), F.count_if(F.col("_floor") != F.col("timestamp")).alias("floored"),
-        F.count_if("_back").alias("out_of_order"), F.count_if(F.col("_n") > 1).alias("duplicates"), F.count_if((F.col("_n") == 1) & ~valid_ohlc()).alias("invalid"),
+        F.count_if("_back").alias("out_of_order"), F.count_if((F.col("_n") > 1) & F.col("_floor").isNotNull()).alias("duplicates"), F.count_if(F.col("_floor").isNull() | (F.col("_n") == 1) & ~valid_ohlc()).alias("invalid"),
     )
 
 

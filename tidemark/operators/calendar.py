@@ -44,12 +44,17 @@ def dst_anomaly(local: Column, zone: Column | str) -> Column:
     return F.when(back != local, "nonexistent").when(again == local, "ambiguous").otherwise("none")
 
 
+def zones_of(definitions=SESSIONS) -> Column:
+    """The names and time zones of a handful of definitions, as an array."""
+    return F.array(*[F.struct(F.lit(d[0]).alias("name"), F.lit(d[1]).alias("zone")) for d in definitions])
+
+
 def windows(spark: SparkSession, span: DataFrame, definitions=SESSIONS) -> DataFrame:
     """name, local_date, start_utc, end_utc of every window that meets the span (one row:
     first and last instants). A window whose end is not after its start crosses midnight."""
-    defs = spark.createDataFrame(list(definitions), "name string, zone string, open string, shut string")
+    defs = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(("name", "zone", "open", "shut"), d, strict=True)]) for d in definitions])
     days = span.select(F.explode(F.sequence(F.date_sub(F.to_date("first"), 2), F.date_add(F.to_date("last"), 2))).alias("local_date"), "first", "last")
-    rows = days.join(F.broadcast(defs))  # a handful of definitions
+    rows = days.withColumn("d", F.explode(defs)).select("local_date", "first", "last", "d.*")
     at = lambda date, time: F.to_utc_timestamp(F.concat_ws(" ", date.cast("string"), F.concat(F.col(time), F.lit(":00"))).cast("timestamp"), F.col("zone"))
     shut_on = F.when(F.col("shut") <= F.col("open"), F.date_add("local_date", 1)).otherwise(F.col("local_date"))
     rows = rows.withColumn("start_utc", at(F.col("local_date"), "open")).withColumn("end_utc", at(shut_on, "shut"))
@@ -60,10 +65,9 @@ def span_of(bars: DataFrame) -> DataFrame:
     return bars.agg(F.min("timestamp").alias("first"), F.max("close_time").alias("last"))
 
 
-def members(bars: DataFrame, wins: DataFrame) -> DataFrame:
-    """Bars that lie wholly inside a window."""
-    zones = wins.select("name", "zone").distinct()
-    b = bars.join(F.broadcast(zones))
+def members(bars: DataFrame, wins: DataFrame, definitions=SESSIONS) -> DataFrame:
+    """Bars that lie wholly inside a window; definitions: those that the windows are of."""
+    b = bars.withColumn("_z", F.explode(zones_of(definitions))).select(*bars.columns, "_z.*")
     day = F.to_date(F.from_utc_timestamp("timestamp", F.col("zone")))
     b = b.withColumn("local_date", F.explode(F.array(day, F.date_sub(day, 1))))
     return b.join(wins, ["name", "zone", "local_date"]).filter((F.col("timestamp") >= F.col("start_utc")) & (F.col("close_time") <= F.col("end_utc")))
@@ -72,21 +76,21 @@ def members(bars: DataFrame, wins: DataFrame) -> DataFrame:
 def _extremes(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*KEY, *by).agg(
         F.min_by("open", "timestamp").alias("open_price"), F.max("high").alias("high_price"), F.min("low").alias("low_price"), F.max_by("close", "timestamp").alias("close_price"),
-        F.min_by("timestamp", F.struct(-F.col("high"), F.col("timestamp"))).alias("high_timestamp"), F.min_by("timestamp", F.struct("low", "timestamp")).alias("low_timestamp"), F.count("*").alias("bar_count"), F.max("close_time").alias("observed_end"),
+        F.min_by("timestamp", F.struct(-F.col("high"), F.col("timestamp"))).alias("high_timestamp"), F.min_by("timestamp", F.struct("low", "timestamp")).alias("low_timestamp"), F.count("*").alias("bar_count"), F.max("close_time").alias("observed_end"), F.min("timestamp").alias("open_timestamp"), F.max("timestamp").alias("close_timestamp"),
     )
 
 
-def sessions(bars: DataFrame, wins: DataFrame) -> DataFrame:
+def sessions(bars: DataFrame, wins: DataFrame, definitions=SESSIONS) -> DataFrame:
     """Completed occurrences: the series has a bar that closes at or after the window's end."""
-    got = _extremes(members(bars, wins), "name", "local_date", "start_utc", "end_utc")
+    got = _extremes(members(bars, wins, definitions), "name", "local_date", "start_utc", "end_utc")
     end = bars.groupBy(*KEY).agg(F.max("close_time").alias("_end"))
     return got.join(end, list(KEY)).filter("_end >= end_utc").drop("_end", "observed_end").withColumn("confirmation_timestamp", F.col("end_utc"))
 
 
-def session_state(bars: DataFrame, wins: DataFrame, as_of) -> DataFrame:
+def session_state(bars: DataFrame, wins: DataFrame, as_of, definitions=SESSIONS) -> DataFrame:
     """What each session looks like so far; of each name the window that started last."""
     t = F.lit(as_of).cast("timestamp")
-    got = _extremes(members(bars.filter(F.col("close_time") <= t), wins.filter(F.col("start_utc") <= t)), "name", "local_date", "start_utc", "end_utc")
+    got = _extremes(members(bars.filter(F.col("close_time") <= t), wins.filter(F.col("start_utc") <= t), definitions), "name", "local_date", "start_utc", "end_utc")
     close = bars.filter(F.col("close_time") <= t).groupBy(*KEY).agg(F.max_by("close", "timestamp").alias("_price"))
     rows = got.join(close, list(KEY)).withColumn("is_active", (F.col("start_utc") <= t) & (t < F.col("end_utc"))).withColumn("is_complete", t >= F.col("end_utc"))
     rows = rows.withColumn("position_in_range", F.try_divide(F.col("_price") - F.col("low_price"), F.col("high_price") - F.col("low_price"))).drop("_price")
@@ -100,13 +104,13 @@ TRADING_DAY = (("trading_day", NEW_YORK, "17:00", "17:00"),)
 def trading_days(bars: DataFrame, wins: DataFrame) -> DataFrame:
     """Highs and lows of 17:00-to-17:00 New York days, with completed."""
     end = bars.groupBy(*KEY).agg(F.max("close_time").alias("_end"))
-    got = _extremes(members(bars, wins), "local_date", "start_utc", "end_utc").join(end, list(KEY))
+    got = _extremes(members(bars, wins, TRADING_DAY), "local_date", "start_utc", "end_utc").join(end, list(KEY))
     return got.withColumn("completed", F.col("_end") >= F.col("end_utc")).drop("_end")
 
 
 def trading_weeks(bars: DataFrame, wins: DataFrame) -> DataFrame:
     """Weeks of trading days that begin Sunday to Thursday; a week ends with Thursday's day."""
-    days = members(bars, wins).filter(F.weekday("local_date").isin(6, 0, 1, 2, 3))
+    days = members(bars, wins, TRADING_DAY).filter(F.weekday("local_date").isin(6, 0, 1, 2, 3))
     days = days.withColumn("week", F.date_sub("local_date", F.expr("(weekday(local_date) + 1) % 7")))
     got = _extremes(days, "week")
     last = F.to_utc_timestamp(F.concat_ws(" ", F.date_add("week", 5).cast("string"), F.lit("17:00:00")).cast("timestamp"), NEW_YORK)

@@ -1,7 +1,7 @@
 """First-hit search and lifecycle helpers over a series, as equi-joins.
 
-The bars of a series are stored as a tree of arrays: a leaf holds FAN bars, an inner
-node the extremes of FAN nodes below it, the top node those of all below it. "The first bar from `start` on whose value is
+The bars of a series are stored as a tree of arrays: a leaf holds 2 ** FAN_LOG2 bars, an inner
+node the extremes of as many nodes below it, the top node those of all below it. "The first bar from `start` on whose value is
 beyond `level`" climbs to the first node that has one and comes down to the bar; each
 step joins a search to one row and looks inside its array. Cost is the number of
 levels, whatever the distance, and no join is an inequality."""
@@ -13,16 +13,18 @@ from pyspark.sql import functions as F
 
 from tidemark.schema import KEY
 
-FAN, LEVELS = 128, 3  # the top has one entry for each FAN ** (LEVELS - 1) bars of its series
+#: Bars of a leaf and nodes below an inner node, as a power of two. The top has one entry for each
+#: 2 ** (FAN_LOG2 * (LEVELS - 1)) bars of its series.
+FAN_LOG2, LEVELS = 7, 3
 
 
 def _parent(child: str, lv: int) -> Column:
     """The node of level lv that holds the entry."""
-    return F.shiftright(child, 7) if lv < LEVELS - 1 else F.lit(0)
+    return F.shiftright(child, FAN_LOG2) if lv < LEVELS - 1 else F.lit(0)
 
 
 def tree(bars: DataFrame, value: Column, high: bool) -> list[DataFrame]:
-    """Per level: KEY, node, xs (FAN values in order, null where none). The last level is
+    """Per level: KEY, node, xs (values in order, null where none). The last level is
     one node, 0, of as many values as the series needs."""
     rows = bars.select(*KEY, F.col("idx").alias("child"), value.alias("x"))
     out = []
@@ -49,7 +51,7 @@ def first_hit(items: DataFrame, bars: DataFrame, value: Column, above: bool, sta
         df = df.withColumn("_node", _parent("_p", lv)).join(here, [*KEY, "_node"], "left")
         hit = F.when(F.col("_found").isNull(), inside(F.col("_p")))
         df = df.withColumn("_h", hit).withColumn("_hit", F.coalesce("_hit", "_h")).withColumn("_found", F.coalesce("_found", F.when(F.col("_h").isNotNull(), F.lit(lv))))
-        df = df.withColumn("_p", F.shiftright("_p", 7) + 1).drop("xs", "_h", "_node")
+        df = df.withColumn("_p", F.shiftright("_p", FAN_LOG2) + 1).drop("xs", "_h", "_node")
     for lv in range(LEVELS - 2, -1, -1):
         here = nodes[lv].select(*KEY, F.col("node").alias("_node"), "xs")
         df = df.withColumn("_node", F.when(F.col("_found") > lv, F.col("_hit"))).join(here, [*KEY, "_node"], "left")
@@ -93,16 +95,16 @@ def fill_stream(zones: DataFrame, bars: DataFrame, zone_id: str, start: str, par
     z = z.withColumn("_flip", flip).withColumn("_near", F.when(flip > 0, F.col("top")).otherwise(-F.col("bottom")))
     floor_ = z.withColumn("_full", F.col("_near") - F.lit(full) * (F.col("top") - F.col("bottom")) if full != 1.0 else F.when(F.col("_flip") > 0, F.col("bottom")).otherwise(-F.col("top")))
     lows = bars.select(*KEY, "idx", F.explode(F.array(F.struct(F.lit(1.0).alias("_flip"), F.col("low").alias("x")), F.struct(F.lit(-1.0).alias("_flip"), (-F.col("high")).alias("x")))).alias("e")).select(*KEY, "idx", "e.*")
-    leaves = lows.withColumn("leaf", F.shiftright("idx", 7)).groupBy(*KEY, "_flip", "leaf").agg(F.min("x").alias("low_x"), F.array_sort(F.collect_list(F.struct("idx", "x"))).alias("xs"))
+    leaves = lows.withColumn("leaf", F.shiftright("idx", FAN_LOG2)).groupBy(*KEY, "_flip", "leaf").agg(F.min("x").alias("low_x"), F.array_sort(F.collect_list(F.struct("idx", "x"))).alias("xs"))
     lo = floor_.filter("_flip > 0")
     hi = floor_.filter("_flip < 0")
     ends = first_hit(lo, bars, F.col("low"), False, "start", "_full", inclusive=True, out="end").unionByName(first_hit(hi.withColumn("_full", -F.col("_full")), bars, F.col("high"), True, "start", "_full", inclusive=True, out="end").withColumn("_full", -F.col("_full")))
     top = bars.groupBy(*KEY).agg(F.max("idx").alias("_max"))
     life = ends.join(top, list(KEY)).withColumn("_last", F.coalesce("end", "_max")).filter("_last >= start")
-    life = life.withColumn("leaf", F.explode(F.sequence(F.shiftright("start", 7), F.shiftright("_last", 7))))
+    life = life.withColumn("leaf", F.explode(F.sequence(F.shiftright("start", FAN_LOG2), F.shiftright("_last", FAN_LOG2))))
     seen = life.join(leaves, [*KEY, "_flip", "leaf"])
     order = Window.partitionBy(*KEY, "zone_id").orderBy("leaf").rowsBetween(Window.unboundedPreceding, -1)
-    first_leaf = F.col("leaf") == F.shiftright("start", 7)
+    first_leaf = F.col("leaf") == F.shiftright("start", FAN_LOG2)
     # Of the first leaf only bars of the zone's life count.
     own = F.when(first_leaf, F.array_min(F.transform(F.filter("xs", lambda s: s["idx"] >= F.col("start")), lambda s: s["x"]))).otherwise(F.col("low_x"))
     seen = seen.withColumn("_own", own).withColumn("_before", F.least(F.min("_own").over(order), F.col("_near")))

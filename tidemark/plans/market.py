@@ -121,7 +121,7 @@ class Market:
 
     @cached_property
     def sessions(self) -> DataFrame:
-        return cal.sessions(self.bars, self.windows)
+        return cal.sessions(self.bars, self.windows, self.session_defs)
 
     @cached_property
     def days(self) -> DataFrame:

@@ -313,16 +313,54 @@ tb AS (
          CASE WHEN lead(close_time, 4) OVER w IS NOT NULL THEN min(low) OVER (PARTITION BY symbol ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) END AS l4 FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY idx)),
 race AS (
   SELECT a.symbol, a.idx, arg_min((b.close_time, b.high >= a.close + 3000.0 * 0.01::DOUBLE, b.low <= a.close - 3000.0 * 0.01::DOUBLE), b.idx) AS x FROM bars a JOIN bars b ON b.symbol = a.symbol AND b.idx BETWEEN a.idx + 1 AND a.idx + 8 AND (b.high >= a.close + 3000.0 * 0.01::DOUBLE OR b.low <= a.close - 3000.0 * 0.01::DOUBLE) GROUP BY a.symbol, a.idx),
+short AS (
+  SELECT a.symbol, a.idx, arg_min((b.close_time, b.high >= a.close + 2500.0 * 0.01::DOUBLE, b.low <= a.close - 2000.0 * 0.01::DOUBLE), b.idx) AS x FROM bars a JOIN bars b ON b.symbol = a.symbol AND b.idx BETWEEN a.idx + 1 AND a.idx + 8 AND (b.high >= a.close + 2500.0 * 0.01::DOUBLE OR b.low <= a.close - 2000.0 * 0.01::DOUBLE) GROUP BY a.symbol, a.idx),
 tv AS (
   SELECT symbol, idx, close_time AS as_of, 'ret_4' AS spec_name, 'future_return' AS target_type, c4 IS NOT NULL AS resolved, CASE WHEN c4 IS NULL THEN 'insufficient_history' END AS unresolved_reason, round((c4 - close) / close, 9) AS future_return, round((c4 - close) / 0.01, 6) AS future_move_points, NULL::VARCHAR AS direction,
          NULL::DOUBLE AS up_excursion_points, NULL::DOUBLE AS down_excursion_points, NULL::VARCHAR AS outcome, NULL::TIMESTAMP AS resolving_bar_timestamp, e4 AS future_window_end FROM tb
   UNION ALL SELECT symbol, idx, close_time, 'dir_4', 'direction', c4 IS NOT NULL, CASE WHEN c4 IS NULL THEN 'insufficient_history' END, round((c4 - close) / close, 9), round((c4 - close) / 0.01, 6), CASE WHEN round((c4 - close) / 0.01, 6) >= 2000 THEN 'up' WHEN round((c4 - close) / 0.01, 6) <= -2000 THEN 'down' WHEN c4 IS NOT NULL THEN 'neutral' END, NULL, NULL, NULL, NULL, e4 FROM tb
   UNION ALL SELECT symbol, idx, close_time, 'exc_4', 'excursion', e4 IS NOT NULL, CASE WHEN e4 IS NULL THEN 'insufficient_history' END, NULL, NULL, NULL, round((h4 - close) / 0.01, 6), round((close - l4) / 0.01, 6), NULL, NULL, e4 FROM tb
   UNION ALL SELECT tb.symbol, tb.idx, close_time, 'tpsl_8', 'tp_before_sl', x IS NOT NULL AND NOT (x[2] AND x[3]), CASE WHEN x IS NULL THEN CASE WHEN e8 IS NULL THEN 'insufficient_history' ELSE 'no_touch_within_horizon' END WHEN x[2] AND x[3] THEN 'same_bar_ambiguity' END, NULL, NULL, NULL, NULL, NULL,
-         CASE WHEN x IS NULL OR (x[2] AND x[3]) THEN 'unresolved' WHEN x[2] THEN 'tp_first' ELSE 'sl_first' END, x[1], e8 FROM tb LEFT JOIN race ON race.symbol = tb.symbol AND race.idx = tb.idx)"""
+         CASE WHEN x IS NULL OR (x[2] AND x[3]) THEN 'unresolved' WHEN x[2] THEN 'tp_first' ELSE 'sl_first' END, x[1], e8 FROM tb LEFT JOIN race ON race.symbol = tb.symbol AND race.idx = tb.idx
+  UNION ALL SELECT tb.symbol, tb.idx, close_time, 'short_8', 'tp_before_sl', x IS NOT NULL AND NOT (x[2] AND x[3]), CASE WHEN x IS NULL THEN CASE WHEN e8 IS NULL THEN 'insufficient_history' ELSE 'no_touch_within_horizon' END WHEN x[2] AND x[3] THEN 'same_bar_ambiguity' END, NULL, NULL, NULL, NULL, NULL,
+         CASE WHEN x IS NULL OR (x[2] AND x[3]) THEN 'unresolved' WHEN x[3] THEN 'tp_first' ELSE 'sl_first' END, x[1], e8 FROM tb LEFT JOIN short ON short.symbol = tb.symbol AND short.idx = tb.idx)"""
     return base
 
 
+#: Every event of every detector, with its status at the end of the bars.
+_EVENTS = f"""
+dead AS (
+  SELECT f.*, x.failed_at, p.full_at AS parent_full_at FROM filled f LEFT JOIN failed x ON f.kind = 'ob' AND x.order_block_id = f.id LEFT JOIN filled p ON p.kind = 'breaker' AND p.id = f.parent),
+edged AS (
+  SELECT *, (top + bottom) / 2 AS mid, (top - bottom) / 0.01::DOUBLE AS points, CASE direction WHEN 'bullish' THEN top ELSE bottom END AS entry, CASE direction WHEN 'bullish' THEN bottom ELSE top END AS far, CASE WHEN full_at IS NOT NULL THEN 'mitigated' ELSE 'active' END AS state,
+         CASE WHEN coalesce(failed_at, parent_full_at) IS NOT NULL THEN 'invalidated' WHEN full_at IS NOT NULL THEN 'mitigated' ELSE 'active' END AS own_state FROM dead),
+lab0 AS (
+  SELECT *, lag(price_level) OVER w AS p, lag(confirmation_timestamp) OVER w AS pc FROM swings WINDOW w AS (PARTITION BY symbol, direction ORDER BY confirmation_timestamp, event_timestamp)),
+lab1 AS (
+  SELECT *, CASE WHEN direction = 'bullish' THEN CASE WHEN price_level > p THEN 'higher_high' ELSE 'lower_high' END ELSE CASE WHEN price_level > p THEN 'higher_low' ELSE 'lower_low' END END AS label FROM lab0 WHERE price_level <> p),
+moments AS (
+  SELECT symbol, name, local_date, min(timestamp) AS open_timestamp, max(timestamp) AS close_timestamp FROM bars JOIN win ON timestamp >= start_utc AND close_time <= end_utc GROUP BY ALL),
+events_all AS (
+  SELECT symbol, 'swings' AS detector, CASE direction WHEN 'bullish' THEN 'swing_high' ELSE 'swing_low' END AS event_type, direction, event_timestamp, confirmation_timestamp, price_level, reference_level, abs(price_level - reference_level) / 0.01::DOUBLE AS strength,
+         NULL::TIMESTAMP AS created_timestamp, NULL::TIMESTAMP AS invalidation_timestamp, 'active' AS status, swing_id AS source_id FROM swings
+  UNION ALL SELECT symbol, 'structure', label, CASE WHEN price_level > p THEN 'bullish' ELSE 'bearish' END, event_timestamp, greatest(confirmation_timestamp, pc), price_level, p, abs(price_level - p) / 0.01::DOUBLE, NULL, NULL, 'active', 'label:' || symbol || ':1h:' || label || ':' || {_TS('event_timestamp')} FROM lab1
+  UNION ALL SELECT symbol, 'structure', event_type, direction, event_timestamp, confirmation_timestamp, price_level, reference_level, abs(price_level - reference_level) / 0.01::DOUBLE, NULL, NULL, 'active', break_id FROM breaks
+  UNION ALL SELECT l.symbol, 'liquidity', l.liquidity_type, CASE l.side WHEN 'buy_side' THEN 'bullish' ELSE 'bearish' END, l.created_timestamp, l.confirmation_timestamp, l.price_level, NULL, NULL, l.created_timestamp, NULL, CASE WHEN s.level_id IS NULL THEN 'active' ELSE 'swept' END, l.level_id FROM levels l LEFT JOIN sweeps s ON s.level_id = l.level_id
+  UNION ALL SELECT symbol, 'liquidity', 'liquidity_sweep', CASE side WHEN 'buy_side' THEN 'bullish' ELSE 'bearish' END, event_timestamp, confirmation_timestamp, extreme_price, price_level, abs(extreme_price - price_level) / 0.01::DOUBLE, NULL, NULL, 'swept', level_id FROM sweeps
+  UNION ALL SELECT e.symbol, 'fvg', 'fvg_' || e.direction, e.direction, z.formation_timestamp, e.confirmation_timestamp, mid, entry, points, z.formation_timestamp, full_at, state, id FROM edged e JOIN fvg z ON e.kind = 'fvg' AND z.zone_id = e.id
+  UNION ALL SELECT e.symbol, 'ifvg', 'ifvg_' || e.direction, e.direction, e.event_timestamp, e.confirmation_timestamp, mid, b.close, e.top - e.bottom, e.event_timestamp, NULL, state, id FROM edged e JOIN bars b ON e.kind = 'ifvg' AND b.symbol = e.symbol AND b.timestamp = e.event_timestamp
+  UNION ALL SELECT symbol, 'order_blocks', 'order_block_' || direction, direction, event_timestamp, confirmation_timestamp, mid, entry, NULL, event_timestamp, failed_at, own_state, id FROM edged WHERE kind = 'ob'
+  UNION ALL SELECT symbol, 'breakers', 'breaker_' || direction, direction, event_timestamp, confirmation_timestamp, mid, far, NULL, event_timestamp, NULL, state, id FROM edged WHERE kind = 'breaker'
+  UNION ALL SELECT symbol, 'bpr', 'balanced_price_range', direction, event_timestamp, confirmation_timestamp, mid, top, points, event_timestamp, NULL, state, id FROM edged WHERE kind = 'bpr'
+  UNION ALL SELECT symbol, 'rdrb', 'rdrb_' || direction, direction, event_timestamp, confirmation_timestamp, mid, far, points, event_timestamp, NULL, state, id FROM edged WHERE kind = 'rdrb'
+  UNION ALL SELECT c.symbol, 'cisd', 'cisd_' || c.direction, c.direction, b.timestamp, b.close_time, c.first_open, b.close, NULL, b.timestamp, NULL, 'active', 'cisd:' || c.symbol || ':1h:' || c.direction || ':' || {_TS('b.timestamp')} FROM cisd c JOIN bars b ON b.symbol = c.symbol AND b.idx = c.hit
+  UNION ALL SELECT symbol, 'unicorns', 'unicorn_' || direction, direction, event_timestamp, confirmation_timestamp, mid, top, points, event_timestamp, NULL, own_state, id FROM edged WHERE kind = 'unicorn'
+  UNION ALL SELECT symbol, 'ranges', 'dealing_range', direction, event_timestamp, confirmation_timestamp, equilibrium_price, high_price, high_price - low_price, event_timestamp, NULL, CASE WHEN superseded_at IS NULL THEN 'active' ELSE 'invalidated' END, range_id FROM ranges
+  UNION ALL SELECT symbol, 'daily_opens', 'true_daily_open', 'neutral', o.at, o.at, price, NULL, NULL, o.at, NULL, 'active', 'tdo:' || symbol || ':1h:' || timezone('America/New_York', timezone('UTC', o.at))::DATE::VARCHAR FROM opens o
+  UNION ALL SELECT d.symbol, 'sessions', 'session_' || k.kind, CASE k.kind WHEN 'high' THEN 'bullish' WHEN 'low' THEN 'bearish' ELSE 'neutral' END, CASE k.kind WHEN 'high' THEN high_timestamp WHEN 'low' THEN low_timestamp WHEN 'open' THEN open_timestamp ELSE close_timestamp END, end_utc,
+         CASE k.kind WHEN 'high' THEN high_price WHEN 'low' THEN low_price WHEN 'open' THEN open_price ELSE close_price END, open_price, (high_price - low_price) / 0.01::DOUBLE, start_utc, NULL, 'active', 'session:' || d.symbol || ':1h:session_' || k.kind || ':' || d.name || ':' || d.local_date::VARCHAR
+  FROM done d JOIN moments USING (symbol, name, local_date), (VALUES ('high'), ('low'), ('open'), ('close')) k(kind))"""
+
 _SPLITS = """
 cut AS (
   SELECT symbol, arg_min(close_time, idx) FILTER (idx = greatest(1, floor(n * 0.6::DOUBLE))) AS a, arg_min(close_time, idx) FILTER (idx = greatest(greatest(1, floor(n * 0.6::DOUBLE)) + 1, floor(n * (0.6::DOUBLE + 0.2::DOUBLE)))) AS b
@@ -371,6 +409,19 @@ def sql(*parts: str, select: str) -> str:
     return "WITH RECURSIVE " + ",".join(p.strip("\n") for p in (_BARS, *parts)) + "\n" + select
 
 
+#: The first part of _EVENTS alone: zones with every end they may have.
+_EVENTS_DEAD = _EVENTS[: _EVENTS.index("edged AS")].rstrip().rstrip(",")
+#: Hours that a market keeps: no weekends, and two hours shut every day.
+_WEEK = "isodow(ts) < 6 AND hour(ts) NOT IN (21, 22)"
+
+
+def week_sql(*ctes: str, select: str) -> str:
+    return sql(*ctes, select=select).replace("FROM events GROUP BY ALL", f"FROM events WHERE {_WEEK} GROUP BY ALL")
+
+
+_COVERAGE_COLUMNS = "SELECT symbol, timestamp, expected, actual, market_closed, undetermined, longest_missing_run, boundary_incomplete, cause, quality, production_eligible FROM covq"
+_COVERAGE_SUMMARY = "SELECT symbol, " + ", ".join(f"count(*) FILTER (quality = '{q}')::BIGINT AS quality_{q}" for q in ("complete", "market_gap", "degraded_unknown", "boundary_incomplete")) + ", " + ", ".join(f"count(*) FILTER (cause = '{q}')::BIGINT AS cause_{q}" for q in ("none", "market_closed", "undetermined", "boundary")) + ", count(*) FILTER (NOT production_eligible)::BIGINT AS rejected FROM covq GROUP BY symbol"
+_H4_WINDOWS = "SELECT symbol, timestamp, present_hours, missing_hours, closed_hours, disposition, " + ", ".join(f"CASE WHEN disposition = 'emitted' THEN {c} END AS {c}" for c in ("open", "high", "low", "close", "volume")) + " FROM h4d"
 _ZC = "symbol, direction, top, bottom, event_timestamp, confirmation_timestamp"
 _LC = "symbol, level_id, liquidity_type, side, price_level, created_timestamp, confirmation_timestamp"
 
@@ -459,12 +510,33 @@ FROM levels l LEFT JOIN sweeps s ON s.level_id = l.level_id""",
     "split_labels": sql(_target_sql(), _SPLITS, select="SELECT * FROM labelled"),
     "split_summary": sql(_target_sql(), _SPLITS, select='SELECT symbol, label, count(*)::BIGINT AS n, min(as_of) AS "first", max(as_of) AS "last" FROM labelled GROUP BY symbol, label'),
     "dataset_audit": sql(_target_sql(), _SPLITS, select="""SELECT symbol, count(*)::BIGINT AS n_rows, 0::BIGINT AS duplicates, true AS chronological, min(as_of) AS "first", max(as_of) AS "last", count(*) FILTER (label = 'train')::BIGINT AS train, count(*) FILTER (label = 'validation')::BIGINT AS validation, count(*) FILTER (label = 'test')::BIGINT AS test, count(*) FILTER (label = 'embargoed')::BIGINT AS embargoed FROM labelled GROUP BY symbol"""),
-    "dataset_rows": sql(*_ALL, _target_sql(), _SPLITS, select="""SELECT l.symbol, l.as_of, l.label, t.direction AS target_direction, t.resolved AS target_resolved, coalesce(CASE (SELECT arg_max(k.direction, k.idx) FROM breaks k WHERE k.symbol = l.symbol AND k.confirmation_timestamp <= l.as_of) WHEN 'bullish' THEN 1 WHEN 'bearish' THEN -1 END, 0)::BIGINT AS structure_state_code,
-  (SELECT count(*) FROM items i WHERE i.kind = 'fvg' AND i.direction = 'bullish' AND i.symbol = l.symbol AND i.confirmation_timestamp <= l.as_of AND (i.dead_at IS NULL OR i.dead_at > l.as_of))::BIGINT AS bullish_fvg_count FROM labelled l JOIN tv t ON t.symbol = l.symbol AND t.as_of = l.as_of AND t.spec_name = 'dir_4'"""),
+    "dataset_rows": sql(
+        *_ALL, _OPENS, _VECTOR, _target_sql(), _SPLITS,
+        select="SELECT l.symbol, l.as_of, l.label, l.natural_label, 'r2-07.1' AS feature_version, t.spec_name AS target_name, t.target_type AS target_target_type, 4::BIGINT AS target_horizon_bars, "
+        + ", ".join(f"t.{c} AS target_{c}" for c in ("resolved", "unresolved_reason", "future_return", "future_move_points", "direction", "up_excursion_points", "down_excursion_points", "outcome", "resolving_bar_timestamp"))
+        + ", " + ", ".join(f"v.{c}" for c in _FEATURE_SQL) + " FROM labelled l JOIN tv t ON t.symbol = l.symbol AND t.as_of = l.as_of AND t.spec_name = 'dir_4' JOIN (SELECT symbol, close_time, "
+        + ", ".join(f"round(({x})::DOUBLE, 6) AS {c}" for c, x in _FEATURE_SQL.items()) + " FROM votes) v ON v.symbol = l.symbol AND v.close_time = l.as_of",
+    ),
+    "market_events": sql(*_ALL, _OPENS, _EVENTS, select="SELECT * REPLACE (round(strength, 6) AS strength) FROM events_all"),
+    "zone_status_at": sql(*_ALL, _EVENTS_DEAD, select="SELECT symbol, kind, id, CASE WHEN coalesce(failed_at, parent_full_at) <= t THEN 'invalidated' WHEN full_at <= t THEN 'mitigated' ELSE 'active' END AS status FROM dead, (SELECT TIMESTAMP '2024-01-16 12:30:00' AS t) WHERE confirmation_timestamp <= t"),
+    "unicorn_lifecycle": sql(
+        *_ALL, _EVENTS_DEAD,
+        select="""SELECT symbol, id AS unicorn_id, direction, confirmation_timestamp, retested_at, full_at AS mitigated_at, parent_full_at AS invalidated_at, CASE WHEN parent_full_at IS NOT NULL THEN 'invalidated' WHEN full_at IS NOT NULL THEN 'mitigated' WHEN retested_at IS NOT NULL THEN 'partially_filled' ELSE 'active' END AS status
+FROM (SELECT d.*, (SELECT min(close_time) FROM bars b WHERE b.symbol = d.symbol AND b.timestamp >= d.confirmation_timestamp AND CASE d.direction WHEN 'bearish' THEN b.high > d.bottom ELSE b.low < d.top END) AS retested_at FROM dead d WHERE kind = 'unicorn')""",
+    ),
+    "planted_provenance_faults": sql(
+        *_ALL,
+        select=f"""SELECT 'lost' AS fault, breaker_id || '?' AS id FROM unis WHERE direction = 'bearish'
+UNION ALL SELECT 'early', 'unicorn:' || u.symbol || ':1h:' || {_TS('u.confirmation_timestamp')} || ':' || u.breaker_id || '|' || u.zone_id FROM unis u JOIN fvg z ON z.zone_id = u.zone_id WHERE z.confirmation_timestamp > u.confirmation_timestamp - INTERVAL '1 hour'""",
+    ),
     "session_profile": sql(_GRID, select="SELECT symbol, weekday::BIGINT AS weekday, minute::BIGINT AS minute, occurrences::BIGINT AS occurrences FROM shut"),
-    "coverage_4h": sql(_H4, _GRID, _COVER, select="SELECT symbol, timestamp, expected, actual, market_closed, undetermined, longest_missing_run, boundary_incomplete, cause, quality, production_eligible FROM covq"),
-    "coverage_summary": sql(_H4, _GRID, _COVER, select="SELECT symbol, " + ", ".join(f"count(*) FILTER (quality = '{q}')::BIGINT AS quality_{q}" for q in ("complete", "market_gap", "degraded_unknown", "boundary_incomplete")) + ", " + ", ".join(f"count(*) FILTER (cause = '{q}')::BIGINT AS cause_{q}" for q in ("none", "market_closed", "undetermined", "boundary")) + ", count(*) FILTER (NOT production_eligible)::BIGINT AS rejected FROM covq GROUP BY symbol"),
-    "h4_windows": sql(_H4, _GRID, _COVER, select="SELECT symbol, timestamp, present_hours, missing_hours, closed_hours, disposition, " + ", ".join(f"CASE WHEN disposition = 'emitted' THEN {c} END AS {c}" for c in ("open", "high", "low", "close", "volume")) + " FROM h4d"),
+    "coverage_4h": sql(_H4, _GRID, _COVER, select=_COVERAGE_COLUMNS),
+    "coverage_summary": sql(_H4, _GRID, _COVER, select=_COVERAGE_SUMMARY),
+    "h4_windows": sql(_H4, _GRID, _COVER, select=_H4_WINDOWS),
+    "week_profile": week_sql(_GRID, select="SELECT symbol, weekday::BIGINT AS weekday, minute::BIGINT AS minute, occurrences::BIGINT AS occurrences FROM shut"),
+    "week_coverage_4h": week_sql(_H4, _GRID, _COVER, select=_COVERAGE_COLUMNS),
+    "week_coverage_summary": week_sql(_H4, _GRID, _COVER, select=_COVERAGE_SUMMARY),
+    "week_h4_windows": week_sql(_H4, _GRID, _COVER, select=_H4_WINDOWS),
     "h4_counts": sql(_H4, _GRID, _COVER, select="SELECT symbol, " + ", ".join(f"count(*) FILTER (disposition = '{d}')::BIGINT AS {d}" for d in ("emitted", "withheld_boundary", "withheld_market_closed", "withheld_undetermined")) + ", count(*)::BIGINT AS windows FROM h4d GROUP BY symbol"),
     "tick_report": sql(_QUOTES, select="SELECT symbol, count(*)::BIGINT AS total, count(*) FILTER (missing)::BIGINT AS missing, count(*) FILTER (nonpositive)::BIGINT AS nonpositive, count(*) FILTER (crossed)::BIGINT AS crossed, count(*) FILTER (negative_volume)::BIGINT AS negative_volume, count(*) FILTER (ok AND n > 1)::BIGINT AS duplicates, count(*) FILTER (ok AND n = 1)::BIGINT AS kept, max(ask - bid) FILTER (ok) AS max_spread FROM qn GROUP BY symbol"),
     "clean_quotes": sql(_QUOTES, select="SELECT symbol, timestamp, bid, ask, seq FROM qn WHERE ok AND n = 1"),
@@ -483,12 +555,13 @@ JOIN (SELECT symbol, arg_max(close, timestamp) AS price FROM bars WHERE close_ti
     "merged_tick_reports": sql(_QUOTES, select="SELECT symbol, count(*)::BIGINT AS total, count(*) FILTER (missing)::BIGINT AS missing, count(*) FILTER (nonpositive)::BIGINT AS nonpositive, count(*) FILTER (crossed)::BIGINT AS crossed, count(*) FILTER (negative_volume)::BIGINT AS negative_volume, max(ask - bid) FILTER (ok) AS max_spread FROM qn GROUP BY symbol"),
     "feature_diagnostics": sql(
         *_ALL, _OPENS, _VECTOR,
-        select="SELECT name, count(*) FILTER (v IS NULL)::BIGINT AS missing_count, count(*) FILTER (v IS NULL)::BIGINT AS nan_count, count(v)::BIGINT AS present_count, count(DISTINCT v)::BIGINT AS unique_count, min(v) AS minimum, max(v) AS maximum, round(avg(v), 6) AS mean, count(DISTINCT v) = 1 AS constant FROM ("
-        + " UNION ALL ".join(f"SELECT '{c}' AS name, ({_FEATURE_SQL[c]})::DOUBLE AS v FROM votes" for c in ("close", "bos_count", "rdrb_count", "hour_of_day", "is_premium")) + ") GROUP BY name",
+        select="SELECT name, count(*) FILTER (v IS NULL)::BIGINT AS missing_count, count(*) FILTER (v IS NULL)::BIGINT AS nan_count, count(v)::BIGINT AS present_count, count(DISTINCT v)::BIGINT AS unique_count, min(v) AS minimum, max(v) AS maximum, round(avg(v), 4) AS mean, count(DISTINCT v) = 1 AS constant FROM ("
+        + " UNION ALL ".join(f"SELECT '{c}' AS name, round(({_FEATURE_SQL[c]})::DOUBLE, 6) AS v FROM votes" for c in _FEATURE_SQL) + ") GROUP BY name",
     ),
     "target_diagnostics": sql(
         _target_sql(),
-        select="""SELECT t.spec_name, total, resolved_count, unresolved_count, classes FROM (SELECT spec_name, count(*)::BIGINT AS total, count(*) FILTER (resolved)::BIGINT AS resolved_count, count(*) FILTER (NOT resolved)::BIGINT AS unresolved_count FROM tv GROUP BY spec_name) t
-LEFT JOIN (SELECT spec_name, '{' || string_agg('"' || k || '":' || n, ',' ORDER BY k) || '}' AS classes FROM (SELECT spec_name, coalesce(direction, outcome) AS k, count(*) AS n FROM tv WHERE coalesce(direction, outcome) IS NOT NULL GROUP BY ALL) GROUP BY spec_name) c ON c.spec_name = t.spec_name""",
+        select="""SELECT t.spec_name, total, resolved_count, unresolved_count, classes, reasons FROM (SELECT spec_name, count(*)::BIGINT AS total, count(*) FILTER (resolved)::BIGINT AS resolved_count, count(*) FILTER (NOT resolved)::BIGINT AS unresolved_count FROM tv GROUP BY spec_name) t
+LEFT JOIN (SELECT spec_name, '{' || string_agg('"' || k || '":' || n, ',' ORDER BY k) || '}' AS classes FROM (SELECT spec_name, coalesce(direction, outcome) AS k, count(*) AS n FROM tv WHERE coalesce(direction, outcome) IS NOT NULL GROUP BY ALL) GROUP BY spec_name) c ON c.spec_name = t.spec_name
+LEFT JOIN (SELECT spec_name, '{' || string_agg('"' || k || '":' || n, ',' ORDER BY k) || '}' AS reasons FROM (SELECT spec_name, unresolved_reason AS k, count(*) AS n FROM tv WHERE unresolved_reason IS NOT NULL GROUP BY ALL) GROUP BY spec_name) r ON r.spec_name = t.spec_name""",
     ),
 }

@@ -17,6 +17,7 @@ from tidemark.operators.asof import align_context
 from tidemark.operators import swings as S
 from tidemark.plans import dataset
 from tidemark.plans.market import Market, event_bars, event_ticks
+from tidemark.plans import state
 from tidemark.plans.state import FEATURES, active_ids, feature_vectors, lifetimes
 from tidemark.schema import Timeframe, with_close_time
 
@@ -208,8 +209,18 @@ def state_features(spark, sf_dir):
 
 
 def market_events(spark, sf_dir):
-    e = events.from_market(market(spark, sf_dir))
-    return plain(e.groupBy("symbol", "event_type", "direction").agg(F.count(F.lit(1)).alias("n"), F.min("event_timestamp").alias("first_event"), F.max("confirmation_timestamp").alias("last_confirmation"), F.max("price_level").alias("highest_price")))
+    m = market(spark, sf_dir)
+    e = events.from_market(m, state.zone_ends(m)).withColumn("strength", F.round("strength", 6))
+    return plain(e.drop("timeframe", "metadata"))
+
+
+def zone_status_at(spark, sf_dir):
+    """Every zone that is known at an instant in the middle of the data, with its status then."""
+    return plain(state.zone_status(state.zone_ends(market(spark, sf_dir)), NOON), "symbol", "kind", "id", "status")
+
+
+def unicorn_lifecycle(spark, sf_dir):
+    return plain(state.unicorn_lifecycle(market(spark, sf_dir)).drop("timeframe"))
 
 
 def provenance_faults(spark, sf_dir):
@@ -221,7 +232,18 @@ def provenance_faults(spark, sf_dir):
     return lost.unionByName(early)
 
 
-TARGETS = [labels.Target("ret_4", "future_return", 4), labels.Target("dir_4", "direction", 4, threshold_points=2000.0), labels.Target("exc_4", "excursion", 4), labels.Target("tpsl_8", "tp_before_sl", 8, side="long", take_profit_points=3000.0, stop_loss_points=3000.0)]
+def planted_provenance_faults(spark, sf_dir):
+    """The same checks where half the composites name a breaker that isn't there and all
+    claim to be known an hour early."""
+    m = market(spark, sf_dir)
+    wrong = m.unicorns.withColumn("source_breaker_id", F.when(F.col("direction") == "bearish", F.concat("source_breaker_id", F.lit("?"))).otherwise(F.col("source_breaker_id")))
+    lost = events.unresolved_provenance(wrong, m.breakers.withColumnRenamed("breaker_id", "id"), ["source_breaker_id"]).select(F.lit("lost").alias("fault"), "id")
+    hasty = m.unicorns.withColumn("confirmation_timestamp", F.expr("confirmation_timestamp - INTERVAL '1' HOUR"))
+    early = events.confirmed_before_sources(hasty, m.fvg, "source_fvg_id", "zone_id").select(F.lit("early").alias("fault"), F.col("unicorn_id").alias("id"))
+    return plain(lost.unionByName(early))
+
+
+TARGETS = [labels.Target("ret_4", "future_return", 4), labels.Target("dir_4", "direction", 4, threshold_points=2000.0), labels.Target("exc_4", "excursion", 4), labels.Target("tpsl_8", "tp_before_sl", 8, side="long", take_profit_points=3000.0, stop_loss_points=3000.0), labels.Target("short_8", "tp_before_sl", 8, side="short", take_profit_points=2000.0, stop_loss_points=2500.0)]
 
 
 def targets(spark, sf_dir):
@@ -241,7 +263,7 @@ def split_summary(spark, sf_dir):
 
 def target_diagnostics(spark, sf_dir):
     d = audit.target_diagnostics(labels.all_targets(market(spark, sf_dir).bars, TARGETS))
-    return plain(d.select("spec_name", "total", "resolved_count", "unresolved_count", F.to_json("class_counts").alias("classes")))
+    return plain(d.select("spec_name", "total", "resolved_count", "unresolved_count", F.to_json("class_counts").alias("classes"), F.to_json("unresolved_by_reason").alias("reasons")))
 
 
 def _dataset(spark, sf_dir):
@@ -249,7 +271,8 @@ def _dataset(spark, sf_dir):
 
 
 def dataset_rows(spark, sf_dir):
-    return plain(dataset.flat(_dataset(spark, sf_dir), "dir_4"), "symbol", "as_of", "label", "target_direction", "target_resolved", "structure_state_code", "bullish_fvg_count")
+    rows = dataset.flat(_dataset(spark, sf_dir), "dir_4").drop("timeframe")
+    return plain(rows.withColumns({c: F.round(F.col(c).cast("double"), 6) for c in FEATURES} | {"target_future_return": F.round("target_future_return", 9)}))
 
 
 def dataset_audit(spark, sf_dir):
@@ -257,8 +280,9 @@ def dataset_audit(spark, sf_dir):
 
 
 def feature_diagnostics(spark, sf_dir):
-    d = audit.feature_diagnostics(feature_vectors(market(spark, sf_dir)), ["close", "bos_count", "rdrb_count", "hour_of_day", "is_premium"])
-    return plain(d.withColumn("mean", F.round("mean", 6)))
+    v = feature_vectors(market(spark, sf_dir))
+    d = audit.feature_diagnostics(v.select(*[F.round(F.col(c).cast("double"), 6).alias(c) for c in FEATURES]), list(FEATURES))
+    return plain(d.withColumn("mean", F.round("mean", 4)))
 
 
 def session_profile(spark, sf_dir):
@@ -281,6 +305,28 @@ def h4_counts(spark, sf_dir):
     return plain(coverage.h4_counts(coverage.build_h4(event_bars(spark, sf_dir, H1))))
 
 
+def market_week(spark, sf_dir):
+    """Bars of a market that shuts at weekends and for two hours every day."""
+    open_ = (F.weekday("timestamp") < 5) & ~F.hour("timestamp").isin(21, 22)
+    return event_bars(spark, sf_dir, H1).filter(open_)
+
+
+def week_profile(spark, sf_dir):
+    return plain(coverage.session_profile(market_week(spark, sf_dir), H1))
+
+
+def week_coverage_4h(spark, sf_dir):
+    return plain(coverage.coverage(market_week(spark, sf_dir), H1, H4).drop("coverage_ratio"))
+
+
+def week_coverage_summary(spark, sf_dir):
+    return plain(coverage.coverage_summary(coverage.coverage(market_week(spark, sf_dir), H1, H4)))
+
+
+def week_h4_windows(spark, sf_dir):
+    return plain(coverage.build_h4(market_week(spark, sf_dir)))
+
+
 def quotes(spark, sf_dir):
     """Events as quotes, some of them faulty."""
     t, k = event_ticks(spark, sf_dir), F.pmod("seq", F.lit(7))
@@ -339,8 +385,8 @@ QUERIES = {
     for f in (
         ticks_to_bars, resample_4h, normalize_bars, normalization_report, bar_gaps, asof_context, swing_points, swing_labels, structure_breaks, fvg_zones, fvg_fills, ifvg_zones, mitigated_without_inversion, bpr_zones, rdrb_zones,
         order_blocks, order_block_status, breaker_blocks, unicorns, cisd_transitions, dealing_ranges, range_rejections, range_observations, session_occurrences, period_levels, daily_opens, equal_levels, liquidity_levels, liquidity_sweeps,
-        pending_references, level_status, item_lifetimes, active_id_counts, state_features, market_events, provenance_faults, targets, split_labels, split_summary, target_diagnostics, dataset_rows, dataset_audit, feature_diagnostics,
-        session_profile, coverage_4h, coverage_summary, h4_windows, h4_counts, tick_report, clean_quotes,
+        pending_references, level_status, item_lifetimes, active_id_counts, state_features, market_events, zone_status_at, unicorn_lifecycle, provenance_faults, planted_provenance_faults, targets, split_labels, split_summary, target_diagnostics, dataset_rows, dataset_audit, feature_diagnostics,
+        session_profile, coverage_4h, coverage_summary, h4_windows, h4_counts, week_profile, week_coverage_4h, week_coverage_summary, week_h4_windows, tick_report, clean_quotes,
         latest_closed_bars, observable_swings, session_states, pending_periods, failed_without_structure, weekday_occurrences, merged_tick_reports,
     )
 }

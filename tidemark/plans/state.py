@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.asof import asof_join
+from tidemark.operators.blocks import zone_fills
+from tidemark.operators.calendar import zones_of
 from tidemark.operators.ranges import zone_of
-from tidemark.operators.search import first_hit_two_sided, first_index_at
+from tidemark.operators.search import bars_at, first_hit_two_sided, first_index_at
 from tidemark.plans.market import Market
 from tidemark.schema import BEAR, BULL, KEY, NEW_YORK, point_of
 from tidemark.sources.shared import kept
@@ -49,19 +51,47 @@ def zones(m: Market) -> DataFrame:
     return out
 
 
+def zone_ends(m: Market) -> DataFrame:
+    """zones with the bars `start`, at whose close each is first known, and `filled`, that
+    reaches its far edge (null if none); and the failure of an order block and the filling
+    of a unicorn's breaker, as bar (`own_end`). All with the instants these bars close."""
+    z = first_index_at(zones(m), m.bars, "confirmation_timestamp", "timestamp", "_fill_from")
+    z = first_index_at(z, m.bars, "confirmation_timestamp", "close_time", "start")
+    z = z.withColumn("_above", F.col("direction") == BEAR).withColumn("_level", F.when(F.col("_above"), F.col("top")).otherwise(F.col("bottom")))
+    z = kept(first_hit_two_sided(z, m.bars, F.col("high"), F.col("low"), "_fill_from", "_level", "_above", inclusive=True, out="filled"), "zone-ends").drop("_fill_from", "_above", "_level")
+    failed = m.failures.select(F.lit("ob").alias("kind"), F.col("order_block_id").alias("id"), F.col("failure_idx").alias("own_end"))
+    parents = z.filter("kind = 'breaker'").select(F.col("id").alias("parent"), F.col("filled").alias("_parent_end"))
+    z = z.join(failed, ["kind", "id"], "left").join(parents, "parent", "left").withColumn("own_end", F.coalesce("own_end", "_parent_end")).drop("_parent_end")
+    z = bars_at(z, m.bars, "filled", {"close_time": "filled_at"})
+    return bars_at(z, m.bars, "own_end", {"close_time": "ended_at"})
+
+
+def zone_status(ends: DataFrame, as_of=None) -> DataFrame:
+    """zone_ends with status as of an instant (zones not known by then are left out), or at
+    the end of the bars: invalidated by an end of its own, mitigated once filled, else
+    active."""
+    t = None if as_of is None else F.lit(as_of).cast("timestamp")
+    seen = lambda c: F.col(c).isNotNull() if t is None else F.coalesce(F.col(c) <= t, F.lit(False))
+    known = ends if t is None else ends.filter(F.col("confirmation_timestamp") <= t)
+    return known.withColumn("status", F.when(seen("ended_at"), "invalidated").when(seen("filled_at"), "mitigated").otherwise("active"))
+
+
+def unicorn_lifecycle(m: Market) -> DataFrame:
+    """Per unicorn: when a bar first enters it (retested_at), when it is filled
+    (mitigated_at), when its breaker is (invalidated_at), and its status at the end."""
+    fills = zone_fills(m.unicorns, m.bars, "unicorn_id").groupBy("zone_id").agg(F.min("confirmation_timestamp").alias("retested_at"))
+    z = zone_status(zone_ends(m)).filter("kind = 'unicorn'").join(fills.withColumnRenamed("zone_id", "id"), "id", "left")
+    status = F.when((F.col("status") == "active") & F.col("retested_at").isNotNull(), "partially_filled").otherwise(F.col("status"))
+    return z.select(*KEY, F.col("id").alias("unicorn_id"), "direction", "confirmation_timestamp", "retested_at", F.col("filled_at").alias("mitigated_at"), F.col("ended_at").alias("invalidated_at"), status.alias("status"))
+
+
 def lifetimes(m: Market) -> DataFrame:
     """kind, id, direction, value, times, and the bars [start, end) at whose closes an item
     is alive; items that never are (dead before they are known) are left out.
 
     Zones die when they are filled; an order block also when it fails, a unicorn also when
     its breaker is filled; levels die when they are swept."""
-    z = first_index_at(zones(m), m.bars, "confirmation_timestamp", "timestamp", "_fill_from")
-    z = first_index_at(z, m.bars, "confirmation_timestamp", "close_time", "start").filter("start IS NOT NULL")
-    z = z.withColumn("_above", F.col("direction") == BEAR).withColumn("_level", F.when(F.col("_above"), F.col("top")).otherwise(F.col("bottom")))
-    z = kept(first_hit_two_sided(z, m.bars, F.col("high"), F.col("low"), "_fill_from", "_level", "_above", inclusive=True, out="end"), "zone-ends")
-    z = z.join(m.failures.select(F.col("order_block_id").alias("id"), "failure_idx"), "id", "left").withColumn("end", F.when(F.col("kind") == "ob", F.least("end", "failure_idx")).otherwise(F.col("end")))
-    parents = z.filter("kind = 'breaker'").select(F.col("id").alias("parent"), F.col("end").alias("_parent_end"))
-    z = z.join(parents, "parent", "left").withColumn("end", F.least("end", "_parent_end"))
+    z = zone_ends(m).filter("start IS NOT NULL").withColumn("end", F.least("filled", "own_end"))
     z = z.select(*KEY, "kind", "id", "direction", ((F.col("top") + F.col("bottom")) / 2).alias("value"), "event_timestamp", "confirmation_timestamp", "start", "end")
     lv = first_index_at(m.levels, m.bars, "confirmation_timestamp", "close_time", "start").filter("start IS NOT NULL")
     lv = lv.join(m.sweeps.select("level_id", F.col("idx").alias("end")), "level_id", "left")
@@ -119,7 +149,7 @@ def alive_features(m: Market, items: DataFrame) -> DataFrame:
 def session_features(m: Market) -> DataFrame:
     """KEY, idx, active session names in order, and minutes since the first one's start."""
     w = m.windows
-    b = m.bars.select(*KEY, "idx", F.col("close_time").alias("t")).join(F.broadcast(w.select("name", "zone").distinct()))
+    b = m.bars.select(*KEY, "idx", F.col("close_time").alias("t"), F.explode(zones_of(m.session_defs)).alias("z")).select(*KEY, "idx", "t", "z.*")
     day = F.to_date(F.from_utc_timestamp("t", F.col("zone")))
     b = b.withColumn("local_date", F.explode(F.array(day, F.date_sub(day, 1)))).join(w, ["name", "zone", "local_date"]).filter("start_utc <= t AND t < end_utc")
     got = b.groupBy(*KEY, "idx", "t").agg(F.array_sort(F.collect_list(F.struct("name", "start_utc"))).alias("w"))
