@@ -1,6 +1,6 @@
 import lzma
 import struct
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 
 import numpy as np
 import pytest
@@ -129,3 +129,16 @@ def test_rollup_does_not_depend_on_order(spark):
     rows = [("a", "x", 1), ("b", "y", 0)]
     one, two = (rollup_digest(spark.createDataFrame(r, "path string, sha string, n_bytes long")).first() for r in (rows, rows[::-1]))
     assert one == two and one["empty"] == 1
+
+
+def test_a_year_can_be_written_anew_from_the_store_itself(spark, tmp_path):
+    rows = [("EURUSD", datetime(y, 3, 4, 1, m, tzinfo=UTC), 1.0, 2.0, 0.5, 1.5, float(m)) for y in (2023, 2024) for m in range(3)]
+    bars = spark.createDataFrame([(t, s, "1m", *p) for s, t, *p in rows], "timestamp timestamp, symbol string, timeframe string, open double, high double, low double, close double, volume double")
+    store = CandleStore(spark, f"file://{tmp_path}/s")
+    assert len(store.write(bars)) == 2
+    with pytest.raises(ImmutableWriteError):
+        store.write(bars)
+    again = store.read("EURUSD", Timeframe("1m")).filter("year(timestamp) = 2024").unionByName(bars.filter("minute(timestamp) = 0").withColumn("timestamp", bars.timestamp + timedelta(hours=5)).filter("year(timestamp) = 2024"))
+    assert store.write(again, overwrite=True) == [("EURUSD", "1m", 2024)]
+    assert store.read("EURUSD", Timeframe("1m")).count() == 7 and store.years("EURUSD", Timeframe("1m")) == [2023, 2024]
+    assert not list((tmp_path / "s").glob("_*"))

@@ -13,11 +13,16 @@ _LOCAL: str | None = None
 
 
 def shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, as in tests, a temporary local folder."""
+    """spark.checkpoint.dir. Where a local session has none, as in tests, a temporary folder
+    of this machine takes its place and is set as the checkpoint directory; a cluster
+    has to name one."""
     global _LOCAL
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if _LOCAL is None:
         _LOCAL = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(_LOCAL)

@@ -42,16 +42,40 @@ class CandleStore:
     def write(self, bars: DataFrame, overwrite: bool = False) -> list[tuple[str, str, int]]:
         """Add bars of any series; returns the (symbol, timeframe, year) written."""
         rows = bars.select(*[f.name for f in CANDLE.fields]).withColumn("year", F.year("timestamp"))
-        there = [(r["symbol"], r["timeframe"], r["year"]) for r in rows.select("symbol", "timeframe", "year").distinct().collect()]
-        taken = [k for k in there if (p := self._path(f"symbol={k[0]}", f"timeframe={k[1]}", f"year={k[2]}")) and self._fs(p).exists(p)]
-        if taken and not overwrite:
-            raise ImmutableWriteError(f"already stored: {sorted(taken)}")
-        for k in taken:
-            p = self._path(f"symbol={k[0]}", f"timeframe={k[1]}", f"year={k[2]}")
-            self._fs(p).delete(p, True)
+        # Years are written aside, where no reader looks, and then moved into their places.
+        aside = f"_new-{uuid.uuid4().hex}"
+        by = ("symbol", "timeframe", "year")
         # One task a year and series, in time order: a year is one sorted file.
-        rows.repartition("symbol", "timeframe", "year").sortWithinPartitions("symbol", "timeframe", "year", "timestamp").write.mode("append").partitionBy("symbol", "timeframe", "year").parquet(self.root)
-        return sorted(there)
+        rows.repartition(*by).sortWithinPartitions(*by, "timestamp").write.partitionBy(*by).parquet(f"{self.root}/{aside}")
+        top = self._path(aside)
+        fs = self._fs(top)
+        try:
+            new = [y.getPath() for s in self._folders(fs, top) for t in self._folders(fs, s.getPath()) for y in self._folders(fs, t.getPath())]
+            names = [[p.getParent().getParent().getName(), p.getParent().getName(), p.getName()] for p in new]
+            keys = [(s.partition("=")[2], t.partition("=")[2], int(y.partition("=")[2])) for s, t, y in names]
+            taken = sorted(k for k, n in zip(keys, names, strict=True) if fs.exists(self._path(*n)))
+            if taken and not overwrite:
+                raise ImmutableWriteError(f"already stored: {taken}")
+            for p, n in zip(new, names, strict=True):
+                self._swap(fs, p, self._path(*n), self._path(f"_old-{uuid.uuid4().hex}"))
+        finally:
+            fs.delete(top, True)
+        return sorted(keys)
+
+    @staticmethod
+    def _folders(fs, path):
+        return [s for s in fs.listStatus(path) if s.isDirectory() and "=" in s.getPath().getName()]
+
+    @staticmethod
+    def _swap(fs, new, place, old):
+        """Put a folder into its place; what was there is deleted last."""
+        fs.mkdirs(place.getParent())
+        if fs.exists(place) and not fs.rename(place, old):
+            raise OSError(f"cannot move {place}")
+        if not fs.rename(new, place):
+            fs.rename(old, place)
+            raise OSError(f"cannot move {new}")
+        fs.delete(old, True)
 
     def read(self, symbol: str, tf: Timeframe, start=None, end=None) -> DataFrame:
         """Bars that open in [start, end); years outside are never listed in the scan."""
