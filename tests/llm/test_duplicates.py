@@ -53,6 +53,21 @@ def test_components_equal_brute_force(spark, width):
     assert got == brute(rows, width, 80)
 
 
+def test_a_large_group_of_near_copies(spark):
+    """Some near the first, some only near each other, exact copies among them."""
+    rng = random.Random(31)
+    base, pool, rows = prose(rng, 100).split(), [prose(rng, 1) for _ in range(40)], []
+    for i in range(300):
+        w = list(base)
+        for _ in range(rng.randint(0, 9)):
+            w[rng.randrange(100)] = rng.choice(pool) if i % 2 else prose(rng, 1)
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, rows[7][1]) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(spark, docs, 2, 80).collect()}
+    assert got == brute(rows, 2, 80) and len({c for _, c in got.values()}) > 1
+
+
 def test_exact_join_alone_finds_every_link(spark):
     """The last step, given every document as a component of its own in one bucket."""
     from pyspark.sql import functions as F

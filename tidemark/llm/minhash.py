@@ -252,6 +252,8 @@ def _components(spark: SparkSession, docs: DataFrame, width: int, percent: int)
     nodes = stored(nodes, "minhash-nodes")
     entries = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("many")).filter("many > 1")
+    # A table of its own, so that Spark can split a join with a bucket that many share.
+    shared = stored(shared, "shared-buckets", slim=True)
     members = stored(entries.join(shared, "bucket"), "bucket-members")
     pairs = members.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     roots = contract(_confirmed(spark, docs, nodes, pairs, width, percent), ready=True)
@@ -271,6 +273,7 @@ def _open(members: DataFrame, roots: DataFrame | None) -> DataFrame:
         labelled = members.join(own, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     labelled = stored(labelled, "labelled-members", slim=True)
     span = labelled.groupBy("bucket").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo < _hi").select("bucket")
+    span = stored(span, "open-buckets", slim=True)
     return stored(labelled.join(span, "bucket").groupBy("node").agg(F.min("root").alias("root")), "open-documents", slim=True)
 
 
