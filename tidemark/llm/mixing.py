@@ -32,7 +32,7 @@ from tidemark.llm.common import n_words, stored
 MAX_SLOTS_LOG2 = 20
 MAX_REPEATS = 3
 #: Documents to a hash bucket, and the most buckets a source is dealt into.
-BUCKET_ROWS, MAX_BUCKETS = 4000, 65536
+BUCKET_ROWS, MAX_BUCKETS = 400, 65536
 #: Slots to a stretch of the schedule.
 STRETCH = 4096
 
