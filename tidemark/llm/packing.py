@@ -39,6 +39,8 @@ from tidemark.llm.tokens import default_path, encoder
 WINDOW = 4096
 QUANTUM = 8
 END_ID = 2
+#: Pieces to a hash bucket: a length that a third of all pieces have is dealt out as finely.
+BUCKET_PIECES = 1000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -214,7 +216,7 @@ def pack(spark: SparkSession, docs: DataFrame, path: str | None = None, window:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     cut = stored(pieces(docs, path or default_path(), window, end), "pack-pieces")
     hist = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    buckets = max(1, min(65536, sum(hist.values()) // 20_000))
+    buckets = max(1, min(65536, sum(hist.values()) // BUCKET_PIECES))
     cut = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)))
     ahead = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = cut.groupBy("length", "bucket").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n")
