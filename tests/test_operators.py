@@ -174,6 +174,27 @@ def test_prefixes_agree_with_the_whole(spark):
             assert asof.leaks(getattr(whole, name)).count() == 0
 
 
+def test_small_blocks_and_cells_change_nothing(spark, monkeypatch):
+    """Windows cut into blocks and as-of joins cut into cells see what whole series show."""
+    from tidemark import schema
+    from tidemark.plans.state import feature_vectors
+
+    def all_of(raw):
+        m = Market(raw, M5, require_structure=False)
+        race = labels.Target("x", "tp_before_sl", 7, side="long", take_profit_points=100, stop_loss_points=100)
+        frames = {n: getattr(m, n) for n in ("bars", "swings", "labels", "breaks", "fvg", "rdrb", "blocks", "failures", "cisd", "ranges", "sweeps", "observations")} | {"targets": labels.target_values(m.bars, race), "vectors": feature_vectors(m)}
+        return {n: sorted(map(repr, df.collect())) for n, df in frames.items()}
+
+    raw = walk(spark, 150, 5).unionByName(frame(spark, [(1.0, 1.1, 0.9, 1.05)] * 40, symbol="B", skip=range(9, 30)))
+    whole = all_of(raw)
+    monkeypatch.setattr(schema, "BLOCK_LOG2", 2)
+    monkeypatch.setattr(asof, "CELL_SECONDS", 1500)
+    cut = all_of(raw)
+    assert all(whole["vectors"]) and len(whole["bars"]) == 169
+    for name in whole:
+        assert whole[name] == cut[name], name
+
+
 def test_daylight_saving(spark):
     df = spark.createDataFrame([("2024-03-10 02:30:00",), ("2024-11-03 01:30:00",), ("2024-06-01 12:00:00",)], "t string").select(F.col("t").cast("timestamp").alias("t"))
     assert [r[0] for r in df.select(calendar.dst_anomaly(F.col("t"), "America/New_York")).collect()] == ["nonexistent", "ambiguous", "none"]

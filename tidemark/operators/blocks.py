@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.gaps import zone_id
 from tidemark.operators.search import bars_at, fill_stream, first_hit_two_sided, first_index_at
 from tidemark.operators.swings import displacement, stamp
-from tidemark.schema import BEAR, BULL, KEY, Timeframe, point_of, series_window
+from tidemark.schema import BEAR, BULL, KEY, Timeframe, block_window, framed, point_of
 
 
 @dataclass(frozen=True)
@@ -29,13 +29,17 @@ class OrderBlockConfig:
 def runs(bars: DataFrame, require_contiguous: bool = True) -> DataFrame:
     """Bars of the longest stretches of one direction, with run (its first idx); a bar
     that closes where it opened belongs to none and ends one."""
-    w = series_window()
+    w = block_window()
     way = F.signum(F.col("close") - F.col("open"))
+    rows = framed(bars, 1, 0).withColumn("way", way)
     apart = F.lag("close_time").over(w) != F.col("timestamp") if require_contiguous else F.lit(False)
-    rows = bars.withColumn("way", way)
     new = F.lag("way").over(w).isNull() | (F.lag("way").over(w) != F.col("way")) | apart
-    rows = rows.withColumn("_new", new).withColumn("run", F.last(F.when(F.col("_new"), F.col("idx")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.filter("way <> 0").drop("_new")
+    rows = rows.withColumn("_new", F.when(new, F.col("idx"))).filter("_own").drop("_own")
+    # A block without a start of its own goes on with the last start of the blocks before.
+    earlier = Window.partitionBy(*KEY).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*KEY, "_block").agg(F.max("_new").alias("_new")).select(*KEY, "_block", F.last("_new", ignorenulls=True).over(earlier).alias("_before"))
+    rows = rows.withColumn("run", F.last("_new", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).join(starts, [*KEY, "_block"], "left")
+    return rows.withColumn("run", F.coalesce("run", "_before")).filter("way <> 0").drop("_new", "_before", "_block")
 
 
 def order_blocks(bars: DataFrame, zones: DataFrame, config: OrderBlockConfig = OrderBlockConfig()) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.search import bars_at, fill_stream, first_hit_two_sided
-from tidemark.operators.swings import displacement, stamp
-from tidemark.schema import BEAR, BULL, KEY, NEUTRAL, Timeframe, point_of, series_window
+from tidemark.operators.swings import range_ratio, stamp
+from tidemark.schema import BEAR, BULL, KEY, NEUTRAL, Timeframe, block_window, framed, own, point_of
 
 
 @dataclass(frozen=True)
@@ -30,14 +30,14 @@ def zone_id(kind: str, *parts: str | Column) -> Column:
 
 def fvg_zones(bars: DataFrame, config: FvgConfig = FvgConfig()) -> DataFrame:
     """Three bars whose outer two leave a gap, confirmed at the third's close."""
-    w = series_window()
-    rows = displacement(bars, config.displacement_lookback)
+    w = block_window()
+    rows = framed(bars, config.displacement_lookback + 2, 0).withColumn("ratio", range_ratio(w, config.displacement_lookback))
     body = config.measure == "body"
     top, low = (F.greatest("open", "close"), F.least("open", "close")) if body else (F.col("high"), F.col("low"))
     rows = rows.withColumns({"_h1": F.lag(top, 2).over(w), "_l1": F.lag(low, 2).over(w), "_t1": F.lag("timestamp", 2).over(w), "_c1": F.lag("close_time", 2).over(w), "_t2": F.lag("timestamp", 1).over(w), "_c2": F.lag("close_time", 1).over(w), "_ratio": F.lag("ratio", 1).over(w), "_h3": top, "_l3": low})
     size = config.min_size_points * point_of()
     up, down = F.col("_l3") - F.col("_h1"), F.col("_l1") - F.col("_h3")
-    rows = rows.filter(F.col("_t1").isNotNull())
+    rows = own(rows).filter(F.col("_t1").isNotNull())
     if config.require_contiguous:
         rows = rows.filter((F.col("_c1") == F.col("_t2")) & (F.col("_c2") == F.col("timestamp")))
     if config.require_displacement:
@@ -103,26 +103,30 @@ def bpr(zones: DataFrame, tf: Timeframe, max_bars: int = 100, polarity: str = "l
 @dataclass(frozen=True)
 class RdrbConfig:
     tolerance_points: float = 0.0
+    require_directional_c1: bool = True
+    require_directional_c2: bool = True
     require_directional_c3: bool = False
-    require_directional: bool = True
+    require_directional_c4: bool = True
+    require_contiguous: bool = True
 
 
 def rdrb(bars: DataFrame, config: RdrbConfig = RdrbConfig()) -> DataFrame:
     """Four neighbouring bars of one direction whose fourth clears the second."""
-    w = series_window()
+    w = block_window()
     cols = {}
     for c in ("open", "high", "low", "close", "timestamp", "close_time"):
         for i in (1, 2, 3):
             cols[f"{c}{i}"] = F.lag(c, 4 - i).over(w)
         cols[f"{c}4"] = F.col(c)
-    rows = bars.withColumns(cols).filter(F.col("timestamp1").isNotNull())
-    rows = rows.filter((F.col("close_time1") == F.col("timestamp2")) & (F.col("close_time2") == F.col("timestamp3")) & (F.col("close_time3") == F.col("timestamp4")))
+    rows = own(framed(bars, 3, 0).withColumns(cols)).filter(F.col("timestamp1").isNotNull())
+    if config.require_contiguous:
+        rows = rows.filter((F.col("close_time1") == F.col("timestamp2")) & (F.col("close_time2") == F.col("timestamp3")) & (F.col("close_time3") == F.col("timestamp4")))
     tol = config.tolerance_points * point_of()
 
     def moves(up: bool) -> Column:
         ok = F.lit(True)
         for i in (1, 2, 3, 4):
-            if config.require_directional and (i != 3 or config.require_directional_c3):
+            if getattr(config, f"require_directional_c{i}"):
                 ok = ok & (F.col(f"close{i}") > F.col(f"open{i}") if up else F.col(f"close{i}") < F.col(f"open{i}"))
         return ok & ((F.col("low4") - F.col("low2") > tol) if up else (F.col("high2") - F.col("high4") > tol))
 

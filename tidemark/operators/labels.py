@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.schema import KEY, point_of, series_window
+from tidemark.schema import KEY, block_window, framed, own, point_of
 
 TYPES = ("future_return", "direction", "excursion", "tp_before_sl")
 
@@ -51,11 +51,11 @@ def _points(c: Column) -> Column:
 
 def target_values(bars: DataFrame, target: Target) -> DataFrame:
     """One row per bar close: whether the target is resolved, why not, and its values."""
-    w, h = series_window(), target.horizon
+    w, h = block_window(), target.horizon
     ahead = w.rowsBetween(1, h)
     ref = F.col("close")
     null = lambda kind: F.lit(None).cast(kind)
-    rows = bars.withColumns(
+    rows = framed(bars, 0, h).withColumns(
         {
             "as_of": F.col("close_time"), "spec_name": F.lit(target.name), "target_type": F.lit(target.kind), "horizon_bars": F.lit(h), "reference_price": ref,
             "future_window_start": F.lead("close_time", 1).over(w), "future_window_end": F.lead("close_time", h).over(w), "_n": F.count(F.lit(1)).over(ahead), "_final": F.lead("close", h).over(w), "_ref_bad": _bad(ref),
@@ -92,7 +92,7 @@ def target_values(bars: DataFrame, target: Target) -> DataFrame:
         if target.kind == "direction":
             t = float(target.threshold_points)
             out["direction"] = F.when(reason.isNull(), F.when(move >= t, "up").when(move <= -t, "down").otherwise("neutral"))
-    rows = rows.withColumn("unresolved_reason", reason).withColumns(out).withColumn("resolved", F.col("unresolved_reason").isNull())
+    rows = own(rows).withColumn("unresolved_reason", reason).withColumns(out).withColumn("resolved", F.col("unresolved_reason").isNull())
     return rows.select(*KEY, "as_of", "spec_name", "target_type", "horizon_bars", "reference_price", "future_window_start", "future_window_end", "resolved", "unresolved_reason", *out)
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.asof import cell_of
 from tidemark.schema import KEY
 
 #: Bars of a leaf and nodes below an inner node, as a power of two. The top has one entry for each
@@ -74,12 +75,14 @@ def bars_at(items: DataFrame, bars: DataFrame, idx: str, columns: dict[str, str]
 
 def first_index_at(items: DataFrame, bars: DataFrame, time: str, bar_time: str = "timestamp", out: str = "start_idx") -> DataFrame:
     """items with the idx of the first bar whose time is at or after items.time."""
-    own = items.columns
-    a = items.select(*KEY, F.col(time).alias("_t"), F.lit(0).alias("_side"), F.struct(*own).alias("_row"))
+    a = items.select(*KEY, F.col(time).alias("_t"), F.lit(0).alias("_side"), F.struct(*items.columns).alias("_row"))
     b = bars.select(*KEY, F.col(bar_time).alias("_t"), F.lit(1).alias("_side"), F.col("idx").alias("_i"))
-    w = Window.partitionBy(*KEY).orderBy("_t", "_side").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    both = a.unionByName(b, allowMissingColumns=True).withColumn("_i", F.first("_i", ignorenulls=True).over(w))
-    return both.filter("_side = 0").select("_row.*", F.col("_i").alias(out))
+    both = a.unionByName(b, allowMissingColumns=True).withColumn("_cell", cell_of("_t"))
+    within = Window.partitionBy(*KEY, "_cell").orderBy("_t", "_side").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    later = Window.partitionBy(*KEY).orderBy("_cell").rowsBetween(1, Window.unboundedFollowing)
+    cells = both.groupBy(*KEY, "_cell").agg(F.min("_i").alias("_i")).select(*KEY, "_cell", F.first("_i", ignorenulls=True).over(later).alias("_after"))
+    got = both.withColumn("_i", F.first("_i", ignorenulls=True).over(within)).filter("_side = 0").join(cells, [*KEY, "_cell"], "left")
+    return got.select("_row.*", F.coalesce("_i", "_after").alias(out))
 
 
 def fill_stream(zones: DataFrame, bars: DataFrame, zone_id: str, start: str, partial: float = 0.0, full: float = 1.0) -> DataFrame:

@@ -10,8 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.asof import asof_join
-from tidemark.schema import BEAR, BULL, KEY, point_of, series_window
+from tidemark.operators.asof import AsOf, asof_joins
+from tidemark.schema import BEAR, BULL, KEY, block_window, framed, own, point_of
 
 TIE_POLICIES = ("first", "last", "strict", "all")
 
@@ -45,28 +45,33 @@ def stamp(c: str) -> Column:
     return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
 
 
-def displacement(bars: DataFrame, lookback: int = 20, out: str = "ratio") -> DataFrame:
+def range_ratio(w, lookback: int) -> Column:
     """Range of a bar over the mean range of the `lookback` bars before it; null without
     a full complement, NaN for 0/0 and infinity for x/0."""
-    w = series_window().rowsBetween(-lookback, -1)
+    w = w.rowsBetween(-lookback, -1)
     size = F.col("high") - F.col("low")
     mean = F.when(F.count("high").over(w) == lookback, F.avg(size).over(w))
-    ratio = F.when(mean == 0, F.when(size == 0, F.lit(float("nan"))).otherwise(F.lit(float("inf")))).otherwise(F.try_divide(size, mean))
-    return bars.withColumn(out, ratio)
+    return F.when(mean == 0, F.when(size == 0, F.lit(float("nan"))).otherwise(F.lit(float("inf")))).otherwise(F.try_divide(size, mean))
+
+
+def displacement(bars: DataFrame, lookback: int = 20, out: str = "ratio") -> DataFrame:
+    """Bars with range_ratio."""
+    return own(framed(bars, lookback, 0).withColumn(out, range_ratio(block_window(), lookback)))
 
 
 def swings(bars: DataFrame, config: SwingConfig = SwingConfig()) -> DataFrame:
     """A bar whose extreme beats `left` bars before and `right` after, confirmed at the
     close of the last of those. One bar may be both a high and a low."""
     n, m = config.left, config.right
-    before, after = series_window().rowsBetween(-n, -1), series_window().rowsBetween(1, m)
+    w = block_window()
+    before, after = w.rowsBetween(-n, -1), w.rowsBetween(1, m)
     full = (F.count("high").over(before) == n) & (F.count("high").over(after) == m)
-    rows = bars.withColumns(
+    rows = framed(bars, n, m).withColumns(
         {
             "_full": full, "_hb": F.max("high").over(before), "_ha": F.max("high").over(after), "_lb": F.min("low").over(before), "_la": F.min("low").over(after),
-            "confirmation_timestamp": F.lead("close_time", m).over(series_window()),
+            "confirmation_timestamp": F.lead("close_time", m).over(w),
         }
-    ).filter("_full")
+    ).filter("_own AND _full")
     tie_before, tie_after = config.tie_policy in ("last", "all"), config.tie_policy in ("first", "all")
     high, low = F.col("high"), F.col("low")
     is_high = (high >= F.col("_hb") if tie_before else high > F.col("_hb")) & (high >= F.col("_ha") if tie_after else high > F.col("_ha"))
@@ -105,10 +110,12 @@ def structure_breaks(bars: DataFrame, pivots: DataFrame, config: StructureConfig
     tol = config.break_tolerance_points * point_of()
     ref = ["swing_id", "price_level", "event_timestamp", "confirmation_timestamp"]
     rows = displacement(bars, config.displacement_lookback)
+    sides = []
     for side, kind in (("h", BULL), ("l", BEAR)):
         names = {c: f"_{side}_{c}" for c in ref}
         part = good.filter(F.col("direction") == kind).select(*KEY, *[F.col(c).alias(n) for c, n in names.items()])
-        rows = asof_join(rows, part, "close_time", names["confirmation_timestamp"], list(names.values()), [F.col(names["event_timestamp"])])
+        sides.append(AsOf(part, names["confirmation_timestamp"], list(names.values()), [F.col(names["event_timestamp"])]))
+    rows = asof_joins(rows, "close_time", sides)
     probe_up, probe_down = (F.col("close"), F.col("close")) if config.break_mode == "close" else (F.col("high"), F.col("low"))
     rows = rows.withColumn("_up", probe_up > F.col("_h_price_level") + tol).withColumn("_down", probe_down < F.col("_l_price_level") - tol)
     first = lambda side: Window.partitionBy(*KEY, f"_{side}_swing_id")

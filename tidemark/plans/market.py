@@ -41,7 +41,7 @@ class Market:
 
     @cached_property
     def bars(self) -> DataFrame:
-        return self._kept(prepared(self.raw, self.tf))
+        return self._kept(prepared(self._kept(self.raw), self.tf))
 
     @cached_property
     def swings(self) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.asof import asof_join
+from tidemark.operators.asof import AsOf, asof_joins
 from tidemark.operators.blocks import zone_fills
 from tidemark.operators.calendar import zones_of
 from tidemark.operators.ranges import zone_of
@@ -161,16 +161,19 @@ def running(m: Market) -> DataFrame:
     """Bars with counts and latest of breaks, sweeps, CISD, daily opens and ranges."""
     breaks = m.breaks
     w = Window.partitionBy(*KEY).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    seen = breaks.select(*KEY, F.col("confirmation_timestamp").alias("_bt"), F.col("event_type").alias("break_type"), F.col("direction").alias("break_direction"), F.col("reference_level").alias("break_level"), F.col("idx").alias("break_idx"), F.col("break_id"), *[F.count_if(F.col("event_type") == t).over(w).alias(f"{t}_count") for t in ("bos", "mss", "choch")])
-    rows = asof_join(m.bars, seen, "close_time", "_bt", ["break_type", "break_direction", "break_level", "break_idx", "break_id", "bos_count", "mss_count", "choch_count"])
+    seen = breaks.select(*KEY, F.col("confirmation_timestamp").alias("_bt"), F.col("event_type").alias("break_type"), F.col("direction").alias("break_direction"), F.col("reference_level").alias("break_level"), F.col("idx").alias("break_idx"), "break_id", "break_distance_points", *[F.count_if(F.col("event_type") == t).over(w).alias(f"{t}_count") for t in ("bos", "mss", "choch")], *[F.last(F.when(F.col("event_type") == t, F.col("break_id")), ignorenulls=True).over(w).alias(f"latest_{t}_id") for t in ("bos", "mss", "choch")])
     sw = m.sweeps.select(*KEY, F.col("confirmation_timestamp").alias("_st"), F.col("event_timestamp").alias("_se"), F.col("level_id").alias("sweep_level_id"), F.col("side").alias("sweep_side"), F.col("is_rejection").alias("sweep_is_rejection"), F.col("idx").alias("sweep_idx"))
-    rows = asof_join(rows, sw, "close_time", "_st", ["sweep_level_id", "sweep_side", "sweep_is_rejection", "sweep_idx"], [F.col("_se"), F.col("sweep_level_id")])
     cd = m.cisd.select(*KEY, F.col("confirmation_timestamp").alias("_ct"), F.col("cisd_id"), F.col("direction").alias("delivery_state"), F.col("idx").alias("cisd_idx"))
-    rows = asof_join(rows, cd, "close_time", "_ct", ["cisd_id", "delivery_state", "cisd_idx"], [F.col("cisd_idx"), F.col("cisd_id")])
     do = m.daily_opens.select(*KEY, F.col("confirmation_timestamp").alias("_dt"), F.col("price_level").alias("daily_open_price"), F.col("event_timestamp").alias("daily_open_timestamp"), F.col("trading_date").alias("daily_open_date"), F.col("level_id").alias("daily_open_id"))
-    rows = asof_join(rows, do, "close_time", "_dt", ["daily_open_price", "daily_open_timestamp", "daily_open_date", "daily_open_id"])
-    rg = m.ranges.select(*KEY, F.col("confirmation_timestamp").alias("_rt"), "range_id", F.col("direction").alias("range_direction"), "high_price", "low_price", "equilibrium_price")
-    return asof_join(rows, rg, "close_time", "_rt", ["range_id", "range_direction", "high_price", "low_price", "equilibrium_price"], [F.col("range_id")])
+    rg = m.ranges.select(*KEY, F.col("confirmation_timestamp").alias("_rt"), "range_id", F.col("direction").alias("range_direction"), "high_price", "low_price", "equilibrium_price", F.col("high_source_id").alias("high_anchor_id"), F.col("low_source_id").alias("low_anchor_id"), F.col("source_break_id").alias("range_break_id"))
+    sides = [
+        AsOf(seen, "_bt", ["break_type", "break_direction", "break_level", "break_idx", "break_id", "break_distance_points", "bos_count", "mss_count", "choch_count", "latest_bos_id", "latest_mss_id", "latest_choch_id"]),
+        AsOf(sw, "_st", ["sweep_level_id", "sweep_side", "sweep_is_rejection", "sweep_idx"], [F.col("_se"), F.col("sweep_level_id")]),
+        AsOf(cd, "_ct", ["cisd_id", "delivery_state", "cisd_idx"], [F.col("cisd_idx"), F.col("cisd_id")]),
+        AsOf(do, "_dt", ["daily_open_price", "daily_open_timestamp", "daily_open_date", "daily_open_id"]),
+        AsOf(rg, "_rt", ["range_id", "range_direction", "high_price", "low_price", "equilibrium_price", "high_anchor_id", "low_anchor_id", "range_break_id"], [F.col("range_id")]),
+    ]
+    return asof_joins(m.bars, "close_time", sides)
 
 
 def states(m: Market) -> DataFrame:

@@ -80,9 +80,40 @@ def with_close_time(bars: DataFrame, tf: Timeframe) -> DataFrame:
     return bars.withColumn("close_time", F.expr(f"timestamp + INTERVAL '{tf.minutes}' MINUTE"))
 
 
+#: Bars of a block, as a power of two: what one task sorts at a time, however long the series.
+BLOCK_LOG2 = 14
+
+
 def prepared(bars: DataFrame, tf: Timeframe) -> DataFrame:
-    """Bars with close_time and idx, their place in the series from 0."""
-    return with_close_time(bars, tf).withColumn("idx", (F.row_number().over(series_window()) - 1).cast("long"))
+    """Bars with close_time and idx, their place in the series from 0.
+
+    Places are counted within stretches of time and added up over the stretches, so no task
+    sorts a whole series. Reads bars twice."""
+    rows = with_close_time(bars, tf).withColumn("_cell", F.floor(F.unix_seconds("timestamp") / (tf.minutes * 60 << BLOCK_LOG2)))
+    counts = rows.groupBy(*KEY, "_cell").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*KEY).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(*[F.col(c).alias(f"_{c}") for c in KEY], F.col("_cell").alias("_c"), F.coalesce(before, F.lit(0)).alias("_before"))
+    same = F.col("_cell").eqNullSafe(F.col("_c"))
+    for c in KEY:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    place = F.row_number().over(Window.partitionBy(*KEY, "_cell").orderBy("timestamp")) - 1
+    return rows.join(counts, same).withColumn("idx", (F.col("_before") + place).cast("long")).drop("_cell", "_c", "_before", *[f"_{c}" for c in KEY])
+
+
+def framed(bars: DataFrame, before: int, after: int) -> DataFrame:
+    """Bars in blocks (_block), each with copies of the `before` bars ahead of it and the
+    `after` bars behind it. Frames of that reach are whole over block_window for rows that are
+    _own; keep only those afterwards."""
+    first, last = F.shiftright(F.greatest(F.col("idx") - after, F.lit(0)), BLOCK_LOG2), F.shiftright(F.col("idx") + before, BLOCK_LOG2)
+    return bars.withColumn("_block", F.explode(F.sequence(first, last))).withColumn("_own", F.col("_block") == F.shiftright("idx", BLOCK_LOG2))
+
+
+def block_window():
+    return Window.partitionBy(*KEY, "_block").orderBy("idx")
+
+
+def own(rows: DataFrame) -> DataFrame:
+    return rows.filter("_own").drop("_own", "_block")
 
 
 def floor_to(column, minutes: int):
