@@ -310,6 +310,59 @@ def test_dataset_audit_sees_rows_out_of_order(spark):
     assert not audit.dataset_audit(rows, seq="seq").first()["chronological"] and audit.dataset_audit(rows).first()["chronological"]
 
 
+def test_nearest_against_a_scan(spark):
+    """The nearest of several alive items, ties by id, for bars in nodes of every level."""
+    from tidemark.plans import state
+
+    m = Market(walk(spark, 200, 8, digits=2), M5)
+    items = [(r["direction"], r["value"], r["id"], r["start"], r["end"]) for r in state.lifetimes(m).filter("kind = 'level'").collect()]
+    rows = state.alive_features(m, state.lifetimes(m)).join(m.bars.select("symbol", "timeframe", "idx", "close"), ["symbol", "timeframe", "idx"]).collect()
+    assert len(rows) == 200 and len({i[1] for i in items}) < len(items)
+    for r in rows:
+        for side in ("buy_side", "sell_side"):
+            best = min(((abs(v - r["close"]), i, v) for d, v, i, a, b in items if d == side and a <= r["idx"] and (b is None or r["idx"] < b)), default=(None,) * 3)
+            assert (r[f"nearest_{side}_id"], r[f"nearest_{side}_price"]) == best[1:]
+
+
+def test_states_and_targets_are_anchored_to_a_close(spark):
+    from tidemark.plans import state
+
+    m = Market(walk(spark, 60, 2), M5)
+    at, between = START + timedelta(minutes=5 * 40), START + timedelta(minutes=5 * 40 + 2)
+    spec = labels.Target("x", "excursion", 6)
+    assert [r.asDict() for r in labels.value_at(m.bars, spec, at).collect()] == [r.asDict() for r in labels.target_values(m.bars, spec).filter(F.col("as_of") == F.lit(at)).collect()]
+    row = state.state_at(m, at).first()
+    assert row["idx"] == 39 and set(state.CONTEXTS) <= set(row.asDict())
+    for look in (lambda: labels.value_at(m.bars, spec, between), lambda: state.state_at(m, between)):
+        with pytest.raises(ValueError):
+            look()
+
+
+def test_vectors_survive_their_texts(spark):
+    from tidemark.plans import state
+
+    v = state.feature_vectors(Market(walk(spark, 60, 2), M5))
+    v = spark.createDataFrame(v.collect(), v.schema)
+    back = state.from_json(state.to_json(v), v.schema)
+    assert back.columns == v.columns and sorted(map(repr, back.collect())) == sorted(map(repr, v.collect()))
+
+
+def test_every_detector_is_configured_from_one_place(spark):
+    raw = walk(spark, 200, 12)
+    base = Market(raw, M5, require_structure=False)
+    loose = Market(
+        raw, M5, require_structure=False, ifvg_config=gaps.IfvgConfig("wick_through", 40), bpr_config=gaps.BprConfig(polarity="neutral"), rdrb_config=gaps.RdrbConfig(require_directional_c1=False, require_directional_c4=False), breaker_config=blocks.BreakerConfig(wick=True),
+        cisd_config=blocks.CisdConfig(anchor="extreme_open", min_leg=2), unicorn_config=blocks.UnicornConfig(3), range_config=ranges.RangeConfig(1e6),
+    )
+    assert loose.rdrb.count() > base.rdrb.count() and loose.rdrb.join(base.rdrb, "rdrb_id").count() == base.rdrb.count()
+    assert loose.failures.count() >= base.failures.count() and loose.ifvg.agg(F.max("bars_to_invert")).first()[0] <= 40
+    assert {r[0] for r in loose.bpr.select("direction").distinct().collect()} == {"neutral"} and loose.unicorns.agg(F.max("bars_between")).first()[0] <= 3
+    assert loose.cisd.agg(F.min("leg_length")).first()[0] >= 2 and {r[0] for r in loose.observations.select("zone").distinct().collect()} <= {"equilibrium"}
+    for make in (lambda: gaps.IfvgConfig("other"), lambda: gaps.BprConfig(polarity="other")):
+        with pytest.raises(ValueError):
+            make()
+
+
 def test_streamed_bars_equal_the_batch(spark, tmp_path):
     from tidemark.streaming.bars import stream_bars
 

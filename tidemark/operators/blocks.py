@@ -26,6 +26,26 @@ class OrderBlockConfig:
     displacement_factor: float = 1.5
 
 
+@dataclass(frozen=True)
+class BreakerConfig:
+    wick: bool = False
+    max_bars: int = 20
+
+
+@dataclass(frozen=True)
+class UnicornConfig:
+    max_bars: int = 50
+
+
+@dataclass(frozen=True)
+class CisdConfig:
+    anchor: str = "series_open"
+    max_bars: int = 50
+    require_contiguous: bool = True
+    min_leg: int = 1
+    tolerance_points: float = 0.0
+
+
 def runs(bars: DataFrame, require_contiguous: bool = True) -> DataFrame:
     """Bars of the longest stretches of one direction, with run (its first idx); a bar
     that closes where it opened belongs to none and ends one."""

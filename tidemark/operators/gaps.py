@@ -56,6 +56,29 @@ def fvg_fills(zones: DataFrame, bars: DataFrame, config: FvgConfig = FvgConfig()
     return fill_stream(zones.withColumn("_s", F.col("idx") + 1), bars, "zone_id", "_s", config.partial_fill_threshold, config.full_fill_threshold)
 
 
+TRIGGERS, POLARITIES = ("close_through_far_edge", "close_inside_zone", "wick_through"), ("later", "neutral")
+
+
+@dataclass(frozen=True)
+class IfvgConfig:
+    trigger: str = "close_through_far_edge"
+    max_bars: int = 500
+
+    def __post_init__(self) -> None:
+        if self.trigger not in TRIGGERS:
+            raise ValueError(f"trigger must be one of {TRIGGERS}")
+
+
+@dataclass(frozen=True)
+class BprConfig:
+    max_bars: int = 100
+    polarity: str = "later"
+
+    def __post_init__(self) -> None:
+        if self.polarity not in POLARITIES:
+            raise ValueError(f"polarity must be one of {POLARITIES}")
+
+
 def ifvg(zones: DataFrame, bars: DataFrame, trigger: str = "close_through_far_edge", max_bars: int = 500) -> DataFrame:
     """Gaps inverted by a bar within max_bars of their third: polarity turns, one each."""
     bull = F.col("direction") == BULL

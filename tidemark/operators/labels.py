@@ -102,3 +102,14 @@ def all_targets(bars: DataFrame, targets: list[Target]) -> DataFrame:
     for t in targets[1:]:
         out = out.unionByName(target_values(bars, t))
     return out
+
+
+def value_at(bars: DataFrame, target: Target, as_of) -> DataFrame:
+    """The target's rows of the series that have a bar closing at that very instant; raises if
+    none has. Reads that bar and the horizon's."""
+    t = F.lit(as_of).cast("timestamp")
+    at = bars.filter(F.col("close_time") == t).select(*KEY, F.col("idx").alias("_at"))
+    if at.isEmpty():
+        raise TargetError(f"{as_of} is no bar close: an observation is anchored to one")
+    near = bars.join(at, list(KEY)).filter(F.col("idx").between(F.col("_at"), F.col("_at") + target.horizon)).drop("_at")
+    return target_values(near, target).filter(F.col("as_of") == t)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from tidemark.operators.asof import asof_join
 from tidemark.schema import BULL, KEY, point_of
 
 
+@dataclass(frozen=True)
+class RangeConfig:
+    tolerance_points: float = 0.5
+
+
 def candidates(breaks: DataFrame, pivots: DataFrame) -> DataFrame:
     """Each break with its two anchors; verdict missing, inverted, unchanged or range.
 

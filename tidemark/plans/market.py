@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import asdict
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,11 +31,16 @@ class Market:
     What several detectors read (bars, swings, gaps, blocks, breaks) is written once to the
     shared folder and read from there, which keeps the plans of what follows short."""
 
-    def __init__(self, raw: DataFrame, tf: Timeframe, swing_config=swings.SwingConfig(), structure_config=swings.StructureConfig(), fvg_config=gaps.FvgConfig(), block_config=blocks.OrderBlockConfig(), liquidity_config=liquidity.LiquidityConfig(), sessions=SESSIONS, require_structure: bool = True, strict_propagation: bool = False):
+    def __init__(
+        self, raw: DataFrame, tf: Timeframe, swing_config=swings.SwingConfig(), structure_config=swings.StructureConfig(), fvg_config=gaps.FvgConfig(), block_config=blocks.OrderBlockConfig(), liquidity_config=liquidity.LiquidityConfig(), sessions=SESSIONS, require_structure: bool = True, strict_propagation: bool = False,
+        ifvg_config=gaps.IfvgConfig(), bpr_config=gaps.BprConfig(), rdrb_config=gaps.RdrbConfig(), breaker_config=blocks.BreakerConfig(), unicorn_config=blocks.UnicornConfig(), cisd_config=blocks.CisdConfig(), range_config=ranges.RangeConfig(),
+    ):
         self.raw, self.tf, self.spark = raw, tf, raw.sparkSession
         self.swing_config, self.structure_config, self.fvg_config = swing_config, structure_config, fvg_config
         self.block_config, self.liquidity_config, self.session_defs = block_config, liquidity_config, sessions
         self.require_structure, self.strict_propagation = require_structure, strict_propagation
+        self.ifvg_config, self.bpr_config, self.rdrb_config = ifvg_config, bpr_config, rdrb_config
+        self.breaker_config, self.unicorn_config, self.cisd_config, self.range_config = breaker_config, unicorn_config, cisd_config, range_config
 
     def _kept(self, df: DataFrame) -> DataFrame:
         return kept(df, "market")
@@ -73,15 +79,15 @@ class Market:
 
     @cached_property
     def ifvg(self) -> DataFrame:
-        return self._kept(gaps.ifvg(self.fvg, self.bars))
+        return self._kept(gaps.ifvg(self.fvg, self.bars, **asdict(self.ifvg_config)))
 
     @cached_property
     def bpr(self) -> DataFrame:
-        return self._kept(gaps.bpr(self.fvg, self.tf))
+        return self._kept(gaps.bpr(self.fvg, self.tf, **asdict(self.bpr_config)))
 
     @cached_property
     def rdrb(self) -> DataFrame:
-        return self._kept(gaps.rdrb(self.bars))
+        return self._kept(gaps.rdrb(self.bars, self.rdrb_config))
 
     @cached_property
     def blocks(self) -> DataFrame:
@@ -89,19 +95,19 @@ class Market:
 
     @cached_property
     def failures(self) -> DataFrame:
-        return self._kept(blocks.failures(self.blocks, self.bars))
+        return self._kept(blocks.failures(self.blocks, self.bars, wick=self.breaker_config.wick))
 
     @cached_property
     def breakers(self) -> DataFrame:
-        return self._kept(blocks.breakers(self.blocks, self.failures, self.default_breaks, self.bars, self.require_structure))
+        return self._kept(blocks.breakers(self.blocks, self.failures, self.default_breaks, self.bars, self.require_structure, self.breaker_config.max_bars))
 
     @cached_property
     def unicorns(self) -> DataFrame:
-        return self._kept(blocks.unicorns(self.breakers, self.fvg, self.tf))
+        return self._kept(blocks.unicorns(self.breakers, self.fvg, self.tf, **asdict(self.unicorn_config)))
 
     @cached_property
     def cisd(self) -> DataFrame:
-        return self._kept(blocks.cisd(self.bars))
+        return self._kept(blocks.cisd(self.bars, **asdict(self.cisd_config)))
 
     @cached_property
     def ranges(self) -> DataFrame:
@@ -109,7 +115,7 @@ class Market:
 
     @cached_property
     def observations(self) -> DataFrame:
-        return ranges.observations(self.bars, self.ranges)
+        return ranges.observations(self.bars, self.ranges, **asdict(self.range_config))
 
     @cached_property
     def windows(self) -> DataFrame:

@@ -409,6 +409,36 @@ def sql(*parts: str, select: str) -> str:
     return "WITH RECURSIVE " + ",".join(p.strip("\n") for p in (_BARS, *parts)) + "\n" + select
 
 
+#: What a state names: ids of the nearest, the latest, and what they came from.
+_LATEST_SQL = {"latest_bullish_fvg_id": ("fvg", "bullish"), "latest_bearish_fvg_id": ("fvg", "bearish"), "latest_ifvg_id": ("ifvg", None), "latest_bpr_id": ("bpr", None), "latest_bullish_order_block_id": ("ob", "bullish"), "latest_bearish_order_block_id": ("ob", "bearish"), "latest_breaker_id": ("breaker", None), "latest_rdrb_id": ("rdrb", None), "latest_unicorn_id": ("unicorn", None)}
+_NEAREST_SQL = {"nearest_buy_side": ("level", "buy_side"), "nearest_sell_side": ("level", "sell_side"), "nearest_bullish_fvg": ("fvg", "bullish"), "nearest_bearish_fvg": ("fvg", "bearish")}
+
+
+def _which(kind: str, direction: str | None) -> str:
+    return f"FILTER (kind = '{kind}'" + (f" AND direction = '{direction}')" if direction else ")")
+
+
+_CONTEXT = (
+    "named AS (SELECT symbol, idx, "
+    + ", ".join(f"arg_min({v}, (abs(value - close), id)) {_which(*k)} AS {c}_{n}" for c, k in _NEAREST_SQL.items() for v, n in (("id", "id"), ("value", "price")))
+    + ", " + ", ".join(f"arg_max(id, (confirmation_timestamp, event_timestamp, id)) {_which(*k)} AS {c}" for c, k in _LATEST_SQL.items()) + " FROM alive GROUP BY symbol, idx)",
+    "lastid AS (SELECT b.symbol, b.idx, arg_max(k.break_id, k.idx) AS break_id, " + ", ".join(f"arg_max(k.break_id, k.idx) FILTER (k.event_type = '{t}') AS latest_{t}_id" for t in ("bos", "mss", "choch"))
+    + ", arg_max(abs(k.price_level - k.reference_level) / 0.01::DOUBLE, k.idx) AS break_distance_points FROM bars b JOIN breaks k ON k.symbol = b.symbol AND k.idx <= b.idx GROUP BY b.symbol, b.idx)",
+    "lastswept AS (SELECT b.symbol, b.idx, arg_max(s.level_id, (s.confirmation_timestamp, s.event_timestamp, s.level_id)) AS sweep_level_id FROM bars b JOIN sweeps s ON s.symbol = b.symbol AND s.confirmation_timestamp <= b.close_time GROUP BY b.symbol, b.idx)",
+    f"lastturn AS (SELECT b.symbol, b.idx, arg_max('cisd:' || c.symbol || ':1h:' || c.direction || ':' || {_TS('x.timestamp')}, c.hit) AS cisd_id FROM bars b JOIN cisd c ON c.symbol = b.symbol AND c.hit <= b.idx JOIN bars x ON x.symbol = c.symbol AND x.idx = c.hit GROUP BY b.symbol, b.idx)",
+    "lastday AS (SELECT b.symbol, b.idx, 'tdo:' || b.symbol || ':1h:' || timezone('America/New_York', timezone('UTC', max(o.at)))::DATE::VARCHAR AS daily_open_id FROM bars b JOIN opens o ON o.symbol = b.symbol AND o.at <= b.close_time GROUP BY b.symbol, b.idx)",
+    "lastanchor AS (SELECT b.symbol, b.idx, arg_max(r.range_id, (r.confirmation_timestamp, r.range_id)) AS range_id, arg_max(r.high_source_id, (r.confirmation_timestamp, r.range_id)) AS high_anchor_id, arg_max(r.low_source_id, (r.confirmation_timestamp, r.range_id)) AS low_anchor_id, "
+    "arg_max(k.break_id, (r.confirmation_timestamp, r.range_id)) AS range_break_id FROM bars b JOIN ranges r ON r.symbol = b.symbol AND r.confirmation_timestamp <= b.close_time JOIN breaks k ON k.symbol = r.symbol AND k.event_timestamp = r.event_timestamp GROUP BY b.symbol, b.idx)",
+    f"uni_ids AS (SELECT 'unicorn:' || u.symbol || ':1h:' || {_TS('u.confirmation_timestamp')} || ':' || u.breaker_id || '|' || u.zone_id AS latest_unicorn_id, u.zone_id AS latest_unicorn_fvg_id, u.breaker_id AS latest_unicorn_breaker_id, k.source_order_block_id AS latest_unicorn_order_block_id FROM unis u JOIN breakers k ON k.breaker_id = u.breaker_id)",
+    "ctx AS (SELECT b.symbol, b.idx, b.close_time AS as_of, lastid.break_id, latest_bos_id, latest_mss_id, latest_choch_id, round(break_distance_points, 6) AS break_distance_points, sweep_level_id, cisd_id, daily_open_id, range_id, high_anchor_id, low_anchor_id, range_break_id, named.* EXCLUDE (symbol, idx), "
+    "k.source_order_block_id AS latest_breaker_order_block_id, latest_unicorn_fvg_id, latest_unicorn_breaker_id, latest_unicorn_order_block_id FROM bars b LEFT JOIN named USING (symbol, idx) LEFT JOIN lastid USING (symbol, idx) LEFT JOIN lastswept USING (symbol, idx) LEFT JOIN lastturn USING (symbol, idx) "
+    "LEFT JOIN lastday USING (symbol, idx) LEFT JOIN lastanchor USING (symbol, idx) LEFT JOIN breakers k ON k.breaker_id = latest_breaker_id LEFT JOIN uni_ids USING (latest_unicorn_id))",
+)
+_GROUPS = {
+    "structure": ("break_id", "latest_bos_id", "latest_mss_id", "latest_choch_id", "range_break_id"), "liquidity_level": ("nearest_buy_side_id", "nearest_sell_side_id", "sweep_level_id"), "order_block": ("latest_bullish_order_block_id", "latest_bearish_order_block_id", "latest_breaker_order_block_id", "latest_unicorn_order_block_id"),
+    "fvg": ("latest_bullish_fvg_id", "latest_bearish_fvg_id", "nearest_bullish_fvg_id", "nearest_bearish_fvg_id", "latest_unicorn_fvg_id"), "breaker": ("latest_breaker_id", "latest_unicorn_breaker_id"), "cisd": ("cisd_id",), "daily_open": ("daily_open_id",), "dealing_range": ("range_id",), "swing": ("high_anchor_id", "low_anchor_id"),
+}
+
 #: The first part of _EVENTS alone: zones with every end they may have.
 _EVENTS_DEAD = _EVENTS[: _EVENTS.index("edged AS")].rstrip().rstrip(",")
 #: Hours that a market keeps: no weekends, and two hours shut every day.
@@ -505,6 +535,13 @@ FROM levels l LEFT JOIN sweeps s ON s.level_id = l.level_id""",
     "item_lifetimes": sql(*_ALL, select='SELECT i.symbol, kind, id, a.idx AS start, d.idx AS "end" FROM items i JOIN bars a ON a.symbol = i.symbol AND a.idx = (SELECT min(idx) FROM bars x WHERE x.symbol = i.symbol AND x.close_time >= i.confirmation_timestamp) LEFT JOIN bars d ON d.symbol = i.symbol AND d.close_time = i.dead_at WHERE d.idx IS NULL OR a.idx < d.idx'),
     "active_id_counts": sql(*_ALL, select="SELECT symbol, idx, kind, count(*)::BIGINT AS n FROM alive GROUP BY symbol, idx, kind"),
     "state_features": sql(*_ALL, _OPENS, _VECTOR, select="SELECT symbol, close_time AS as_of, " + ", ".join(f"round(({x})::DOUBLE, 6) AS {c}" for c, x in _FEATURE_SQL.items()) + " FROM votes"),
+    "state_contexts": sql(*_ALL, _OPENS, *_CONTEXT, select="SELECT * EXCLUDE (idx) FROM ctx"),
+    "provenance_ids": sql(
+        *_ALL, _OPENS, *_CONTEXT, "now AS (SELECT * FROM ctx WHERE as_of = TIMESTAMP '2024-01-16 12:00:00')",
+        select="SELECT DISTINCT symbol, \"group\", id FROM (" + " UNION ALL ".join(f"SELECT symbol, '{g}' AS \"group\", {c} AS id FROM now" for g, cs in _GROUPS.items() for c in cs)
+        + " UNION ALL SELECT symbol, CASE kind WHEN 'ob' THEN 'order_block' WHEN 'level' THEN 'liquidity_level' ELSE kind END, id FROM alive WHERE close_time = TIMESTAMP '2024-01-16 12:00:00'"
+        + " UNION ALL SELECT symbol, 'liquidity_level', level_id FROM sweeps WHERE confirmation_timestamp <= TIMESTAMP '2024-01-16 12:00:00' AND symbol IN (SELECT symbol FROM now)) WHERE id IS NOT NULL",
+    ),
     "provenance_faults": sql(select="SELECT symbol AS id FROM bars WHERE false"),
     "targets": sql(_target_sql(), select="SELECT symbol, as_of, spec_name, resolved, unresolved_reason, future_return, future_move_points, direction, up_excursion_points, down_excursion_points, outcome, resolving_bar_timestamp, future_window_end FROM tv"),
     "split_labels": sql(_target_sql(), _SPLITS, select="SELECT * FROM labelled"),

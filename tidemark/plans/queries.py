@@ -208,6 +208,23 @@ def state_features(spark, sf_dir):
     return plain(v.select("symbol", "as_of", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in FEATURES]))
 
 
+NAMED = tuple(f"structure.{c}" for c in ("break_id", "latest_bos_id", "latest_mss_id", "latest_choch_id")) + tuple(f"liquidity.{c}" for c in ("nearest_buy_side_id", "nearest_buy_side_price", "nearest_sell_side_id", "nearest_sell_side_price", "sweep_level_id")) + tuple(f"imbalance.{c}" for c in ("latest_bullish_fvg_id", "latest_bearish_fvg_id", "latest_ifvg_id", "latest_bpr_id"))
+NAMED += tuple(f"institutional.{c}" for c in ("latest_bullish_order_block_id", "latest_bearish_order_block_id", "latest_breaker_id", "latest_breaker_order_block_id")) + tuple(f"composites.{c}" for c in ("latest_rdrb_id", "cisd_id", "latest_unicorn_id", "latest_unicorn_fvg_id", "latest_unicorn_breaker_id", "latest_unicorn_order_block_id"))
+NAMED += ("daily_open.daily_open_id",) + tuple(f"premium_discount.{c}" for c in ("range_id", "high_anchor_id", "low_anchor_id", "range_break_id"))
+
+
+def state_contexts(spark, sf_dir):
+    """What every state names: the latest and nearest of each kind and their sources."""
+    c = state.contexts(market(spark, sf_dir))
+    near = [F.col(f"imbalance.nearest_{d}_fvg_{x}") for d in ("bullish", "bearish") for x in ("id", "price")]
+    return plain(c.select("symbol", "as_of", *NAMED, *near, F.round("structure.break_distance_points", 6).alias("break_distance_points")))
+
+
+def provenance_ids(spark, sf_dir):
+    """Every id that the states at one bar close name."""
+    return plain(state.source_ids(market(spark, sf_dir), "2024-01-16 12:00:00").drop("timeframe"))
+
+
 def market_events(spark, sf_dir):
     m = market(spark, sf_dir)
     e = events.from_market(m, state.zone_ends(m)).withColumn("strength", F.round("strength", 6))
@@ -385,7 +402,7 @@ QUERIES = {
     for f in (
         ticks_to_bars, resample_4h, normalize_bars, normalization_report, bar_gaps, asof_context, swing_points, swing_labels, structure_breaks, fvg_zones, fvg_fills, ifvg_zones, mitigated_without_inversion, bpr_zones, rdrb_zones,
         order_blocks, order_block_status, breaker_blocks, unicorns, cisd_transitions, dealing_ranges, range_rejections, range_observations, session_occurrences, period_levels, daily_opens, equal_levels, liquidity_levels, liquidity_sweeps,
-        pending_references, level_status, item_lifetimes, active_id_counts, state_features, market_events, zone_status_at, unicorn_lifecycle, provenance_faults, planted_provenance_faults, targets, split_labels, split_summary, target_diagnostics, dataset_rows, dataset_audit, feature_diagnostics,
+        pending_references, level_status, item_lifetimes, active_id_counts, state_features, state_contexts, provenance_ids, market_events, zone_status_at, unicorn_lifecycle, provenance_faults, planted_provenance_faults, targets, split_labels, split_summary, target_diagnostics, dataset_rows, dataset_audit, feature_diagnostics,
         session_profile, coverage_4h, coverage_summary, h4_windows, h4_counts, week_profile, week_coverage_4h, week_coverage_summary, week_h4_windows, tick_report, clean_quotes,
         latest_closed_bars, observable_swings, session_states, pending_periods, failed_without_structure, weekday_occurrences, merged_tick_reports,
     )

@@ -125,25 +125,48 @@ COUNTS = {
     "bullish_order_block_count": ("ob", BULL), "bearish_order_block_count": ("ob", BEAR), "bullish_breaker_count": ("breaker", BULL), "bearish_breaker_count": ("breaker", BEAR), "rdrb_count": ("rdrb", None), "unicorn_count": ("unicorn", None),
 }
 NEAREST = {"nearest_buy_side_points": ("level", "buy_side"), "nearest_sell_side_points": ("level", "sell_side"), "nearest_bullish_fvg_points": ("fvg", BULL), "nearest_bearish_fvg_points": ("fvg", BEAR)}
-LATEST = ("ifvg", "breaker", "unicorn")
+LATEST = {
+    "latest_bullish_fvg": ("fvg", BULL), "latest_bearish_fvg": ("fvg", BEAR), "latest_ifvg": ("ifvg", None), "latest_bpr": ("bpr", None), "latest_bullish_order_block": ("ob", BULL), "latest_bearish_order_block": ("ob", BEAR),
+    "latest_breaker": ("breaker", None), "latest_rdrb": ("rdrb", None), "latest_unicorn": ("unicorn", None),
+}
 
 
 def _is(kind: str, direction: str | None) -> Column:
     return (F.col("kind") == kind) & (F.lit(True) if direction is None else F.col("direction") == direction)
 
 
+def _nearest(cut: DataFrame, bars: DataFrame) -> DataFrame:
+    """KEY, idx and per kind of NEAREST the id, value and distance of the closest alive item
+    (of several the smallest id). Bars and items of a node are sorted by price together, so
+    a bar finds its two neighbours without a scan of the node's items."""
+    which = F.coalesce(*[F.when(_is(*k), F.lit(c)) for c, k in NEAREST.items()])
+    items = cut.withColumn("which", which).filter("which IS NOT NULL").groupBy(*KEY, "level", "node", "which", F.col("value").alias("x")).agg(F.min("id").alias("id"))
+    items = items.select(*KEY, "level", "node", "which", "x", F.struct("x", "id").alias("item"), F.lit(0).alias("side"))
+    probes = bars.withColumn("which", F.explode(F.array(*[F.lit(c) for c in NEAREST]))).select(*KEY, "level", "node", "which", F.col("close").alias("x"), F.lit(1).alias("side"), "idx")
+    w = Window.partitionBy(*KEY, "level", "node", "which").orderBy("x", "side")
+    rows = items.unionByName(probes, allowMissingColumns=True)
+    rows = rows.withColumn("under", F.last("item", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("over", F.first("item", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))).filter("side = 1")
+    best = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(c)["x"] - F.col("x")).alias("distance"), F.col(c)["id"].alias("id"), F.col(c)["x"].alias("price")))
+    rows = rows.withColumn("best", F.least(best("under"), best("over")))
+    return rows.groupBy(*KEY, "idx").agg(*[F.min(F.when(F.col("which") == c, F.col("best"))).alias(f"_{c}") for c in NEAREST])
+
+
 def alive_features(m: Market, items: DataFrame) -> DataFrame:
-    """KEY, idx and what the alive items say: counts, nearest distances, latest directions."""
+    """KEY, idx and what the alive items say: counts, nearest and latest."""
     top = m.bars.groupBy(*KEY).agg((F.max("idx") + 1).alias("_top"))
     cut = items.join(top, list(KEY)).withColumn("end", F.least(F.coalesce("end", "_top"), F.col("_top"))).withColumn("n", F.explode(_nodes(F.col("start"), F.col("end")))).select(*KEY, "kind", "id", "direction", "value", "event_timestamp", "confirmation_timestamp", "n.level", "n.node")
     when = F.struct("confirmation_timestamp", "event_timestamp", "id", "direction")
-    aggs = [F.count_if(_is(*k)).alias(c) for c, k in COUNTS.items()] + [F.collect_list(F.when(_is(*k), F.col("value"))).alias(c) for c, k in NEAREST.items()] + [F.max(F.when(F.col("kind") == k, when)).alias(f"_last_{k}") for k in LATEST]
+    aggs = [F.count_if(_is(*k)).alias(c) for c, k in COUNTS.items()] + [F.max(F.when(_is(*k), when)).alias(f"_{c}") for c, k in LATEST.items()]
     nodes = cut.groupBy(*KEY, "level", "node").agg(*aggs)
     bars = m.bars.select(*KEY, "idx", "close", F.explode(F.array(*[F.struct(F.lit(lv).alias("level"), F.shiftright("idx", FAN_LOG2 * lv).alias("node")) for lv in range(3)])).alias("n")).select(*KEY, "idx", "close", "n.*")
     got = bars.join(nodes, [*KEY, "level", "node"], "left")
-    near = [F.min(F.array_min(F.transform(c, lambda x: F.abs(x - F.col("close"))))).alias(c) for c in NEAREST]
-    out = got.groupBy(*KEY, "idx").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS], *near, *[F.max(f"_last_{k}").alias(f"_last_{k}") for k in LATEST])
-    return out.withColumns({c: F.col(c) / point_of() for c in NEAREST} | {f"latest_{k}_direction_code": way_code(F.col(f"_last_{k}.direction")) for k in LATEST}).drop(*[f"_last_{k}" for k in LATEST])
+    out = got.groupBy(*KEY, "idx").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS], *[F.max(f"_{c}").alias(f"_{c}") for c in LATEST]).join(_nearest(cut, bars), [*KEY, "idx"], "left")
+    near = {}
+    for c in NEAREST:
+        name = c.removesuffix("_points")
+        near |= {c: F.col(f"_{c}.distance") / point_of(), f"{name}_id": F.col(f"_{c}.id"), f"{name}_price": F.col(f"_{c}.price")}
+    latest = {f"{c}_id": F.col(f"_{c}.id") for c in LATEST} | {f"{c}_direction_code": way_code(F.col(f"_{c}.direction")) for c, k in LATEST.items() if k[1] is None}
+    return out.withColumns(near | latest).drop(*[f"_{c}" for c in (*NEAREST, *LATEST)])
 
 
 def session_features(m: Market) -> DataFrame:
@@ -180,7 +203,7 @@ def states(m: Market) -> DataFrame:
     """One wide row per bar close: everything the feature vector needs, and the ids."""
     rows = kept(running(m), "running").join(alive_features(m, lifetimes(m)), [*KEY, "idx"]).join(session_features(m), [*KEY, "idx"], "left")
     today = F.to_date(F.from_utc_timestamp("close_time", NEW_YORK))
-    return rows.withColumn("as_of", F.col("close_time")).withColumn("zone", zone_of(F.col("close"), F.col("equilibrium_price"))).withColumn("is_current_trading_day", F.col("daily_open_date") == today)
+    return rows.withColumn("as_of", F.col("close_time")).withColumn("zone", zone_of(F.col("close"), F.col("equilibrium_price"), m.range_config.tolerance_points)).withColumn("is_current_trading_day", F.col("daily_open_date") == today)
 
 
 def active_ids(m: Market) -> DataFrame:
@@ -191,6 +214,75 @@ def active_ids(m: Market) -> DataFrame:
     return rows.groupBy(*KEY, "idx", "kind", "direction").agg(F.array_sort(F.collect_set("id")).alias("ids"))
 
 
+# The columns of each context of a state, beside symbol, timeframe and as_of.
+CONTEXTS = {
+    "structure": ("break_id", "break_type", "break_direction", "break_level", "break_distance_points", "bars_since_break", "latest_bos_id", "latest_mss_id", "latest_choch_id", "bos_count", "mss_count", "choch_count"),
+    "liquidity": ("buy_side_liquidity_count", "sell_side_liquidity_count", "nearest_buy_side_id", "nearest_buy_side_price", "nearest_buy_side_points", "nearest_sell_side_id", "nearest_sell_side_price", "nearest_sell_side_points", "sweep_level_id", "sweep_side", "sweep_is_rejection", "bars_since_sweep"),
+    "imbalance": ("bullish_fvg_count", "bearish_fvg_count", "latest_bullish_fvg_id", "latest_bearish_fvg_id", "nearest_bullish_fvg_id", "nearest_bullish_fvg_price", "nearest_bullish_fvg_points", "nearest_bearish_fvg_id", "nearest_bearish_fvg_price", "nearest_bearish_fvg_points", "ifvg_count", "latest_ifvg_id", "bpr_count", "latest_bpr_id"),
+    "institutional": ("bullish_order_block_count", "bearish_order_block_count", "latest_bullish_order_block_id", "latest_bearish_order_block_id", "bullish_breaker_count", "bearish_breaker_count", "latest_breaker_id", "latest_breaker_order_block_id"),
+    "composites": ("rdrb_count", "latest_rdrb_id", "delivery_state", "cisd_id", "bars_since_cisd", "unicorn_count", "latest_unicorn_id", "latest_unicorn_fvg_id", "latest_unicorn_breaker_id", "latest_unicorn_order_block_id"),
+    "daily_open": ("daily_open_id", "daily_open_date", "daily_open_price", "daily_open_timestamp", "is_current_trading_day"),
+    "premium_discount": ("range_id", "high_anchor_id", "low_anchor_id", "range_break_id", "range_direction", "high_price", "low_price", "equilibrium_price", "zone"),
+    "session": ("active_sessions", "active_session_count", "session_elapsed_minutes", "minute_of_session"),
+}
+
+
+def contexts(m: Market) -> DataFrame:
+    """One row per bar close with a struct per context: what is latest, nearest and counted,
+    with the ids it came from. Lists of ids are apart (active_ids, source_ids)."""
+    s = states(m).withColumns({"bars_since_break": F.col("idx") - F.col("break_idx"), "bars_since_sweep": F.col("idx") - F.col("sweep_idx"), "bars_since_cisd": F.col("idx") - F.col("cisd_idx")})
+    b = m.breakers.select(F.col("breaker_id").alias("latest_breaker_id"), F.col("source_order_block_id").alias("latest_breaker_order_block_id"))
+    u = m.unicorns.select(F.col("unicorn_id").alias("latest_unicorn_id"), *[F.col(f"source_{c}_id").alias(f"latest_unicorn_{c}_id") for c in ("fvg", "breaker", "order_block")])
+    s = s.join(b, "latest_breaker_id", "left").join(u, "latest_unicorn_id", "left")
+    return s.select(*KEY, "as_of", "idx", "close", *[F.struct(*cols).alias(name) for name, cols in CONTEXTS.items()])
+
+
+# The registry that each id of a state resolves in, and where the state has it.
+SOURCES = {
+    "structure": ("structure.break_id", "structure.latest_bos_id", "structure.latest_mss_id", "structure.latest_choch_id", "premium_discount.range_break_id"),
+    "liquidity_level": ("liquidity.nearest_buy_side_id", "liquidity.nearest_sell_side_id", "liquidity.sweep_level_id"),
+    "fvg": ("imbalance.latest_bullish_fvg_id", "imbalance.latest_bearish_fvg_id", "imbalance.nearest_bullish_fvg_id", "imbalance.nearest_bearish_fvg_id", "composites.latest_unicorn_fvg_id"),
+    "ifvg": ("imbalance.latest_ifvg_id",), "bpr": ("imbalance.latest_bpr_id",),
+    "order_block": ("institutional.latest_bullish_order_block_id", "institutional.latest_bearish_order_block_id", "institutional.latest_breaker_order_block_id", "composites.latest_unicorn_order_block_id"),
+    "breaker": ("institutional.latest_breaker_id", "composites.latest_unicorn_breaker_id"),
+    "rdrb": ("composites.latest_rdrb_id",), "cisd": ("composites.cisd_id",), "unicorn": ("composites.latest_unicorn_id",),
+    "daily_open": ("daily_open.daily_open_id",), "dealing_range": ("premium_discount.range_id",), "swing": ("premium_discount.high_anchor_id", "premium_discount.low_anchor_id"),
+}
+GROUP_OF = {"level": "liquidity_level", "ob": "order_block"}
+
+
+def state_at(m: Market, as_of) -> DataFrame:
+    """contexts of the series that have a bar closing at that very instant; raises if none has."""
+    at = contexts(m).filter(F.col("as_of") == F.lit(as_of).cast("timestamp"))
+    if m.bars.filter(F.col("close_time") == F.lit(as_of).cast("timestamp")).isEmpty():
+        raise ValueError(f"{as_of} is no bar close: a state is anchored to one")
+    return at
+
+
+def source_ids(m: Market, as_of) -> DataFrame:
+    """KEY, group, id: every id that the states at one bar close name, of what is latest or
+    nearest, alive, or swept by then."""
+    at = kept(state_at(m, as_of), "state-at")
+    named = [F.struct(F.lit(g).alias("group"), F.col(c).alias("id")) for g, cols in SOURCES.items() for c in cols]
+    out = at.select(*KEY, F.explode(F.array(*named)).alias("s")).select(*KEY, "s.*")
+    here = at.select(*KEY, F.col("idx").alias("_at"))
+    group = F.coalesce(*[F.when(F.col("kind") == k, F.lit(g)) for k, g in GROUP_OF.items()], F.col("kind"))
+    alive = lifetimes(m).join(here, list(KEY)).filter((F.col("start") <= F.col("_at")) & (F.col("end").isNull() | (F.col("_at") < F.col("end"))))
+    swept = m.sweeps.join(here, list(KEY)).filter(F.col("idx") <= F.col("_at"))
+    out = out.unionByName(alive.select(*KEY, group.alias("group"), "id")).unionByName(swept.select(*KEY, F.lit("liquidity_level").alias("group"), F.col("level_id").alias("id")))
+    return out.filter("id IS NOT NULL").distinct()
+
+
+def to_json(vectors: DataFrame) -> DataFrame:
+    """Feature vectors as one JSON text a row, missing values as null, in the columns' order."""
+    return vectors.select(F.to_json(F.struct(*vectors.columns), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def from_json(texts: DataFrame, schema) -> DataFrame:
+    """The inverse of to_json, given the vectors' schema; a text that is none raises."""
+    return texts.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("v")).select("v.*")
+
+
 def feature_vectors(m: Market) -> DataFrame:
     """symbol, timeframe, as_of, feature_version and the features in their order. A count of
     nothing is 0; a distance to nothing is null."""
