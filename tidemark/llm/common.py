@@ -3,8 +3,6 @@ rule, and zero-copy views of Arrow string columns."""
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,26 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.sources.shared import importable
+from tidemark.sources.shared import importable, shared_root
 
 #: The characters that separate words: space and U+0009 to U+000D.
 SEPARATORS = " \t\n\x0b\x0c\r"
-_LOCAL = None
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
-
-    Only where the cluster names none, as in local tests, a temporary folder of
-    this machine takes its place and is set as the checkpoint directory."""
-    global _LOCAL
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    if _LOCAL is None:
-        _LOCAL = tempfile.mkdtemp(prefix="tidemark-")
-        spark.sparkContext.setCheckpointDir(_LOCAL)
-    return "file://" + _LOCAL
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
