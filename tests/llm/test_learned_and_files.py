@@ -116,6 +116,18 @@ def test_separator_scan_stitches_blocks(spark, tmp_path, block):
     assert got == want
 
 
+def test_token_writer_lists_in_slices_and_refuses_wide_ids(spark):
+    docs = spark.createDataFrame([(i, "" if i % 3 else "some words") for i in range(25_000)], "doc_id long, text string").coalesce(1)
+    root = shared_path(spark, "tok")
+    rows = token_scan.write_token_files(spark, docs, root, tokens.default_path())
+    assert sorted(r[0] for r in rows.filter("ordinal >= 0").select("doc_id").collect()) == list(range(25_000))
+    counts = token_scan.count_tokens(spark, rows.filter("ordinal = -1").select("file", "file_bytes"), root)
+    got = rows.filter("ordinal >= 0").join(counts, ["file", "ordinal"])
+    assert got.filter((F.col("n_tokens") == 0) == (F.col("doc_id") % 3 > 0)).count() == 25_000
+    with pytest.raises(Exception, match="does not fit"):
+        token_scan.write_token_files(spark, docs, shared_path(spark, "tok"), tokens.default_path(), end=200, width=1).count()
+
+
 def test_token_counts_of_awkward_rows(spark):
     docs, root = awkward(spark), shared_path(spark, "tok")
     rows = token_scan.write_token_files(spark, docs, root, tokens.default_path())

@@ -12,7 +12,7 @@ Defined results: ids after a file's last separator are a document with
 terminated = false; a separator right behind another ends a document of 0 tokens;
 empty files have no documents; a file whose size is not a multiple of the id width
 raises. Null and empty texts have 0 tokens; repeated rows are documents of their
-own; other columns are not read.
+own; other columns are not read. An id that `width` bytes can't hold raises.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ from tidemark.llm.tokens import default_path, encoder
 END_ID, WIDTH = 49407, 2
 BLOCK_BYTES = 8 << 20
 FILE_BYTES = 64 << 20
+#: Rows of the file list that a writer holds at most.
+LISTED = 10_000
 
 
 def _writer(root: str, path: str, end: int, width: int):
@@ -46,17 +48,24 @@ def _writer(root: str, path: str, end: int, width: int):
         name = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
         part, size, out, final, n, rows = 0, 0, None, "", 0, []
 
+        def listed() -> pd.DataFrame:
+            nonlocal rows
+            done, rows = rows, []
+            return pd.DataFrame(done, columns=["file", "ordinal", "doc_id", "file_bytes"]).astype({"doc_id": "Int64"})
+
         def close() -> Iterator[pd.DataFrame]:
-            nonlocal out, part, size, n, rows
+            nonlocal out, part, size, n
             if out is not None:
                 out.close()
                 fs.move(final + ".tmp", final)
-                yield pd.DataFrame(rows, columns=["file", "ordinal", "doc_id", "file_bytes"])
-                yield pd.DataFrame([(posixpath.basename(final), -1, None, size)], columns=["file", "ordinal", "doc_id", "file_bytes"]).astype({"doc_id": "Int64"})
-            out, part, size, n, rows = None, part + 1, 0, 0, []
+                rows.append((posixpath.basename(final), -1, None, size))
+                yield listed()
+            out, part, size, n = None, part + 1, 0, 0
 
         for b in batches:
             ids, at = enc.encode(pa.array(b["text"], pa.string(), from_pandas=True))
+            if len(ids) and int(ids.max()) >> 8 * width:
+                raise ValueError(f"id {int(ids.max())} does not fit {width} bytes")
             ids = ids.astype(kind)
             for doc, first, last in zip(b["doc_id"], at, at[1:], strict=False):
                 if out is None:
@@ -64,8 +73,10 @@ def _writer(root: str, path: str, end: int, width: int):
                     out = fs.open_output_stream(final + ".tmp")
                 out.write(ids[first:last].tobytes() + sep)
                 size += int(last - first + 1) * width
-                rows.append((posixpath.basename(final), n, doc, 0))
+                rows.append((posixpath.basename(final), n, None if pd.isna(doc) else int(doc), 0))
                 n += 1
+                if len(rows) >= LISTED:
+                    yield listed()
                 if size >= FILE_BYTES:
                     yield from close()
         yield from close()
